@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from . import chat, decontam, mixing
+from . import chat, decontam, langid, mixing, quality, toxicity
 
 QUERIES = {
+    "op1_toxicity": toxicity.op1_toxicity,
     "op2_chat_formatting": chat.op2_chat_formatting,
+    "op4_quality": quality.op4_quality,
     "op5_mixing": mixing.op5_mixing,
     "op6_decontamination": decontam.op6_decontamination,
+    "op10_language_id": langid.op10_language_id,
 }
 
 ORACLES: dict[str, str] = {}
