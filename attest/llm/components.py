@@ -1,0 +1,40 @@
+"""Connected components of an edge table, by alternating large and small stars; nothing is gathered on the driver."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .store import Scratch
+
+
+def _star(edges: DataFrame, scratch: Scratch, large: bool) -> DataFrame:
+    """edges (u > v). Large: every greater neighbour of u goes to the least of u and its neighbours; small: the others, and u."""
+    if large:
+        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    else:
+        both = edges
+    least = scratch.put(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
+    joined = both.join(least, "u")
+    if large:
+        out = joined.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    else:
+        out = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
+    return out.where("u > v").distinct()
+
+
+def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
+    """(a, b) pairs of longs to (node, component): every node that has an edge to another, and the least node it is joined with."""
+    now = scratch.put(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
+    print_of = lambda df: df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+    before = print_of(now)
+    while before[0]:
+        step = scratch.put(_star(now, scratch, True), "large")
+        new = scratch.put(_star(step, scratch, False), "small")
+        after = print_of(new)
+        scratch.drop(now, step)
+        now = new
+        if after == before:  # only stars are left
+            break
+        before = after
+    return now.select(F.col("u").alias("node"), F.col("v").alias("component"))

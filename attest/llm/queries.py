@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from . import chat, decontam, langid, mixing, quality, toxicity
+from . import chat, decontam, langid, mixing, neardup, quality, topk, toxicity
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
     "op2_chat_formatting": chat.op2_chat_formatting,
+    "op3_near_duplicates": neardup.op3_near_duplicates,
     "op4_quality": quality.op4_quality,
     "op5_mixing": mixing.op5_mixing,
     "op6_decontamination": decontam.op6_decontamination,
+    "op8_top_k": topk.op8_top_k,
     "op10_language_id": langid.op10_language_id,
 }
 
