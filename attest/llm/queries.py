@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from . import chat, decontam, langid, mixing, neardup, quality, topk, toxicity
+import corpus_pipeline
+
+from . import chat, decontam, fmindex, langid, mixing, neardup, quality, suffixes, topk, toxicity
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
@@ -11,8 +13,11 @@ QUERIES = {
     "op4_quality": quality.op4_quality,
     "op5_mixing": mixing.op5_mixing,
     "op6_decontamination": decontam.op6_decontamination,
+    "op7_suffix_dedup": suffixes.op7_suffix_dedup,
     "op8_top_k": topk.op8_top_k,
+    "op9_substring_dedup": fmindex.op9_substring_dedup,
     "op10_language_id": langid.op10_language_id,
+    "pipeline": corpus_pipeline.run,
 }
 
 ORACLES: dict[str, str] = {}

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -40,6 +41,12 @@ class Scratch:
             path = jvm.org.apache.hadoop.fs.Path(df._attest_path)
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
+    def sweep(self, *tables: DataFrame) -> None:
+        """Drop tables and let Spark's cleaner find the shuffle files that no plan in use needs any more."""
+        self.drop(*tables)
+        gc.collect()
+        self.spark._jvm.System.gc()
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
