@@ -8,8 +8,8 @@ The first embedding dimension starts at the word's smoothed log odds, the others
 As a filter is linear, its products with every embedding are one table, and scoring is look-ups and additions.
 
 Thresholds are calibrated by language: the language is guessed from the text's own common words (naive Bayes fitted with
-the sample's lang values; lang is never read when scoring), and per language the threshold is put between the held-back
-sample's labels where balanced accuracy is best. The score is the logistic of the distance to that threshold, so 0.5
+the sample's lang values; lang is never read when scoring), and per language the threshold is put where recall less
+CLEAN_COST times the false positive rate of the held-back quarter of the sample is best. The score is the logistic of the distance to that threshold, so 0.5
 is the cut in each language.
 
 Fitted on a bounded sample: at most SAMPLE labelled texts of at most SAMPLE_BYTES bytes per label. Defined results: null
@@ -31,6 +31,8 @@ from . import text as T
 from .samples import fold, labelled
 
 SAMPLE, SAMPLE_BYTES, STEMS, SLOTS, PROFILE = 1000, 30_000, (4, 6), 1 << 18, 400
+#: A clean text lost costs this many times a toxic one missed; a language with fewer texts of a label has the common threshold.
+CLEAN_COST, LEAST_TEXTS = 5.0, 12
 WIDTHS, FILTERS, DIM, LEAST_DF, EPOCHS = (1, 2, 3), 4, 6, 4, 6
 
 
@@ -97,6 +99,7 @@ class Model:
             self.words_of[0] = 0
         logits, lang = self._raw(kinds, at)
         self.scale = 4.0 / max(0.5, float(np.abs(logits).mean()))
+        # without enough held-back texts, the threshold is where the training loss has it
         common = _threshold(logits[calibrate], y[calibrate], 0.0)
         self.threshold = np.array([_threshold(logits[calibrate & (lang == j)], y[calibrate & (lang == j)], common) for j in range(max(1, len(self.languages)))])
 
@@ -204,12 +207,12 @@ def _pairs(keys: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _threshold(logits: np.ndarray, y: np.ndarray, other: float) -> float:
-    """Midway in the best gap by balanced accuracy; `other` where either label has under five texts."""
-    if (y == 1).sum() < 5 or (y == 0).sum() < 5:
+    """Midway in the widest of the best gaps by recall less CLEAN_COST times the false positive rate; `other` where a label has too few texts."""
+    if (y == 1).sum() < LEAST_TEXTS or (y == 0).sum() < LEAST_TEXTS:
         return other
     order = np.argsort(logits, kind="stable")
     x, t = logits[order], y[order]
-    gain = np.cumsum(np.where(t == 0, 1 / (t == 0).sum(), -1 / (t == 1).sum()))[:-1]
+    gain = np.cumsum(np.where(t == 0, CLEAN_COST / (t == 0).sum(), -1 / (t == 1).sum()))[:-1]
     gain[np.diff(x) <= 0] = -np.inf
     best = np.flatnonzero(gain >= gain.max() - 1e-9)
     widest = best[np.argmax(np.diff(x)[best])]
