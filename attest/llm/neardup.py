@@ -10,7 +10,8 @@ space); with fewer words the whole sequence is its one element; without words it
 3. In rounds, each bucket whose nodes are not yet one component is searched for links between components: similarities
    are estimated from the signatures by bit counts, corrected for chance collisions (2**-BITS), and of the pairs whose
    estimate is within SIGMAS standard errors of the threshold a spanning forest is confirmed on the whole sets. Pairs
-   inside a component are never formed, so a bucket of m copies costs about m pairs, not m**2.
+   inside a component are never formed, so a bucket of m copies costs about m pairs, not m**2. Where pairs of the forest
+   turn out not to be links, later rounds confirm 3, 15, 63 ... further pairs for each node.
 4. Links merge components (alternating stars). A round without an untested pair between components ends the search.
 
 Buckets over BLOCK nodes are dealt into blocks of about that size by random salts for two rounds, which joins a group of
@@ -104,8 +105,8 @@ def _describe(width: int):
     return of
 
 
-def _pairs_of(nodes: np.ndarray, comps: np.ndarray, signatures: np.ndarray, base: np.ndarray, least: float, tested: set) -> list[tuple[int, int]]:
-    """A spanning forest of the likely links between components: of every block of seekers (base false) with all rows."""
+def _pairs_of(nodes: np.ndarray, comps: np.ndarray, signatures: np.ndarray, base: np.ndarray, least: float, tested: set, more: int) -> list[tuple[int, int]]:
+    """A spanning forest of the likely links between components, of seekers (base false) with all rows, and `more` other such pairs."""
     slots = BANDS * ROWS
     words = signatures.view(np.uint64)
     low = np.uint64(sum(1 << (BITS * i) for i in range(64 // BITS)))
@@ -133,15 +134,18 @@ def _pairs_of(nodes: np.ndarray, comps: np.ndarray, signatures: np.ndarray, base
     for i, near in sorted(likely, key=lambda x: (-len(x[1]), x[0])):  # from the best connected, so the forest is shallow
         for j in near.tolist():
             a, b = root(int(label[i])), root(int(label[j]))
-            if a != b:
-                pair = (min(int(nodes[i]), int(nodes[j])), max(int(nodes[i]), int(nodes[j])))
-                if pair not in tested:
-                    parent[max(a, b)] = min(a, b)
-                    found.append(pair)
+            if a == b and not more:
+                continue
+            pair = (min(int(nodes[i]), int(nodes[j])), max(int(nodes[i]), int(nodes[j])))
+            if pair not in tested:
+                tested.add(pair)
+                more -= a == b
+                parent[max(a, b)] = min(a, b)
+                found.append(pair)
     return found
 
 
-def _forest(least: float):
+def _forest(least: float, turn: int):
     names = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def of(table: pa.Table) -> pa.Table:
@@ -153,7 +157,7 @@ def _forest(least: float):
         seeks = set(get("node")[~base].tolist())
         signatures = np.frombuffer(b"".join(table.column("signature").take(pa.array(first)).to_pylist()), np.uint8).reshape(len(nodes), -1)
         own = np.array([x not in seeks for x in nodes.tolist()])
-        pairs = _pairs_of(nodes, get("component")[first], signatures, own, least, {(min(p), max(p)) for p in tested})
+        pairs = _pairs_of(nodes, get("component")[first], signatures, own, least, {(min(p), max(p)) for p in tested}, len(nodes) * (4**turn - 1))
         return pa.table({"a": pa.array([p[0] for p in pairs], pa.int64()), "b": pa.array([p[1] for p in pairs], pa.int64())}, schema=names)
 
     return of
@@ -225,7 +229,7 @@ def near_duplicates(docs: DataFrame, width: int = 3, percent: int = 85) -> DataF
         else:  # pairs that were tested without a link, at their lesser node
             failed = tested.groupBy("a").agg(F.collect_list(F.array("a", "b")).alias("tested")).withColumnRenamed("a", "node")
             groups = groups.join(failed, "node", "left")
-        pairs = groups.groupBy("band", "block", "part").applyInArrow(_forest(least), "a long, b long").distinct()
+        pairs = groups.groupBy("band", "block", "part").applyInArrow(_forest(least, turn), "a long, b long").distinct()
         if tested is not None:
             pairs = pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti")
         pairs = scratch.put(pairs, "pairs")
@@ -242,9 +246,11 @@ def near_duplicates(docs: DataFrame, width: int = 3, percent: int = 85) -> DataF
         links = judged.where("linked").select("a", "b") if links is None else links.unionByName(judged.where("linked").select("a", "b"))
         missed = judged.where("not linked").select("a", "b")
         tested = missed if tested is None else tested.unionByName(missed)
+        turn += 1
+        if judged.where("linked").isEmpty():
+            continue
         joined = components(links, scratch)
         labels = scratch.put(members.join(joined, "node", "left").select("node", F.coalesce("component", "node").alias("component")), "labels")
-        turn += 1
     named_sets = nodes.select("one", "two", "n", "node").join(labels, "node", "left").select("one", "two", "n", F.coalesce("component", "node").alias("component_id"))
     named_sets = scratch.put(named_sets, "named")
     out = described.join(named_sets, ["one", "two", "n"], "left")
