@@ -29,50 +29,59 @@ from .repeats import marks, repeated_spans, with_spans
 from .store import Scratch
 
 WINDOW, GRAM, PACK = 400, 48, 7
+#: Bytes of pieces in one shard; a gram with up to repeats.BLOCK distinct contents stays in one.
+SHARD_BYTES = 1 << 20
 
 
 class SuffixArray:
-    """Suffixes of many byte strings in order, with common prefixes of neighbours up to `depth` bytes; no suffix leaves its string."""
+    """Suffixes of many byte strings in order, with common prefixes of neighbours; no suffix leaves its string.
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, depth: int):
+    Prefixes are known up to `depth` bytes, and those under `least` bytes only as such (as 0). About 60 bytes of memory a byte.
+    """
+
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, depth: int, least: int = 1):
         n = len(data)
         count = len(offsets) - 1
         # values 1 .. 256, and 0 behind each string
-        sequence = np.zeros(n + count + PACK, np.uint64)
-        self.owner = np.repeat(np.arange(count), np.diff(offsets))
-        self.place = np.arange(n) + self.owner
-        sequence[self.place] = data.astype(np.uint64) + np.uint64(1)
-        self.ends = offsets[1:] + np.arange(count)  # place of the 0 behind each string
-        size = n + count
-        key = np.zeros(size, np.uint64)
+        sequence = np.zeros(n + count + PACK, np.uint16)
+        self.place = np.arange(n, dtype=np.int32) + np.repeat(np.arange(count, dtype=np.int32), np.diff(offsets))
+        sequence[self.place] = data.astype(np.uint16) + np.uint16(1)
+        self.ends = (offsets[1:] + np.arange(count)).astype(np.int32)  # place of the 0 behind each string
+        size = self.size = n + count
+        self.sequence = sequence
+        key = np.zeros(size, np.int64)
         for i in range(PACK):
-            key = (key << np.uint64(9)) | sequence[i : i + size]
+            key <<= 9
+            key |= sequence[i : i + size]
         self.ranks: list[tuple[int, np.ndarray]] = []
         width = PACK
         while True:
-            order = np.argsort(key, kind="stable")
-            new = np.ones(size, bool)
-            new[1:] = key[order[1:]] != key[order[:-1]]
-            rank = np.empty(size, np.int32)
-            rank[order] = np.cumsum(new) - 1
+            order = np.argsort(key, kind="stable").astype(np.int32)
+            rank = np.zeros(size, np.int32)
+            key = key[order]
+            rank[order[1:]] = np.cumsum(key[1:] != key[:-1], dtype=np.int32)
             self.ranks.append((width, rank))
-            if 2 * width > depth or new.all():
+            if 2 * width > depth or (size and rank[order[-1]] == size - 1):
                 break
-            after = np.zeros(size, np.int64)
-            after[: max(0, size - width)] = rank[width:].astype(np.int64) + 1
-            key = rank.astype(np.int64) * (size + 1) + after
+            key = rank.astype(np.int64)
+            key *= size + 1
+            key[: max(0, size - width)] += rank[width:]
+            key[: max(0, size - width)] += 1
             width *= 2
         self.order = order
-        self.sequence = sequence
-        self.size = size
-        left = np.searchsorted(self.ends, np.arange(size), side="left")
-        self.left_over = self.ends[left] - np.arange(size)  # bytes from a place to its string's end
-        self.common = self._common(depth)
-
-    def _common(self, depth: int) -> np.ndarray:
-        """common[i]: shared prefix of suffixes i - 1 and i in order, at most `depth` or what either has left."""
-        a, b = self.order[:-1].copy(), self.order[1:].copy()
-        most = np.minimum(np.minimum(self.left_over[a], self.left_over[b]), depth)
+        self.common = self._common(depth, least)
+
+    def _common(self, depth: int, least: int) -> np.ndarray:
+        """common[i]: shared prefix of suffixes i - 1 and i in order, at most what either has left."""
+        a, b = self.order[:-1], self.order[1:]
+        # pairs that differ within the widest known width up to `least` are out at once
+        small = [r for w, r in self.ranks if w <= least]
+        at = np.flatnonzero(small[-1][a] == small[-1][b]) if small else np.arange(len(a))
+        a, b = a[at].astype(np.int64), b[at].astype(np.int64)
+        left = lambda x: self.ends[np.searchsorted(self.ends, x)] - x
+        most = np.minimum(np.minimum(left(a), left(b)), depth)
+        keep = most >= least
+        at, a, b, most = at[keep], a[keep], b[keep], most[keep]
         out = np.zeros(len(a), np.int64)
         for width, rank in [(w, r) for w, r in reversed(self.ranks) for _ in range(2 if w == self.ranks[-1][0] else 1)]:
             x, y = np.minimum(a + out, self.size - 1), np.minimum(b + out, self.size - 1)
@@ -80,15 +89,16 @@ class SuffixArray:
         for _ in range(PACK):
             x, y = np.minimum(a + out, self.size - 1), np.minimum(b + out, self.size - 1)
             out += (self.sequence[x] == self.sequence[y]) & (out < most)
-        # one that stopped for its end may still share the bytes up to it
-        return np.concatenate([[0], out, [0]])
+        common = np.zeros(self.size + 1, np.int32)
+        common[at + 1] = np.where(out >= least, out, 0)
+        return common
 
     def maximal_repeats(self, least: int):
         """Intervals (first, last, length) of at least `least` bytes in suffix order whose left extensions differ, from the leaves up."""
-        before = np.where(self.order > 0, self.sequence[np.maximum(self.order - 1, 0)].astype(np.int64), 0)
-        change = np.zeros(len(self.order), np.int64)
+        before = np.where(self.order > 0, self.sequence[np.maximum(self.order - 1, 0)], 0)
+        change = np.zeros(len(self.order), np.int32)
         change[1:] = (before[1:] != before[:-1]) | (before[1:] == 0)  # a beginning differs from everything, also from another
-        change = np.cumsum(change)
+        change = np.cumsum(change, dtype=np.int32)
         common = self.common
         long = np.flatnonzero(common >= least)
         out: list[tuple[int, int, int]] = []
@@ -114,7 +124,7 @@ class SuffixArray:
 def _groups(shard: pa.Table, window: int):
     """The suffix array of a shard's pieces and its maximal repeats."""
     data, offsets = T.flat(shard.column("piece").combine_chunks())
-    array = SuffixArray(data, offsets, int(np.diff(offsets).max(initial=0)))
+    array = SuffixArray(data, offsets, int(np.diff(offsets).max(initial=0)), window)
     return array, offsets, array.maximal_repeats(window)
 
 
@@ -144,7 +154,7 @@ def index_shard(window: int):
 def repeat_groups(texts: pa.Array, least: int) -> list[tuple[int, list[tuple[int, int]]]]:
     """Maximal repeats of a bounded set of texts: (length, all occurrences as (text, first byte))."""
     data, offsets = T.flat(texts)
-    array = SuffixArray(data, offsets, int(np.diff(offsets).max(initial=0)))
+    array = SuffixArray(data, offsets, int(np.diff(offsets).max(initial=0)), least)
     begins = offsets[:-1] + np.arange(len(offsets) - 1)
     out = []
     for first, last, length in array.maximal_repeats(least):
@@ -177,7 +187,7 @@ def _cut(names: list[str], digest: bool):
 
 
 def suffix_spans(docs: DataFrame, scratch: Scratch, window: int = WINDOW, gram: int = GRAM, **bounds) -> DataFrame:
-    return repeated_spans(docs, "bytes", window, gram, False, index_shard(window), scratch, **bounds)
+    return repeated_spans(docs, "bytes", window, gram, False, index_shard(window), scratch, **{"shard_bytes": SHARD_BYTES, **bounds})
 
 
 def remove(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
