@@ -171,6 +171,20 @@ def surface_distance(a: np.ndarray, b: np.ndarray) -> float:
     return best
 
 
+def _distances(a: list[np.ndarray], b: list[np.ndarray], small: int = 1024) -> np.ndarray:
+    """Of mesh pairs: those with few triangle pairs all at once, larger ones by their hierarchies."""
+    out = np.full(len(a), np.inf)
+    few = [i for i in range(len(a)) if 0 < len(a[i]) * len(b[i]) <= small]
+    for i in set(range(len(a))) - set(few):
+        out[i] = surface_distance(a[i], b[i])
+    if few:
+        s = np.concatenate([np.repeat(a[i], len(b[i]), axis=0) for i in few])
+        t = np.concatenate([np.tile(b[i], (len(a[i]), 1, 1)) for i in few])
+        first = np.cumsum([0] + [len(a[i]) * len(b[i]) for i in few[:-1]])
+        out[few] = np.minimum.reduceat(triangles_distance(s, t), first)
+    return out
+
+
 def mesh_distances(triangles: DataFrame, pairs: DataFrame) -> DataFrame:
     """Surface distance of the pairs (a, b) of geometries; triangles has geometry_id and corners ARRAY<DOUBLE>(9).
 
@@ -181,9 +195,10 @@ def mesh_distances(triangles: DataFrame, pairs: DataFrame) -> DataFrame:
 
     def of(frames):
         for pdf in frames:
-            pdf = pdf.copy()
-            pdf["distance"] = [surface_distance(np.asarray(x).reshape(-1, 3, 3), np.asarray(y).reshape(-1, 3, 3)) for x, y in zip(pdf["ma"], pdf["mb"], strict=True)]
-            yield pdf[["a", "b", "distance"]]
+            for start in range(0, len(pdf), 256):
+                part = pdf.iloc[start : start + 256].copy()
+                part["distance"] = _distances([np.asarray(x).reshape(-1, 3, 3) for x in part["ma"]], [np.asarray(y).reshape(-1, 3, 3) for y in part["mb"]])
+                yield part[["a", "b", "distance"]]
 
     return both.select("a", "b", "ma", "mb").mapInPandas(of, f"a {pairs.schema['a'].dataType.simpleString()}, b {pairs.schema['b'].dataType.simpleString()}, distance double")
 
