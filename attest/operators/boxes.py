@@ -200,7 +200,8 @@ def mesh_distances(triangles: DataFrame, pairs: DataFrame) -> DataFrame:
                 part["distance"] = _distances([np.asarray(x).reshape(-1, 3, 3) for x in part["ma"]], [np.asarray(y).reshape(-1, 3, 3) for y in part["mb"]])
                 yield part[["a", "b", "distance"]]
 
-    return both.select("a", "b", "ma", "mb").mapInPandas(of, f"a {pairs.schema['a'].dataType.simpleString()}, b {pairs.schema['b'].dataType.simpleString()}, distance double")
+    n = int(triangles.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return both.select("a", "b", "ma", "mb").repartition(n, "a", "b").mapInPandas(of, f"a {pairs.schema['a'].dataType.simpleString()}, b {pairs.schema['b'].dataType.simpleString()}, distance double")
 
 
 def mesh_summary(triangles: DataFrame) -> DataFrame:

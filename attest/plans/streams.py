@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import status as S
 from ..operators import corruption as C
 from ..operators import temporal as T
-from .registry import EV, events, query, table
+from .registry import EV, ORACLES, events, query, table
 
 HOUR, DAY = 3_600_000_000, 86_400_000_000
 START, END = 1704067200000000, 1706572800000000  # 2024-01-01 and 2024-01-30, in microseconds
