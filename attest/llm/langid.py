@@ -58,6 +58,8 @@ class Model:
 
     def __init__(self, texts: dict[str, list[str]], order: int = ORDER, table_bytes: int = TABLE_BYTES):
         self.languages, self.order = sorted(texts), order
+        if not texts:
+            return
         data = {k: [np.frombuffer(t.encode(), np.uint8) for t in texts[k]] for k in self.languages}
         counts = np.zeros(256, np.int64)
         for parts in data.values():

@@ -61,7 +61,7 @@ class SuffixArray:
             key = key[order]
             rank[order[1:]] = np.cumsum(key[1:] != key[:-1], dtype=np.int32)
             self.ranks.append((width, rank))
-            if 2 * width > depth or (size and rank[order[-1]] == size - 1):
+            if width >= depth or (size and rank[order[-1]] == size - 1):
                 break
             key = rank.astype(np.int64)
             key *= size + 1

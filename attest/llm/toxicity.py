@@ -3,7 +3,7 @@
 A word (letters, digits and characters beyond ASCII; A-Z folded) is the sum of the embeddings of three hashes, of the
 whole word and of its first 4 and 6 bytes, so inflected forms of a word share most of it. Hashes not met often enough in
 training have a zero embedding; a stored 64-bit key tells an unknown word from a known one in the same slot. Filters of
-widths 1, 2 and 3 slide over each text's words; ReLU, the maximum over the whole text, and a logistic output follow.
+widths 1, 2 and 3 slide over each text's words; ReLU, the maximum over the whole text, and a logistic output with weights of at least 0 follow: evidence adds, nothing excuses.
 The first embedding dimension starts at the word's smoothed log odds, the others at random; all are trained by Adam.
 As a filter is linear, its products with every embedding are one table, and scoring is look-ups and additions.
 
@@ -79,7 +79,7 @@ class Model:
         emb[1:, 0] = np.clip(odds, -1, 6)
         filters = {w: rng.normal(0, 0.2, (w, DIM, FILTERS)) for w in WIDTHS}
         filters[1][0, :, 0] = np.eye(DIM)[0]
-        par = {"emb": emb, "v": rng.normal(0, 0.1, len(WIDTHS) * FILTERS), "c": np.array([-1.0]), **{f"k{w}": k for w, k in filters.items()}, **{f"b{w}": np.zeros(FILTERS) for w in WIDTHS}}
+        par = {"emb": emb, "v": np.abs(rng.normal(0, 0.1, len(WIDTHS) * FILTERS)), "c": np.array([-1.0]), **{f"k{w}": k for w, k in filters.items()}, **{f"b{w}": np.zeros(FILTERS) for w in WIDTHS}}
         par["b1"][0] = -1.5
         par["v"][0] = 1.0
         self._train(par, [self.ids(h) for h in kinds], at, y, np.flatnonzero(~calibrate), rng)
@@ -101,7 +101,8 @@ class Model:
         self.scale = 4.0 / max(0.5, float(np.abs(logits).mean()))
         # without enough held-back texts, the threshold is where the training loss has it
         common = _threshold(logits[calibrate], y[calibrate], 0.0)
-        self.threshold = np.array([_threshold(logits[calibrate & (lang == j)], y[calibrate & (lang == j)], common) for j in range(max(1, len(self.languages)))])
+        cuts = [_threshold(logits[calibrate & (lang == j)], y[calibrate & (lang == j)], common) for j in range(max(1, len(self.languages)))]
+        self.threshold = np.maximum(cuts, self.par["c"][0] + 0.05)  # above a text without words
 
     def ids(self, hashes: np.ndarray) -> np.ndarray:
         i = self.slots[(hashes & np.uint64(SLOTS - 1)).astype(np.int64)]
@@ -123,6 +124,8 @@ class Model:
                     m[k] += 0.1 * (g - m[k])
                     s[k] += 0.01 * (g * g - s[k])
                     v -= 0.01 * (m[k] / (1 - 0.9**step)) / (np.sqrt(s[k] / (1 - 0.99**step)) + 1e-6) * (1.0 if k != "emb" else (grad[k] != 0))
+                # evidence only ever adds: a text without words has the least logit
+                np.maximum(par["v"], 0, out=par["v"])
         par["emb"][0] = 0
 
     def _tables(self) -> None:
