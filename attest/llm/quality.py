@@ -171,7 +171,8 @@ def fit(docs: DataFrame, labels: DataFrame, per_label: int = SAMPLE, most_bytes:
     """A model of labels (doc_id, quality) over docs (doc_id, text)."""
     rows = labelled(docs, labels, "quality", per_label, most_bytes)
     share = labels.where(F.col("quality").isNotNull()).agg(F.avg(F.col("quality").cast("double"))).first()[0]
-    x = statistics(pa.array([r["text"] for r in rows], pa.string()))
+    parts = [statistics(b) for b in T.blocks(pa.array([r["text"] for r in rows], pa.string()))]
+    x = np.concatenate(parts) if parts else np.zeros((0, len(STATISTICS)))
     return Model(x, np.array([float(r["quality"]) for r in rows]), 0.5 if share is None else float(share))
 
 

@@ -43,6 +43,12 @@ def runs(batch: pa.RecordBatch, column: str = "text", most: int = RUN_BYTES) ->
         at = to
 
 
+def blocks(column: pa.Array, most: int = 1 << 17) -> Iterator[pa.Array]:
+    """A column in runs of rows with at most `most` bytes of text each: for samples on the driver."""
+    for run in runs(pa.RecordBatch.from_arrays([column], names=["text"]), "text", most):
+        yield run.column("text")
+
+
 def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes of all texts one after the other, and the n + 1 offsets of the texts in them."""
     column = pc.fill_null(column, pa.scalar(b"" if pa.types.is_binary(column.type) else "", column.type))

@@ -56,7 +56,9 @@ class Model:
         if not self.ready:
             return
         rng = np.random.default_rng(seed)
-        kinds, at = _tokens(pa.array([r[0] for r in rows], pa.string()))
+        parts = [_tokens(b) for b in T.blocks(pa.array([r[0] for r in rows], pa.string()))]  # the driver's memory is small
+        kinds = [np.concatenate(x) for x in zip(*(p[0] for p in parts), strict=True)]
+        at = np.concatenate([[0], np.cumsum(np.concatenate([np.diff(p[1]) for p in parts]))])
         doc = T.owner(at)
         calibrate = np.arange(len(rows)) % 4 == 3
         # features by document frequency, those for the language profile first
@@ -97,7 +99,8 @@ class Model:
             np.add.at(counts, (iw[ok], of[ok]), 1)
             self.words_of = np.log((counts + 0.5) / (counts.sum(0) + 0.5 * P))
             self.words_of[0] = 0
-        logits, lang = self._raw(kinds, at)
+        each = [self._raw([x[at[a] : at[b]] for x in kinds], at[a : b + 1] - at[a]) for a, b in ((i, min(i + 50, len(rows))) for i in range(0, len(rows), 50))]
+        logits, lang = (np.concatenate(x) for x in zip(*each, strict=True))
         self.scale = 4.0 / max(0.5, float(np.abs(logits).mean()))
         # without enough held-back texts, the threshold is where the training loss has it
         common = _threshold(logits[calibrate], y[calibrate], 0.0)
