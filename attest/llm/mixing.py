@@ -4,9 +4,9 @@ Every document gets a random key from a hash of its id and the seed. Inside a so
 the mix takes a source's whole order as often as its budget holds it, and of the next round a prefix that ends exactly
 at the budget: the document at the cut gives only its first words. So each source gives floor(target) words.
 
-Prefix sums are taken in two levels, so that no source, however large, is gathered: the key's range is cut into BUCKETS
-equal parts (the keys are uniform), bucket sums are pre-aggregated before their shuffle, the prefix sums over at most
-BUCKETS sums of a source start each bucket, and a window inside a (source, bucket) does the rest.
+Prefix sums are taken in two levels, so that no source, however large, is gathered: the key's range is cut into 4096
+equal parts by its first three hex digits (keys are uniform), bucket sums are pre-aggregated before their shuffle, the
+prefix sums over at most 4096 sums of a source start each bucket, and a window inside a (source, bucket) does the rest.
 
 Defined results: null texts have size 0 and take 0; a null source is a source of its own, last in order; equal ids get
 equal keys and are told apart by size, repeated rows each count; an empty table gives an empty result. Columns beside
@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-BUCKETS = 4096
+DIGITS = 3
 WEIGHTS = (5.0, 2.0, 1.0)
 
 
@@ -53,14 +53,12 @@ def targets(sizes: DataFrame, share: float = 1.5, cap: float = 2.0, weights: tup
     )
 
 
-def mix(docs: DataFrame, seed: int = 7, share: float = 1.5, cap: float = 2.0, weights: tuple[float, ...] = WEIGHTS, buckets: int = BUCKETS) -> DataFrame:
+def mix(docs: DataFrame, seed: int = 7, share: float = 1.5, cap: float = 2.0, weights: tuple[float, ...] = WEIGHTS) -> DataFrame:
     """One row per document: doc_id, source, size, source_size, target, taken, copies (whole rounds) and tail (words of the next)."""
-    key = F.xxhash64(F.lit(seed), F.col("doc_id"))
+    key = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("doc_id").cast("string")))
     # a key without nulls, so that the join and the window below share one shuffle
     named = F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("null")).alias("s")
-    rows = docs.select("doc_id", "source", named, word_count().alias("size")).withColumn("key", key).withColumn("bucket", F.floor((F.shiftrightunsigned("key", 1) / F.lit(2.0**63)) * buckets).cast("int"))
-    # unsigned order of the key: its sign bit flipped
-    rows = rows.withColumn("key", F.col("key").bitwiseXOR(F.lit(-(2**63))))
+    rows = docs.select("doc_id", "source", named, word_count().alias("size")).withColumn("key", key).withColumn("bucket", F.substring("key", 1, DIGITS))
     sums = rows.groupBy("s", "source", "bucket").agg(F.sum("size").alias("bucket_size"))
     starts = sums.withColumn("start", F.coalesce(F.sum("bucket_size").over(W.partitionBy("s").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
     goals = targets(sums.groupBy("source").agg(F.sum("bucket_size").alias("source_size")), share, cap, weights)

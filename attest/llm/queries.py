@@ -5,6 +5,7 @@ from __future__ import annotations
 import corpus_pipeline
 
 from . import chat, decontam, fmindex, langid, mixing, neardup, quality, suffixes, topk, toxicity
+from .oracles import ORACLES  # noqa: F401
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
@@ -20,4 +21,3 @@ QUERIES = {
     "pipeline": corpus_pipeline.run,
 }
 
-ORACLES: dict[str, str] = {}
