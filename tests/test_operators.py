@@ -241,3 +241,15 @@ def test_solver(spark):
     assert [(r.x, r.y) for r in hull] == [(0, 0), (2, 0), (2, 2), (0, 2)]
 
 
+
+
+def test_frames_in_time(spark):
+    from attest.operators.frames import path_at, stream_issues
+
+    q = [0.0, 0.0, 0.0, 1.0]
+    edges = spark.createDataFrame([("cell", "world", True, 90, [1.0, 0.0, 0.0], q, 0, "a"), ("base", "cell", False, 100, [2.0, 0.0, 0.0], q, 1, "a"), ("base", "cell", False, 200, [3.0, 0.0, 0.0], q, 2, "b")], "child string, parent string, static boolean, t long, xyz array<double>, quaternion array<double>, record_id long, publisher string")
+    path = spark.createDataFrame([(0, "cell"), (1, "base")], "position int, child string")
+    queries = spark.createDataFrame([(1, 100), (2, 200), (3, 90), (4, 300)], "query_id int, t long")
+    got = {r.query_id: (r.status, r.matrix and r.matrix[3]) for r in path_at(edges, path, queries, 50).collect()}
+    assert got == {1: ("current", 3.0), 2: ("current", 4.0), 3: ("missing", None), 4: ("stale", None)}
+    assert [tuple(r) for r in stream_issues(edges).collect()] == [("base", "several_publishers")]
