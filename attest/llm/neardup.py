@@ -6,15 +6,16 @@ space); with fewer words the whole sequence is its one element; without words it
 1. Documents with equal sets are one node, named by the least doc_id; only nodes go on.
 2. Each node has BANDS * ROWS minima. The minima of a band, hashed, are a band key; a node shares a bucket with every node
    that has the same key. At similarity 0.85 a pair meets in no bucket with probability (1 - 0.85**5)**24 < 1e-6.
-   The signature keeps the lowest BITS bits of each minimum, packed.
+   Nodes that share a bucket get a signature: the lowest BITS bits of SLOTS minima, packed.
 3. In rounds, each bucket whose nodes are not yet one component is searched for links between components: similarities
    are estimated from the signatures by bit counts, corrected for chance collisions (2**-BITS), and of the pairs whose
    estimate is within SIGMAS standard errors of the threshold a spanning forest is confirmed on the whole sets. Pairs
    inside a component are never formed, so a bucket of m copies costs about m pairs, not m**2. Where pairs of the forest
-   turn out not to be links, later rounds confirm 3, 15, 63 ... further pairs for each node.
+   turn out not to be links, later rounds confirm 3, 15, 63 ... further pairs for each node. The first round takes only
+   some of the bands, which joins most copies before the others are looked at.
 4. Links merge components (alternating stars). A round without an untested pair between components ends the search.
 
-Buckets over BLOCK nodes are dealt into blocks of about that size by random salts for two rounds, which joins a group of
+Buckets over BLOCK nodes are dealt into blocks of about that size by random salts for three rounds, which joins a group of
 copies; after that the nodes outside the bucket's largest component meet all its nodes, block by block. So no task
 holds a whole bucket, and no pair is left out.
 
@@ -33,8 +34,10 @@ from . import text as T
 from .components import components
 from .store import Scratch
 
-BANDS, ROWS, BITS, SIGMAS, BLOCK = 24, 5, 4, 5.5, 256
-_SEEDS = T.mix(np.arange(1, 2 * BANDS * ROWS + 1, dtype=np.uint64) * np.uint64(0x2545F4914F6CDD1D))
+BANDS, ROWS, SLOTS, BITS, SIGMAS, BLOCK = 24, 5, 1024, 4, 4.5, 256
+#: Bands of the first round.
+FIRST = 3
+_SEEDS = T.mix(np.arange(1, 2 * SLOTS + 1, dtype=np.uint64) * np.uint64(0x2545F4914F6CDD1D))
 
 
 def shingle_sets(column: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -60,22 +63,29 @@ def shingle_sets(column: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
     return h, np.searchsorted(of, np.arange(n + 1))
 
 
-def _signatures(h: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Band keys (texts x BANDS) and packed low bits of the minima, of texts with a set."""
-    k = BANDS * ROWS
-    full = np.flatnonzero(at[:-1] < at[1:])
-    minima = np.zeros((len(full), k), np.uint32)
-    for j in range(k):
-        minima[:, j] = np.minimum.reduceat((((h ^ _SEEDS[2 * j]) * (_SEEDS[2 * j + 1] | np.uint64(1))) >> np.uint64(32)).astype(np.uint32), at[full])
-    keys = np.zeros((len(full), BANDS), np.uint64)
+def _minimum(h: np.ndarray, heads: np.ndarray, j: int) -> np.ndarray:
+    """Minima of hash function j over each set."""
+    return np.minimum.reduceat((((h ^ _SEEDS[2 * j]) * (_SEEDS[2 * j + 1] | np.uint64(1))) >> np.uint64(32)).astype(np.uint32), heads)
+
+
+def _band_keys(h: np.ndarray, heads: np.ndarray) -> np.ndarray:
+    """Sets x BANDS."""
+    keys = np.zeros((len(heads), BANDS), np.uint64)
     for b in range(BANDS):
-        x = np.full(len(full), np.uint64(b + 1))
+        x = np.full(len(heads), np.uint64(b + 1))
         for r in range(ROWS):
-            x = T.mix(x * np.uint64(0x9E3779B97F4A7C15) + minima[:, b * ROWS + r])
+            x = T.mix(x * np.uint64(0x9E3779B97F4A7C15) + _minimum(h, heads, b * ROWS + r))
         keys[:, b] = x
-    bits = ((minima[:, :, None] >> np.arange(BITS, dtype=np.uint32)) & 1).astype(np.uint8).reshape(len(full), k * BITS)
-    packed = np.packbits(bits, axis=1)
-    return keys, np.ascontiguousarray(np.pad(packed, ((0, 0), (0, -packed.shape[1] % 8))))
+    return keys
+
+
+def _signatures(h: np.ndarray, heads: np.ndarray) -> np.ndarray:
+    """Sets x bytes: the low bits of all minima."""
+    per = 8 // BITS
+    out = np.zeros((len(heads), SLOTS // per), np.uint8)
+    for j in range(SLOTS):
+        out[:, j // per] |= (_minimum(h, heads, j) & np.uint32(2**BITS - 1)).astype(np.uint8) << np.uint8(BITS * (j % per))
+    return out
 
 
 def _describe(width: int):
@@ -84,7 +94,7 @@ def _describe(width: int):
             for run in T.runs(batch):
                 h, at = shingle_sets(run.column("text"), width)
                 n, full = len(at) - 1, np.flatnonzero(at[:-1] < at[1:])
-                keys, signatures = (np.zeros((0, BANDS), np.uint64), np.zeros((0, 8), np.uint8)) if not len(full) else _signatures(h, at)
+                keys = _band_keys(h, at[full]) if len(full) else np.zeros((0, BANDS), np.uint64)
                 one, two = np.zeros(n, np.uint64), np.zeros(n, np.uint64)
                 if len(full):
                     one[full] = np.add.reduceat(T.mix(h), at[full])
@@ -96,10 +106,9 @@ def _describe(width: int):
                 bands = [None] * n
                 for i in full.tolist():
                     bands[i] = keys[where[i]].view(np.int64)
-                packed = [signatures[where[i]].tobytes() if some[i] else None for i in range(n)]
                 yield pa.RecordBatch.from_arrays(
-                    [run.column("doc_id"), pa.array(np.diff(at), pa.int64()), pa.array(one.view(np.int64), mask=empty), pa.array(two.view(np.int64), mask=empty), pa.array(bands, pa.list_(pa.int64())), pa.array(packed, pa.binary())],
-                    names=["doc_id", "n", "one", "two", "bands", "signature"],
+                    [run.column("doc_id"), pa.array(np.diff(at), pa.int64()), pa.array(one.view(np.int64), mask=empty), pa.array(two.view(np.int64), mask=empty), pa.array(bands, pa.list_(pa.int64()))],
+                    names=["doc_id", "n", "one", "two", "bands"],
                 )
 
     return of
@@ -107,7 +116,6 @@ def _describe(width: int):
 
 def _pairs_of(nodes: np.ndarray, comps: np.ndarray, signatures: np.ndarray, base: np.ndarray, least: float, tested: set, more: int) -> list[tuple[int, int]]:
     """A spanning forest of the likely links between components, of seekers (base false) with all rows, and `more` other such pairs."""
-    slots = BANDS * ROWS
     words = signatures.view(np.uint64)
     low = np.uint64(sum(1 << (BITS * i) for i in range(64 // BITS)))
     _, label = np.unique(comps, return_inverse=True)
@@ -126,8 +134,8 @@ def _pairs_of(nodes: np.ndarray, comps: np.ndarray, signatures: np.ndarray, base
         differ = words ^ words[i]
         for s in range(1, BITS):
             differ |= (words ^ words[i]) >> np.uint64(s)
-        equal = slots - np.bitwise_count(differ & low).sum(1)
-        estimate = (equal / slots - 2.0**-BITS) / (1 - 2.0**-BITS)
+        equal = SLOTS - np.bitwise_count(differ & low).sum(1)
+        estimate = (equal / SLOTS - 2.0**-BITS) / (1 - 2.0**-BITS)
         near = np.flatnonzero((estimate >= least) & (label != label[i]))
         if len(near):
             likely.append((i, near))
@@ -181,7 +189,9 @@ def _sets(width: int):
         for batch in batches:
             for run in T.runs(batch):
                 h, at = shingle_sets(run.column("text"), width)
-                yield pa.RecordBatch.from_arrays([run.column("node"), pa.array([h[a:b].tobytes() for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)], pa.binary())], names=["node", "items"])
+                full = np.flatnonzero(at[:-1] < at[1:])
+                signatures = _signatures(h, at[full]) if len(full) else np.zeros((0, 8), np.uint8)
+                yield pa.RecordBatch.from_arrays([run.column("node").take(pa.array(full)), pa.array([h[at[i] : at[i + 1]].tobytes() for i in full.tolist()], pa.binary()), pa.array([x.tobytes() for x in signatures], pa.binary())], names=["node", "items", "signature"])
 
     return of
 
@@ -192,28 +202,28 @@ def near_duplicates(docs: DataFrame, width: int = 3, percent: int = 85) -> DataF
     scratch = Scratch(spark)
     docs = docs.select("doc_id", "text")
     j = percent / 100
-    least = j - SIGMAS * (j * (1 - j) / (BANDS * ROWS)) ** 0.5 / (1 - 2.0**-BITS)
-    described = scratch.put(docs.mapInArrow(_describe(width), "doc_id long, n long, one long, two long, bands array<long>, signature binary"), "described")
+    least = j - SIGMAS * (j * (1 - j) / SLOTS) ** 0.5 / (1 - 2.0**-BITS)
+    described = scratch.put(docs.mapInArrow(_describe(width), "doc_id long, n long, one long, two long, bands array<long>"), "described")
     named = described.where("doc_id is not null and one is not null")
-    nodes = scratch.put(named.groupBy("one", "two", "n").agg(F.min("doc_id").alias("node"), F.any_value("bands").alias("bands"), F.any_value("signature").alias("signature")), "nodes")
-    entries = nodes.select(F.explode("bands").alias("band"), "node")
+    nodes = scratch.put(named.groupBy("one", "two", "n").agg(F.min("doc_id").alias("node"), F.any_value("bands").alias("bands")), "nodes")
+    entries = nodes.select(F.posexplode("bands").alias("number", "band"), "node")
     shared = scratch.put(entries.groupBy("band").agg(F.count("*").alias("m")).where("m > 1"), "shared")
     buckets = scratch.put(entries.join(shared, "band"), "buckets")
     members = scratch.put(buckets.select("node").distinct(), "members")
-    signed = scratch.put(nodes.select("node", "signature").join(members, "node", "left_semi").dropDuplicates(["node"]), "signed")
     own = docs.join(members.withColumnRenamed("node", "doc_id"), "doc_id", "left_semi").select(F.col("doc_id").alias("node"), "text")
-    sets = scratch.put(own.mapInArrow(_sets(width), "node long, items binary").dropDuplicates(["node"]), "sets")
+    sets = scratch.put(own.mapInArrow(_sets(width), "node long, items binary, signature binary").dropDuplicates(["node"]), "sets")
+    signed = sets.select("node", "signature")
     labels = scratch.put(members.withColumn("component", F.col("node")), "labels")
     tested = links = None
     turn = 0
     while True:
         # buckets that are not one component yet
-        here = buckets.join(labels, "node")
+        here = (buckets.where(F.col("number") < FIRST) if turn == 0 else buckets).drop("number").join(labels, "node")
         open_ = scratch.put(here.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("band"), "open")
         rows = scratch.put(here.join(open_, "band").join(signed, "node"), "rows")
         small = rows.where(F.col("m") <= 2 * BLOCK).select("band", F.lit(0).alias("block"), F.lit(0).alias("part"), "node", "component", "signature", F.lit(False).alias("base"))
         large = rows.where(F.col("m") > 2 * BLOCK)
-        if turn < 2:
+        if turn < 3:
             salt = F.pmod(F.xxhash64(F.lit(turn), "node"), F.ceil(F.col("m") / BLOCK))
             dealt = large.select("band", salt.cast("int").alias("block"), F.lit(0).alias("part"), "node", "component", "signature", F.lit(False).alias("base"))
         else:
@@ -229,17 +239,15 @@ def near_duplicates(docs: DataFrame, width: int = 3, percent: int = 85) -> DataF
         else:  # pairs that were tested without a link, at their lesser node
             failed = tested.groupBy("a").agg(F.collect_list(F.array("a", "b")).alias("tested")).withColumnRenamed("a", "node")
             groups = groups.join(failed, "node", "left")
-        pairs = groups.groupBy("band", "block", "part").applyInArrow(_forest(least, turn), "a long, b long").distinct()
+        pairs = groups.groupBy("band", "block", "part").applyInArrow(_forest(least, max(0, turn - 1)), "a long, b long").distinct()
         if tested is not None:
             pairs = pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti")
         pairs = scratch.put(pairs, "pairs")
         scratch.drop(rows, open_)
         if pairs.isEmpty():
-            if turn < 2 and not large_left(buckets):
-                break
-            if turn >= 2:
+            if turn > 2 or turn > 0 and not large_left(buckets):
                 break
-            turn = 2
+            turn = 1 if turn == 0 else 3
             continue
         both = pairs.join(sets.select(F.col("node").alias("a"), F.col("items").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("items").alias("y")), "b")
         judged = scratch.put(both.select("a", "b", "x", "y").mapInArrow(_confirm(percent), "a long, b long, linked boolean"), "judged")
