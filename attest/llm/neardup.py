@@ -37,6 +37,8 @@ from .store import Scratch
 BANDS, ROWS, SLOTS, BITS, SIGMAS, BLOCK = 24, 5, 1024, 4, 4.5, 256
 #: Bands of the first round.
 FIRST = 3
+#: Rows of the small groups that one call looks at.
+UNIT = 4096
 _SEEDS = T.mix(np.arange(1, 2 * SLOTS + 1, dtype=np.uint64) * np.uint64(0x2545F4914F6CDD1D))
 
 
@@ -114,10 +116,8 @@ def _describe(width: int):
     return of
 
 
-def _pairs_of(nodes: np.ndarray, comps: np.ndarray, signatures: np.ndarray, base: np.ndarray, least: float, tested: set, more: int) -> list[tuple[int, int]]:
-    """A spanning forest of the likely links between components, of seekers (base false) with all rows, and `more` other such pairs."""
-    words = signatures.view(np.uint64)
-    low = np.uint64(sum(1 << (BITS * i) for i in range(64 // BITS)))
+def _pairs_of(nodes: np.ndarray, comps: np.ndarray, signatures: np.ndarray, base: np.ndarray, least: float, tested: set, chosen: set, more: int) -> None:
+    """Adds to `chosen` a spanning forest of the likely links between components, of seekers (base false) with all rows, and `more` other such pairs."""
     _, label = np.unique(comps, return_inverse=True)
     parent = list(range(int(label.max()) + 1))
 
@@ -127,15 +127,10 @@ def _pairs_of(nodes: np.ndarray, comps: np.ndarray, signatures: np.ndarray, base
             x = parent[x]
         return x
 
-    found: list[tuple[int, int]] = []
     seekers = np.flatnonzero(~base)
     likely: list[tuple[int, np.ndarray]] = []
     for i in seekers.tolist():
-        differ = words ^ words[i]
-        for s in range(1, BITS):
-            differ |= (words ^ words[i]) >> np.uint64(s)
-        equal = SLOTS - np.bitwise_count(differ & low).sum(1)
-        estimate = (equal / SLOTS - 2.0**-BITS) / (1 - 2.0**-BITS)
+        estimate = _estimate(signatures, signatures[i])
         near = np.flatnonzero((estimate >= least) & (label != label[i]))
         if len(near):
             likely.append((i, near))
@@ -146,27 +141,45 @@ def _pairs_of(nodes: np.ndarray, comps: np.ndarray, signatures: np.ndarray, base
                 continue
             pair = (min(int(nodes[i]), int(nodes[j])), max(int(nodes[i]), int(nodes[j])))
             if pair not in tested:
-                tested.add(pair)
                 more -= a == b
                 parent[max(a, b)] = min(a, b)
-                found.append(pair)
-    return found
+                chosen.add(pair)
+
+
+def _estimate(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Similarity from signatures (as 64-bit words): equal slots by bit counts, corrected for chance."""
+    low = np.uint64(sum(1 << (BITS * i) for i in range(64 // BITS)))
+    x = a ^ b
+    differ = x.copy()
+    for s in range(1, BITS):
+        differ |= x >> np.uint64(s)
+    equal = SLOTS - np.bitwise_count(differ & low).sum(-1)
+    return (equal / SLOTS - 2.0**-BITS) / (1 - 2.0**-BITS)
 
 
 def _forest(least: float, turn: int):
+    """Pairs to confirm of a unit: many small (band, block, part) groups, those of two nodes all at once."""
     names = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def of(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("band", "ascending"), ("block", "ascending"), ("part", "ascending"), ("node", "ascending"), ("base", "ascending")])
         get = lambda c: table.column(c).to_numpy()
-        tested = {tuple(x) for xs in table.column("tested").to_pylist() if xs for x in xs}
-        nodes, first = np.unique(get("node"), return_index=True)
-        base = get("base").astype(bool)
-        # a node that stands on both sides seeks
-        seeks = set(get("node")[~base].tolist())
-        signatures = np.frombuffer(b"".join(table.column("signature").take(pa.array(first)).to_pylist()), np.uint8).reshape(len(nodes), -1)
-        own = np.array([x not in seeks for x in nodes.tolist()])
-        pairs = _pairs_of(nodes, get("component")[first], signatures, own, least, {(min(p), max(p)) for p in tested}, len(nodes) * (4**turn - 1))
-        return pa.table({"a": pa.array([p[0] for p in pairs], pa.int64()), "b": pa.array([p[1] for p in pairs], pa.int64())}, schema=names)
+        node, comp, base = get("node"), get("component"), get("base").astype(bool)
+        key = np.stack([get("band"), get("block").astype(np.int64), get("part").astype(np.int64)], 1)
+        tested = {(min(x), max(x)) for xs in table.column("tested").to_pylist() if xs for x in xs}
+        signatures = np.frombuffer(b"".join(table.column("signature").to_pylist()), np.uint64).reshape(len(node), -1)
+        heads = np.flatnonzero(np.append(True, (key[1:] != key[:-1]).any(1)))
+        sizes = np.diff(np.append(heads, len(node)))
+        two = heads[sizes == 2]
+        two = two[(comp[two] != comp[two + 1]) & ~(base[two] & base[two + 1])]
+        two = two[_estimate(signatures[two], signatures[two + 1]) >= least]
+        pairs = {(int(x), int(y)) for x, y in zip(node[two].tolist(), node[two + 1].tolist(), strict=True)} - tested
+        for at, n in zip(heads[sizes > 2].tolist(), sizes[sizes > 2].tolist(), strict=True):
+            # a node on both sides seeks: its first row, with base false, is kept
+            rows = at + np.unique(node[at : at + n], return_index=True)[1]
+            _pairs_of(node[rows], comp[rows], signatures[rows], base[rows], least, tested, pairs, len(rows) * (4**turn - 1))
+        found = sorted(pairs)
+        return pa.table({"a": pa.array([p[0] for p in found], pa.int64()), "b": pa.array([p[1] for p in found], pa.int64())}, schema=names)
 
     return of
 
@@ -239,7 +252,9 @@ def near_duplicates(docs: DataFrame, width: int = 3, percent: int = 85) -> DataF
         else:  # pairs that were tested without a link, at their lesser node
             failed = tested.groupBy("a").agg(F.collect_list(F.array("a", "b")).alias("tested")).withColumnRenamed("a", "node")
             groups = groups.join(failed, "node", "left")
-        pairs = groups.groupBy("band", "block", "part").applyInArrow(_forest(least, max(0, turn - 1)), "a long, b long").distinct()
+        units = max(1, -(-rows.count() // UNIT))
+        unit = F.pmod(F.xxhash64("band", "block", "part"), F.lit(units)).cast("int")
+        pairs = groups.withColumn("unit", unit).groupBy("unit").applyInArrow(_forest(least, max(0, turn - 1)), "a long, b long").distinct()
         if tested is not None:
             pairs = pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti")
         pairs = scratch.put(pairs, "pairs")
