@@ -215,3 +215,28 @@ def mesh_distance(spark, d):
     tri = F.array(*[F.array(*[F.col("lo")[c] + 1.5 * corners[v][c] for v in f for c in range(3)]) for f in faces])
     triangles = _boxes(spark, d).select(F.col("p_partkey").alias("geometry_id"), F.explode(tri).alias("corners"))
     return B.mesh_distances(triangles, near).select("a", "b", micro(F.col("distance")).alias("distance"))
+
+
+_POINTS = "WITH p AS (SELECT l_orderkey, l_partkey, l_quantity AS x, l_discount*100 AS y, l_tax*100 AS z FROM lineitem)"
+
+
+@query(_POINTS + """ SELECT l_orderkey, count(*) AS n, min(x) AS min_x, max(x) AS max_x, (min(y)+max(y))/2 AS centre_y, max(z)-min(z) AS extent_z FROM p GROUP BY ALL""")
+def point_summary(spark, d):
+    from ..operators.shapes import summary
+
+    return summary(_lines(spark, d), ["l_orderkey"], "p").select("l_orderkey", "n", "min_x", "max_x", "centre_y", "extent_z")
+
+
+@query(_POINTS + """ SELECT l_orderkey, arg_min(l_partkey, (x, l_partkey)) AS least_x, arg_min(l_partkey, (-x, l_partkey)) AS greatest_x, arg_min(l_partkey, (z, l_partkey)) AS least_z FROM p GROUP BY ALL""")
+def extreme_landmarks(spark, d):
+    from ..operators.shapes import landmarks
+
+    return landmarks(_lines(spark, d), ["l_orderkey"], "p", "l_partkey").select("l_orderkey", "least_x", "greatest_x", "least_z")
+
+
+@query(_POINTS + """, e AS (SELECT l_orderkey, list_sort([max(x)-min(x), max(y)-min(y), max(z)-min(z)]) AS e FROM p GROUP BY ALL) SELECT l_orderkey, CASE WHEN e[3] <= 0 THEN 'point' WHEN e[1]/e[3] >= 0.8 THEN 'compact' WHEN e[2]/e[3] < 0.2 THEN 'rod' WHEN e[1]/e[2] < 0.2 THEN 'plate' ELSE 'block' END AS shape FROM e""")
+def shape_classes(spark, d):
+    from ..operators.shapes import shape_class, summary
+
+    s = summary(_lines(spark, d), ["l_orderkey"], "p")
+    return s.select("l_orderkey", shape_class(F.array("extent_x", "extent_y", "extent_z")).alias("shape"))

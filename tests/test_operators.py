@@ -253,3 +253,26 @@ def test_frames_in_time(spark):
     got = {r.query_id: (r.status, r.matrix and r.matrix[3]) for r in path_at(edges, path, queries, 50).collect()}
     assert got == {1: ("current", 3.0), 2: ("current", 4.0), 3: ("missing", None), 4: ("stale", None)}
     assert [tuple(r) for r in stream_issues(edges).collect()] == [("base", "several_publishers")]
+
+
+def test_shapes(spark, robots):
+    from attest.operators import shapes as P
+
+    r = np.random.default_rng(3)
+    pts = r.normal(0, 1, (200, 3)) * [5, 1, 0.2]
+    df = spark.createDataFrame([(0, i, p.tolist()) for i, p in enumerate(pts)], "k int, i int, p array<double>")
+    got = P.principal_axes(df, ["k"], "p").first()
+    w = np.linalg.eigh(np.cov(pts.T, bias=True))[0][::-1]
+    assert np.allclose(got.variances, w) and got.axis[0] > 0.9
+    s, m = P.summary(df, ["k"], "p").first(), P.landmarks(df, ["k"], "p", "i").first()
+    assert s.n == 200 and s.min_x == pts[:, 0].min() and m.least_x == pts[:, 0].argmin() and m.greatest_z == pts[:, 2].argmax()
+    tables, _ = robots
+    value = F.when(F.col("joint") == "slide", 0.5).otherwise(0.0)
+    joints = tables["joints"].where("robot='r'").withColumn("value", value).withColumn("driver", F.col("joint")).withColumn("multiplier", F.lit(1.0))
+    frames = G.forward_kinematics(joints, spark.sql("SELECT 'r' AS robot, 'base' AS link"))
+    paths = G.root_paths(joints.select("child", "parent").unionByName(spark.sql("SELECT 'base' AS child, CAST(NULL AS STRING) AS parent"))).select(F.lit("r").alias("robot"), F.col("node").alias("link"), "path")
+    loads = {x.driver: x.load for x in P.gravity_loads(tables["inertials"].where("robot='r'"), frames, joints, paths, (0, -10, 0)).collect()}
+    assert loads == {"shoulder": pytest.approx(20.0)}  # 2 kg one metre out, turning about z
+    d = spark.createDataFrame([("r", "a", 0, -1.0, 1.0), ("r", "b", 1, 0.0, 3.0)], "robot string, driver string, number int, lower double, upper double")
+    poses = P.halton_poses(d, 8).where("sample = 2").collect()
+    assert {x.driver: round(x.value, 9) for x in poses} == {"a": -0.5, "b": 2.0}
