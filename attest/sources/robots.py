@@ -226,6 +226,50 @@ def read_robots(documents: DataFrame) -> tuple[dict[str, DataFrame], DataFrame]:
     return {n: table(n, k) for n, k in SCHEMAS.items()}, documents.select("robot", "xml").mapInPandas(why, "robot string, why string")
 
 
+STATES = "robot string, grp string, state string, joint string, value double"
+DISABLED = "robot string, a string, b string, reason string"
+
+
+def read_semantics(documents: DataFrame) -> dict[str, DataFrame]:
+    """SRDF documents (robot, xml) to groups, states and disabled pairs; documents that cannot be read give no rows."""
+
+    def table(name: str, kinds: str):
+        columns = [c.strip().split(" ")[0] for c in kinds.split(", ")]
+
+        def of(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in frames:
+                rows = []
+                for robot, xml in zip(pdf["robot"], pdf["xml"], strict=True):
+                    try:
+                        rows += parse_srdf(robot, xml)[name]
+                    except (ET.ParseError, ValueError, TypeError, AttributeError):
+                        continue
+                yield pd.DataFrame(rows, columns=columns)
+
+        return documents.select("robot", "xml").mapInPandas(of, kinds)
+
+    return {"groups": table("groups", GROUPS), "states": table("states", STATES), "disabled": table("disabled", DISABLED)}
+
+
+def expand_groups(groups: DataFrame, joints: DataFrame, paths: DataFrame) -> DataFrame:
+    """(robot, grp, joint): members named, of chains (the joints below base on the way to tip) and of subgroups at any depth.
+
+    paths (robot, link, path) are root paths of links.
+    """
+    inner = groups.where("member_kind = 'group'").select(F.concat_ws("/", "robot", "grp").alias("parent"), F.concat_ws("/", "robot", "member").alias("child"))
+    names = groups.select(F.concat_ws("/", "robot", "grp").alias("node")).distinct()
+    from ..operators.graphs import descendants
+
+    under = descendants(inner, names).select(F.col("ancestor"), F.col("node"))
+    named = groups.where("member_kind = 'joint'").select("robot", "grp", F.col("member").alias("joint"))
+    linked = groups.where("member_kind = 'link'").join(joints.select("robot", F.col("child").alias("member"), "joint"), ["robot", "member"]).select("robot", "grp", "joint")
+    chains = groups.where("member_kind = 'chain'").join(paths.select("robot", F.col("link").alias("tip"), "path"), ["robot", "tip"])
+    below = chains.select("robot", "grp", F.explode(F.expr("slice(path, cast(array_position(path, member) as int) + 1, size(path))")).alias("child"))
+    own = named.unionByName(linked).unionByName(below.join(joints.select("robot", "child", "joint"), ["robot", "child"]).select("robot", "grp", "joint"))
+    out = own.withColumn("node", F.concat_ws("/", "robot", "grp")).join(under, "node")
+    return out.select("robot", F.substring_index("ancestor", "/", -1).alias("grp"), "joint").distinct()
+
+
 def mimic_edges(joints: DataFrame) -> DataFrame:
     """Joints as edges of the mimic forest: child, parent (null for a driver), multiplier, offset; names hold the robot."""
     name = lambda c: F.concat_ws("/", "robot", c)

@@ -115,6 +115,16 @@ def import_traces(documents: DataFrame, adapter: str = "generic") -> tuple[DataF
     return runs, tables, events, rejected
 
 
+def read_events(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """JSONL event logs to events (path, time_s, type, status, raw) and rejected lines (path, raw, why)."""
+    lines = read_documents(spark, path, lines=True).where("raw <> ''")
+    time = F.get_json_object("raw", "$.time_s").cast("double")
+    kind = F.get_json_object("raw", "$.type")
+    why = F.when(has_label(F.col("raw")), "label").when(F.try_parse_json("raw").isNull(), "syntax").when(time.isNull() | (time < 0) | F.isnan(time), "time").when(kind.isNull(), "type")
+    judged = lines.withColumn("why", why)
+    return judged.where("why is null").select("path", time.alias("time_s"), kind.alias("type"), F.get_json_object("raw", "$.status").alias("status"), "raw"), judged.where("why is not null").select("path", "raw", "why")
+
+
 def write_channels(tables: dict[str, DataFrame], path: str) -> None:
     """One Parquet folder per channel, rows of a run together, so that later reads prune channels and columns."""
     for name, rows in tables.items():

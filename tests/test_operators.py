@@ -276,3 +276,18 @@ def test_shapes(spark, robots):
     d = spark.createDataFrame([("r", "a", 0, -1.0, 1.0), ("r", "b", 1, 0.0, 3.0)], "robot string, driver string, number int, lower double, upper double")
     poses = P.halton_poses(d, 8).where("sample = 2").collect()
     assert {x.driver: round(x.value, 9) for x in poses} == {"a": -0.5, "b": 2.0}
+
+
+def test_semantics_and_event_logs(spark, robots, tmp_path):
+    from attest.sources.traces import read_events
+
+    srdf = "<robot name='r'><group name='arm'><chain base_link='base' tip_link='slider'/></group><group name='all'><group name='arm'/><joint name='mount'/></group><group_state name='home' group='arm'><joint name='slide' value='0.5'/></group_state><disable_collisions link1='b' link2='a' reason='near'/></robot>"
+    t = R.read_semantics(spark.createDataFrame([("r", srdf), ("x", "<broken")], "robot string, xml string"))
+    joints = robots[0]["joints"].where("robot='r'")
+    paths = G.root_paths(joints.select("child", "parent").unionByName(spark.sql("SELECT 'base' AS child, CAST(NULL AS STRING) AS parent"))).select(F.lit("r").alias("robot"), F.col("node").alias("link"), "path")
+    got = {(r.grp, r.joint) for r in R.expand_groups(t["groups"], joints, paths).collect()}
+    assert got == {("arm", "shoulder"), ("arm", "slide"), ("all", "shoulder"), ("all", "slide"), ("all", "mount")}
+    assert t["states"].first().value == 0.5 and (t["disabled"].first().a, t["disabled"].first().b) == ("a", "b")
+    (tmp_path / "e.jsonl").write_text('{"time_s": 1, "type": "x"}\n{"time_s": 2, "type": "y", "deep": {"Success": 1}}\n{"type": "z"}\n{oops\n')
+    good, bad = read_events(spark, f"file://{tmp_path}/e.jsonl")
+    assert [r.type for r in good.collect()] == ["x"] and sorted(r.why for r in bad.collect()) == ["label", "syntax", "time"]
