@@ -11,6 +11,7 @@ from ..operators import evidence as E
 from ..operators import facts as K
 from ..operators import graphs as G
 from ..operators import score as C
+from ..sources.shared import shared_folder
 from .registry import EV, events, micro, query, table
 
 # The tree world -> region -> nation -> customer, supplier.
@@ -72,9 +73,9 @@ def connected_components(spark, d):
 
 
 def _settle(spark):
-    """Cuts a loop's lineage with checkpoint() in the session's shared folder; a local one only where none is set (tests)."""
-    if not spark.conf.get("spark.checkpoint.dir", None) and spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir("/tmp/attest-checkpoints")
+    """Cuts a loop's lineage with checkpoint() in the session's shared folder."""
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
     return lambda df: df.checkpoint()
 
 

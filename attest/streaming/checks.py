@@ -6,20 +6,15 @@ older than what a key has seen are late: they are reported, never repaired.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-
-def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; a local folder only where it is unset (tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    return (found or f"file://{tempfile.gettempdir()}/attest-shared").rstrip("/")
+from ..sources.shared import shared_folder
 
 
 def drain(stream: DataFrame, mode: str = "append") -> DataFrame:
