@@ -98,9 +98,9 @@ def connected_components(edges: DataFrame, settle=None, limit: int = DEPTH) -> D
     nodes = edges.select(F.col("a").alias("node")).unionByName(edges.select(F.col("b").alias("node"))).distinct()
     now = settle(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     for _ in range(limit):
-        both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = settle(both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").distinct())
+        # the last rounds hang nearly all nodes on one: least is dealt otherwise than by u, so that the join shuffles both sides and a common v can be split
+        least = settle(now.groupBy("u").agg(F.min("v").alias("m")).repartition("u", "m")).select(F.col("u").alias("v"), "m")
+        large = settle(now.join(least, "v", "left").select("u", F.coalesce("m", "v").alias("v")).distinct())
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         new = settle(large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).where("u > v").distinct())
         if new.exceptAll(now).isEmpty() and now.exceptAll(new).isEmpty():

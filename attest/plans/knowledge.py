@@ -72,6 +72,13 @@ def connected_components(spark, d):
     return G.connected_components(e, _settle(spark))
 
 
+@query()
+def connected_components_whole(spark, d):
+    """The components of the whole part/order graph: every row of lineitem is an edge."""
+    e = table(spark, d, "lineitem").select(F.col("l_partkey").alias("a"), (-1 - F.col("l_orderkey")).alias("b"))
+    return G.connected_components(e, _settle(spark))
+
+
 def _settle(spark):
     """Cuts a loop's lineage with checkpoint() in the session's shared folder."""
     if spark.sparkContext.getCheckpointDir() is None:
