@@ -1,5 +1,6 @@
 """Graph queries over the whole lineitem table against plain Python."""
 
+import duckdb
 import pytest
 
 import __spark_entry__ as entry
@@ -12,7 +13,7 @@ def save(spark, folder, rows, schema="l_orderkey long, l_partkey long, l_suppkey
 
 # (order, part, supplier): two components joined late, a chain, repeated rows, and quantities that a row filter would drop
 LINES = [(i, i // 3 + 1, i % 5 + 1, float(i % 50 + 1), (i % 11) / 100) for i in range(30)] + [(100 + i, 50 + i + k, 20 + i, 1.0, 0.0) for i in range(12) for k in (0, 1)]
-LINES += LINES[:4] + [(200, 90, 40, 50.0, 0.1)]
+LINES += LINES[:4] + [(200, 90, 40, 50.0, 0.1), (201, 0, 0, 1.0, 0.0), (202, 0, 31, 1.0, 0.0), (203, 62, 0, 1.0, 0.0), (204, 90, 31, 1.0, 0.0)]
 
 
 def components(pairs):
@@ -34,3 +35,22 @@ def test_components_of_all_lines(spark, tmp_path, lines):
     out = entry.queries()["connected_components_whole"](spark, save(spark, tmp_path, lines)).collect()
     want = components([(p, -1 - o) for o, p, *_ in lines])
     assert len(out) == len(want) and {r.node: r.component for r in out} == want
+
+
+@pytest.mark.parametrize("lines", [LINES, []])
+def test_closure_of_all_lines(spark, tmp_path, lines):
+    where = save(spark, tmp_path, lines)
+    got = [r.node for r in entry.queries()["proof_closure_whole"](spark, where).collect()]
+    below = {}
+    for _, p, s, *_ in lines:
+        below.setdefault(p, set()).add(-1 - s)
+        below.setdefault(-1 - s, set()).add(p)
+    want, front = set(), {max((x[1] for x in lines), default=None)} - {None}
+    while front:
+        want |= front
+        front = set().union(*(below[v] for v in front)) - want
+    assert sorted(got) == sorted(want)
+    sql = entry.oracle_sql()["proof_closure_whole"]
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{where}/lineitem.parquet/*.parquet'")
+    assert sorted(got) == sorted(r[0] for r in con.execute(sql).fetchall())
