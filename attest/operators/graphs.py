@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -75,21 +77,23 @@ def degrees(edges: DataFrame) -> DataFrame:
     return out.select("node", n.alias("n_children"), (n == 0).alias("is_leaf"), (n > 1).alias("is_branch"))
 
 
-def closure(premises: DataFrame, seeds: DataFrame, settle=None, limit: int = DEPTH) -> DataFrame:
+def closure(premises: DataFrame, seeds: DataFrame, settle=None, limit: int | None = None) -> DataFrame:
     """Everything the seeds (column node) rest on through premises (node, premise): a loop of joins with distinct.
 
-    `settle` writes a step's table (a checkpoint); without it, plans are cut by Dataset.checkpoint.
+    `settle` writes a step's table (a checkpoint); without it, plans are cut by Dataset.checkpoint. The loop ends when
+    nothing new is reached; a chain deeper than `limit` rounds, where one is given, is an error.
     """
     settle = settle or (lambda df: df.checkpoint())
     reached = settle(seeds.select("node").distinct())
     front = reached
-    for _ in range(limit):
+    for done in count():
         step = premises.join(front, "node").select(F.col("premise").alias("node")).distinct()
         front = settle(step.join(reached, "node", "left_anti"))
         if front.isEmpty():
-            break
+            return reached
+        if done == limit:
+            raise ValueError(f"premises go on after {limit} rounds")
         reached = settle(reached.unionByName(front))
-    return reached
 
 
 def connected_components(edges: DataFrame, settle=None, limit: int = DEPTH) -> DataFrame:

@@ -1,9 +1,12 @@
 """Graph queries over the whole lineitem table against plain Python."""
 
+import inspect
+
 import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from attest.operators import graphs as G
 
 
 def save(spark, folder, rows, schema="l_orderkey long, l_partkey long, l_suppkey long, l_quantity double, l_discount double"):
@@ -54,3 +57,13 @@ def test_closure_of_all_lines(spark, tmp_path, lines):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{where}/lineitem.parquet/*.parquet'")
     assert sorted(got) == sorted(r[0] for r in con.execute(sql).fetchall())
+
+
+def test_closure_goes_to_the_end_or_fails(spark):
+    assert inspect.signature(G.closure).parameters["limit"].default is None
+    chain = spark.createDataFrame([(i, i + 1) for i in range(6)], "node long, premise long")
+    seed = spark.createDataFrame([(0,)], "node long")
+    assert {r.node for r in G.closure(chain, seed).collect()} == set(range(7))
+    assert G.closure(chain, seed, limit=6).count() == 7
+    with pytest.raises(ValueError):
+        G.closure(chain, seed, limit=5)
