@@ -9,8 +9,8 @@ equal parts by its first three hex digits (keys are uniform), bucket sums are pr
 prefix sums over at most 4096 sums of a source start each bucket, and a window inside a (source, bucket) does the rest.
 
 Defined results: null texts have size 0 and take 0; a null source is a source of its own, last in order; equal ids get
-equal keys and are told apart by size, repeated rows each count; an empty table gives an empty result. Columns beside
-id, text and source are not read. With no words at all every target is 0.
+equal keys and are told apart by size, repeated rows each count; an empty table gives an empty result. Further columns
+of the documents, whatever their names, are kept apart and carried along. With no words at all every target is 0.
 """
 
 from __future__ import annotations
@@ -21,11 +21,13 @@ from pyspark.sql import functions as F
 
 DIGITS = 3
 WEIGHTS = (5.0, 2.0, 1.0)
+WORD = r"[^\x20\x09-\x0D]+"
+OWN = "_own"
 
 
 def word_count(text: str = "text") -> Column:
     """Number of runs of characters other than ASCII white space; 0 for null."""
-    return F.coalesce(F.regexp_count(F.col(text), F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
+    return F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long")
 
 
 def targets(sizes: DataFrame, share: float = 1.5, cap: float = 2.0, weights: tuple[float, ...] = WEIGHTS) -> DataFrame:
@@ -54,11 +56,12 @@ def targets(sizes: DataFrame, share: float = 1.5, cap: float = 2.0, weights: tup
 
 
 def mix(docs: DataFrame, seed: int = 7, share: float = 1.5, cap: float = 2.0, weights: tuple[float, ...] = WEIGHTS) -> DataFrame:
-    """One row per document: doc_id, source, size, source_size, target, taken, copies (whole rounds) and tail (words of the next)."""
+    """One row per document: doc_id, source, size, source_size, target, taken, copies (whole rounds), tail (words of the next) and OWN, the document."""
     key = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("doc_id").cast("string")))
     # a key without nulls, so that the join and the window below share one shuffle
     named = F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("null")).alias("s")
-    rows = docs.select("doc_id", "source", named, word_count().alias("size")).withColumn("key", key).withColumn("bucket", F.substring("key", 1, DIGITS))
+    own = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias(OWN)
+    rows = docs.select("doc_id", "source", named, word_count().alias("size"), own).withColumn("key", key).withColumn("bucket", F.substring("key", 1, DIGITS))
     sums = rows.groupBy("s", "source", "bucket").agg(F.sum("size").alias("bucket_size"))
     starts = sums.withColumn("start", F.coalesce(F.sum("bucket_size").over(W.partitionBy("s").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
     goals = targets(sums.groupBy("source").agg(F.sum("bucket_size").alias("source_size")), share, cap, weights)
@@ -71,10 +74,24 @@ def mix(docs: DataFrame, seed: int = 7, share: float = 1.5, cap: float = 2.0, we
         joined.withColumn("before", F.col("start") + F.coalesce(F.sum("size").over(inside), F.lit(0)))
         .withColumn("copies", F.when(F.col("source_size") == 0, F.lit(0)).otherwise(copies).cast("long"))
         .withColumn("tail", F.greatest(F.lit(0), F.least(F.col("size"), rest - F.col("before"))).cast("long"))
-        .select("doc_id", "source", "size", "source_size", "target", (F.col("copies") * F.col("size") + F.col("tail")).alias("taken"), "copies", "tail")
+        .select("doc_id", "source", "size", "source_size", "target", (F.col("copies") * F.col("size") + F.col("tail")).alias("taken"), "copies", "tail", OWN)
     )
 
 
+def mixture(docs: DataFrame, **how) -> DataFrame:
+    """The mixed training set: a row with the documents' columns and _copy (from 1) for each time that mix() takes words of a document.
+
+    Whole rounds give the text as it is, and so does the last round up to the cut; the document at the cut gives its
+    first words, joined by one space. n_chars follows the text. A document without words gives no row.
+    """
+    own = lambda c: F.col(OWN).getField(c)
+    mixed = mix(docs, **how).where("taken > 0").select(OWN, "size", "copies", "tail", F.explode(F.sequence(F.lit(1), (F.col("copies") + F.when(F.col("tail") > 0, 1).otherwise(0)).cast("int"))).alias("copy"))
+    cut = (F.col("copy") > F.col("copies")) & (F.col("tail") < F.col("size"))
+    first = F.array_join(F.slice(F.regexp_extract_all(own("text"), F.lit(WORD), F.lit(0)), F.lit(1), F.col("tail").cast("int")), " ")
+    texts = mixed.withColumn("said", F.when(cut, first).otherwise(own("text")))
+    return texts.select(*[(F.col("said") if c == "text" else F.length("said").cast("long") if c == "n_chars" else own(c)).alias(c) for c in docs.columns], F.col("copy").cast("long").alias("_copy"))
+
+
 def op5_mixing(spark, sf_dir: str) -> DataFrame:
     from .store import table
 

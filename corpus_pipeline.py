@@ -6,10 +6,10 @@ Stages, each by one operator of attest.llm, each over all rows its predecessor k
 2. near_duplicates: word-shingle MinHash (five words, similarity 0.8 or more); of each group the least doc_id stays.
 3. substrings: runs of 20 words or more that also start earlier are cut from the texts; a document left without words goes.
 4. decontamination: benchmark passages (10 words) are cut; a document with more than half of its words hit goes.
-5. mixing: sources mixed to their target weights; the result says how often each document is taken and its last round's words.
+5. mixing: sources mixed to their target weights: the texts themselves, once for each copy, cut where a source ends.
 
-All but the last return the columns of documents (n_chars follows the text). Documents that were empty before a stage
-stay: they are clean.
+All return the columns of documents (n_chars follows the text), the last also _copy. Documents that were empty before a
+stage stay: they are clean; the mixture takes no words of them, so they are not in it.
 """
 
 from __future__ import annotations
@@ -43,7 +43,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return mixing.mix(docs)
+    return mixing.mixture(docs)
 
 
 STAGES = [
