@@ -4,20 +4,24 @@ A document's set holds the hashes of its distinct runs of `width` words (A-Z low
 space); with fewer words the whole sequence is its one element; without words it is empty and linked with nothing.
 
 1. Documents with equal sets are one node, named by the least doc_id; only nodes go on.
-2. Each node has BANDS * ROWS minima. The minima of a band, hashed, are a band key; a node shares a bucket with every node
-   that has the same key. At similarity 0.85 a pair meets in no bucket with probability (1 - 0.85**5)**24 < 1e-6.
+2. A band is a few minima of each node, hashed; nodes with the same hash share a bucket. bands_of() takes as many bands as
+   leave a pair at the threshold in no common bucket with probability below MISS.
    Nodes that share a bucket get a signature: the lowest BITS bits of SLOTS minima, packed.
-3. In rounds, each bucket whose nodes are not yet one component is searched for links between components: similarities
-   are estimated from the signatures by bit counts, corrected for chance collisions (2**-BITS), and of the pairs whose
-   estimate is within SIGMAS standard errors of the threshold a spanning forest is confirmed on the whole sets. Pairs
-   inside a component are never formed, so a bucket of m copies costs about m pairs, not m**2. Where pairs of the forest
-   turn out not to be links, later rounds confirm 3, 15, 63 ... further pairs for each node. The first round takes only
-   some of the bands, which joins most copies before the others are looked at.
-4. Links merge components (alternating stars). A round without an untested pair between components ends the search.
-
-Buckets over BLOCK nodes are dealt into blocks of about that size by random salts for three rounds, which joins a group of
-copies; after that the nodes outside the bucket's largest component meet all its nodes, block by block. So no task
-holds a whole bucket, and no pair is left out.
+3. Twice (some bands, then all) each bucket whose nodes are not yet one component gives a spanning forest of its likely
+   links: similarities are estimated from the signatures by bit counts, corrected for chance collisions (2**-BITS), and
+   the highest estimates within SIGMAS standard errors of the threshold join first. These pairs, fewer than the
+   bucket's rows, are confirmed on the whole sets.
+4. What is still undecided is decided in place: nodes with a likely link out of their component meet, with their whole
+   sets, in the first band that they share; a unit counts common shingles over its inverted index and gives a forest
+   of the links that it has confirmed. So every likely pair is judged, and no step gives more rows than it read.
+Links merge components (alternating stars).
+
+A link is missed only if its pair meets in no band (MISS at the threshold, far less above it) or is estimated SIGMAS standard
+errors too low (about 2e-8).
+
+Buckets over 2 * BLOCK (counted in nodes, a long text as several) are dealt into blocks of about BLOCK: for the forests by
+random salts, at the end so that all nodes outside the bucket's largest component meet all its nodes, block by block. So
+no task holds a whole bucket, and no pair is left out.
 
 Defined results: null and empty texts have empty sets; rows with a null doc_id are counted but linked with nothing and
 kept; rows that repeat a doc_id are one node; further columns are not read; an empty table gives an empty result.
@@ -25,6 +29,8 @@ kept; rows that repeat a doc_id are one node; further columns are not read; an e
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -34,14 +40,24 @@ from . import text as T
 from .components import components
 from .store import Scratch
 
-BANDS, ROWS, SLOTS, BITS, SIGMAS, BLOCK = 24, 5, 1024, 4, 4.5, 256
-#: Bands of the first round.
-FIRST = 3
-#: Rows of the small groups that one call looks at.
-UNIT = 4096
+SLOTS, BITS, SIGMAS, BLOCK, MISS = 1024, 4, 5.5, 256, 1e-6
+#: Most rows of a band and most bands; shingles that count as one more node; bands of the first forests.
+ROWS, MOST_BANDS, HEAVY, FIRST = 5, 64, 2048, 3
+#: Estimates that one unit of groups makes, and bytes of sets that one unit confirms.
+UNIT, UNIT_BYTES = 1 << 15, 1 << 21
 _SEEDS = T.mix(np.arange(1, 2 * SLOTS + 1, dtype=np.uint64) * np.uint64(0x2545F4914F6CDD1D))
 
 
+def bands_of(percent: int) -> tuple[int, int]:
+    """Number of bands and minima in each: the most minima, up to ROWS, with which MOST_BANDS bands can do."""
+    j = min(percent, 100) / 100
+    for rows in range(ROWS, 0, -1):
+        bands = 1 if j == 1 else math.ceil(math.log(MISS) / math.log(1 - j**rows))
+        if bands <= MOST_BANDS:
+            return bands, rows
+    raise ValueError(f"similarities as low as {percent} % need more bands than {MOST_BANDS}")
+
+
 def shingle_sets(column: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct shingle hashes of all texts, one text after the other, and their n + 1 offsets."""
     data, offsets = T.flat(column)
@@ -70,13 +86,13 @@ def _minimum(h: np.ndarray, heads: np.ndarray, j: int) -> np.ndarray:
     return np.minimum.reduceat((((h ^ _SEEDS[2 * j]) * (_SEEDS[2 * j + 1] | np.uint64(1))) >> np.uint64(32)).astype(np.uint32), heads)
 
 
-def _band_keys(h: np.ndarray, heads: np.ndarray) -> np.ndarray:
-    """Sets x BANDS."""
-    keys = np.zeros((len(heads), BANDS), np.uint64)
-    for b in range(BANDS):
+def _band_keys(h: np.ndarray, heads: np.ndarray, bands: int, rows: int) -> np.ndarray:
+    """Sets x bands."""
+    keys = np.zeros((len(heads), bands), np.uint64)
+    for b in range(bands):
         x = np.full(len(heads), np.uint64(b + 1))
-        for r in range(ROWS):
-            x = T.mix(x * np.uint64(0x9E3779B97F4A7C15) + _minimum(h, heads, b * ROWS + r))
+        for r in range(rows):
+            x = T.mix(x * np.uint64(0x9E3779B97F4A7C15) + _minimum(h, heads, b * rows + r))
         keys[:, b] = x
     return keys
 
@@ -90,13 +106,13 @@ def _signatures(h: np.ndarray, heads: np.ndarray) -> np.ndarray:
     return out
 
 
-def _describe(width: int):
+def _describe(width: int, n_bands: int, n_rows: int):
     def of(batches):
         for batch in batches:
             for run in T.runs(batch):
                 h, at = shingle_sets(run.column("text"), width)
                 n, full = len(at) - 1, np.flatnonzero(at[:-1] < at[1:])
-                keys = _band_keys(h, at[full]) if len(full) else np.zeros((0, BANDS), np.uint64)
+                keys = _band_keys(h, at[full], n_bands, n_rows) if len(full) else np.zeros((0, n_bands), np.uint64)
                 one, two = np.zeros(n, np.uint64), np.zeros(n, np.uint64)
                 if len(full):
                     one[full] = np.add.reduceat(T.mix(h), at[full])
@@ -116,36 +132,6 @@ def _describe(width: int):
     return of
 
 
-def _pairs_of(nodes: np.ndarray, comps: np.ndarray, signatures: np.ndarray, base: np.ndarray, least: float, tested: set, chosen: set, more: int) -> None:
-    """Adds to `chosen` a spanning forest of the likely links between components, of seekers (base false) with all rows, and `more` other such pairs."""
-    _, label = np.unique(comps, return_inverse=True)
-    parent = list(range(int(label.max()) + 1))
-
-    def root(x: int) -> int:
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
-
-    seekers = np.flatnonzero(~base)
-    likely: list[tuple[int, np.ndarray]] = []
-    for i in seekers.tolist():
-        estimate = _estimate(signatures, signatures[i])
-        near = np.flatnonzero((estimate >= least) & (label != label[i]))
-        if len(near):
-            likely.append((i, near))
-    for i, near in sorted(likely, key=lambda x: (-len(x[1]), x[0])):  # from the best connected, so the forest is shallow
-        for j in near.tolist():
-            a, b = root(int(label[i])), root(int(label[j]))
-            if a == b and not more:
-                continue
-            pair = (min(int(nodes[i]), int(nodes[j])), max(int(nodes[i]), int(nodes[j])))
-            if pair not in tested:
-                more -= a == b
-                parent[max(a, b)] = min(a, b)
-                chosen.add(pair)
-
-
 def _estimate(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Similarity from signatures (as 64-bit words): equal slots by bit counts, corrected for chance."""
     low = np.uint64(sum(1 << (BITS * i) for i in range(64 // BITS)))
@@ -157,29 +143,112 @@ def _estimate(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (equal / SLOTS - 2.0**-BITS) / (1 - 2.0**-BITS)
 
 
-def _forest(least: float, turn: int):
-    """Pairs to confirm of a unit: many small (band, block, part) groups, those of two nodes all at once."""
-    names = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+def _groups(table: pa.Table):
+    """The unit's rows in order of their (band, block, part), and first row and number of rows of each."""
+    table = table.sort_by([("band", "ascending"), ("block", "ascending"), ("part", "ascending"), ("node", "ascending"), ("base", "ascending")])
+    key = np.stack([table.column(c).to_numpy().astype(np.int64) for c in ("band", "block", "part")], 1)
+    heads = np.flatnonzero(np.append(True, (key[1:] != key[:-1]).any(1)))
+    return table, heads, np.diff(np.append(heads, len(key)))
+
+
+def _signatures_of(table: pa.Table) -> np.ndarray:
+    return np.frombuffer(b"".join(table.column("signature").to_pylist()), np.uint64).reshape(table.num_rows, -1)
+
+
+def _likely_trees(comp: np.ndarray, signatures: np.ndarray, least: float) -> list[tuple[int, int]]:
+    """A greatest spanning forest over the components by estimates of at least `least`: pairs of rows."""
+    n = len(comp)
+    best, link, out = np.full(n, -1.0), np.zeros(n, np.int64), []
+    for _ in range(n):
+        i = int(best.argmax())
+        if least <= best[i] <= 1:
+            out.append((int(link[i]), i))
+        estimate = np.where(comp == comp[i], 2.0, np.minimum(_estimate(signatures, signatures[i]), 1.0))
+        best[i] = -3.0  # in the tree
+        nearer = (estimate > best) & (best > -2)
+        best[nearer], link[nearer] = estimate[nearer], i
+    return out
+
+
+def _forest(least: float):
+    """Pairs to confirm of a unit of (band, block) groups."""
 
     def of(table: pa.Table) -> pa.Table:
-        table = table.sort_by([("band", "ascending"), ("block", "ascending"), ("part", "ascending"), ("node", "ascending"), ("base", "ascending")])
-        get = lambda c: table.column(c).to_numpy()
-        node, comp, base = get("node"), get("component"), get("base").astype(bool)
-        key = np.stack([get("band"), get("block").astype(np.int64), get("part").astype(np.int64)], 1)
-        tested = {(min(x), max(x)) for xs in table.column("tested").to_pylist() if xs for x in xs}
-        signatures = np.frombuffer(b"".join(table.column("signature").to_pylist()), np.uint64).reshape(len(node), -1)
-        heads = np.flatnonzero(np.append(True, (key[1:] != key[:-1]).any(1)))
-        sizes = np.diff(np.append(heads, len(node)))
+        table, heads, sizes = _groups(table)
+        node, comp = table.column("node").to_numpy(), table.column("component").to_numpy()
+        signatures = _signatures_of(table)
         two = heads[sizes == 2]
-        two = two[(comp[two] != comp[two + 1]) & ~(base[two] & base[two + 1])]
+        two = two[comp[two] != comp[two + 1]]
         two = two[_estimate(signatures[two], signatures[two + 1]) >= least]
-        pairs = {(int(x), int(y)) for x, y in zip(node[two].tolist(), node[two + 1].tolist(), strict=True)} - tested
+        pairs = {(int(x), int(y)) for x, y in zip(node[two].tolist(), node[two + 1].tolist(), strict=True)}
         for at, n in zip(heads[sizes > 2].tolist(), sizes[sizes > 2].tolist(), strict=True):
-            # a node on both sides seeks: its first row, with base false, is kept
-            rows = at + np.unique(node[at : at + n], return_index=True)[1]
-            _pairs_of(node[rows], comp[rows], signatures[rows], base[rows], least, tested, pairs, len(rows) * (4**turn - 1))
+            for i, j in _likely_trees(comp[at : at + n], signatures[at : at + n], least):
+                x, y = int(node[at + i]), int(node[at + j])
+                pairs.add((min(x, y), max(x, y)))
         found = sorted(pairs)
-        return pa.table({"a": pa.array([p[0] for p in found], pa.int64()), "b": pa.array([p[1] for p in found], pa.int64())}, schema=names)
+        return pa.table({"a": pa.array([p[0] for p in found], pa.int64()), "b": pa.array([p[1] for p in found], pa.int64())})
+
+    return of
+
+
+def _undecided(least: float):
+    """Of a unit, the rows with a likely link to another component that no earlier band shares: all that must be judged on whole sets."""
+
+    def of(table: pa.Table) -> pa.Table:
+        table, heads, sizes = _groups(table)
+        comp, base, number = table.column("component").to_numpy(), table.column("base").to_numpy(zero_copy_only=False), table.column("number").to_numpy()
+        signatures = _signatures_of(table)
+        bands = table.column("bands").combine_chunks().flatten().to_numpy().reshape(table.num_rows, -1)
+        want = np.zeros(table.num_rows, bool)
+        two = heads[sizes == 2]
+        two = two[(comp[two] != comp[two + 1]) & ~(base[two] & base[two + 1])]
+        two = two[_estimate(signatures[two], signatures[two + 1]) >= least]
+        two = two[(bands[two] == bands[two + 1]).argmax(1) == number[two]]
+        want[two] = want[two + 1] = True
+        for at, n in zip(heads[sizes > 2].tolist(), sizes[sizes > 2].tolist(), strict=True):
+            rows = slice(at, at + n)
+            for i in (at + np.flatnonzero(~base[rows])).tolist():
+                near = at + np.flatnonzero((comp[rows] != comp[i]) & (_estimate(signatures[rows], signatures[i]) >= least))
+                near = near[(bands[near] == bands[i]).argmax(1) == number[i]]
+                if len(near):
+                    want[i] = True
+                    want[near] = True
+        return table.filter(pa.array(want)).select(["band", "block", "part", "node", "component", "base"])
+
+    return of
+
+
+def _linked(percent: int):
+    """Links between components of a unit's groups, by whole sets: a forest of them."""
+
+    def of(table: pa.Table) -> pa.Table:
+        table, heads, sizes = _groups(table)
+        node, comp, base = table.column("node").to_numpy(), table.column("component").to_numpy(), table.column("base").to_numpy(zero_copy_only=False)
+        items, found = table.column("items"), []
+        for at, n in zip(heads.tolist(), sizes.tolist(), strict=True):
+            if n < 2:
+                continue
+            sets = [np.frombuffer(items[k].as_py(), np.uint64) for k in range(at, at + n)]
+            length = np.array([len(x) for x in sets])
+            _, shingle = np.unique(np.concatenate(sets), return_inverse=True)
+            edges = np.append(0, np.cumsum(length))
+            # rows of each shingle
+            order = np.argsort(shingle, kind="stable")
+            rows, first = np.repeat(np.arange(n), length)[order], np.append(0, np.cumsum(np.bincount(shingle)))
+            _, label = np.unique(comp[at : at + n], return_inverse=True)
+            for i in np.flatnonzero(~base[at : at + n]).tolist():
+                other = label != label[i]
+                if not other.any():
+                    continue
+                own = shingle[edges[i] : edges[i + 1]]
+                lo, many = first[own], first[own + 1] - first[own]
+                places = np.repeat(lo - np.append(0, np.cumsum(many)[:-1]), many) + np.arange(int(many.sum()))
+                both = np.bincount(rows[places], minlength=n)
+                for j in np.flatnonzero(other & (100 * both >= percent * (length + length[i] - both))).tolist():
+                    if label[i] != label[j]:
+                        label[label == label[j]] = label[i]
+                        found.append((int(node[at + i]), int(node[at + j])))
+        return pa.table({"a": pa.array([p[0] for p in found], pa.int64()), "b": pa.array([p[1] for p in found], pa.int64())})
 
     return of
 
@@ -209,6 +278,26 @@ def _sets(width: int):
     return of
 
 
+def _deal(groups: DataFrame, units: int) -> DataFrame:
+    return groups.withColumn("unit", F.pmod(F.xxhash64("band", "block", "part"), F.lit(max(1, units))).cast("int"))
+
+
+def _blocks(rows: DataFrame, scratch: Scratch) -> DataFrame:
+    """rows of buckets in groups (band, block, part) in which every node outside a bucket's largest component meets all its nodes."""
+    own = [F.col(c) for c in ("number", "node", "component", "signature", "bands", "weight")]
+    small = rows.where(F.col("load") <= 2 * BLOCK).select("band", F.lit(0).alias("block"), F.lit(0).alias("part"), *own, F.col("load").cast("long").alias("work"), F.lit(False).alias("base"))
+    large = rows.where(F.col("load") > 2 * BLOCK)
+    if large.isEmpty():
+        return small
+    sizes = large.groupBy("band", "component").agg(F.sum("weight").alias("size"))
+    giant = scratch.put(sizes.groupBy("band").agg(F.max_by("component", F.struct("size", "component")).alias("giant"), F.sum("size").alias("all"), F.max("size").alias("most")), "giant")
+    large = large.join(giant, "band").withColumn("blocks", F.ceil((F.col("all") - F.col("most")) / BLOCK).cast("int")).withColumn("parts", F.ceil(F.col("all") / (8 * BLOCK)).cast("int"))
+    block, part = F.pmod(F.xxhash64(F.lit(1), "node"), F.col("blocks")).cast("int"), F.pmod(F.xxhash64(F.lit(2), "node"), F.col("parts")).cast("int")
+    seek = large.where("component <> giant").select("band", block.alias("block"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), *own, F.lit(8 * BLOCK).cast("long").alias("work"), F.lit(False).alias("base"))
+    meet = large.select("band", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), part.alias("part"), *own, F.lit(0).cast("long").alias("work"), F.lit(True).alias("base"))
+    return small.unionByName(seek).unionByName(meet)
+
+
 def near_duplicates(docs: DataFrame, width: int = 3, percent: int = 85) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (least doc_id it is joined with) and kept (it is that one)."""
     spark = docs.sparkSession
@@ -216,76 +305,59 @@ def near_duplicates(docs: DataFrame, width: int = 3, percent: int = 85) -> DataF
     docs = docs.select("doc_id", "text")
     j = percent / 100
     least = j - SIGMAS * (j * (1 - j) / SLOTS) ** 0.5 / (1 - 2.0**-BITS)
-    described = scratch.put(docs.mapInArrow(_describe(width), "doc_id long, n long, one long, two long, bands array<long>"), "described")
+    n_bands, n_rows = bands_of(percent)
+    described = scratch.put(docs.mapInArrow(_describe(width, n_bands, n_rows), "doc_id long, n long, one long, two long, bands array<long>"), "described")
     named = described.where("doc_id is not null and one is not null")
     nodes = scratch.put(named.groupBy("one", "two", "n").agg(F.min("doc_id").alias("node"), F.any_value("bands").alias("bands")), "nodes")
-    entries = nodes.select(F.posexplode("bands").alias("number", "band"), "node")
-    shared = scratch.put(entries.groupBy("band").agg(F.count("*").alias("m")).where("m > 1"), "shared")
+    entries = nodes.select(F.posexplode("bands").alias("number", "band"), "node", (1 + F.col("n") / HEAVY).alias("weight"))
+    shared = scratch.put(entries.groupBy("band").agg(F.count("*").alias("m"), F.sum("weight").alias("load")).where("m > 1").drop("m"), "shared")
     buckets = scratch.put(entries.join(shared, "band"), "buckets")
     members = scratch.put(buckets.select("node").distinct(), "members")
     own = docs.join(members.withColumnRenamed("node", "doc_id"), "doc_id", "left_semi").select(F.col("doc_id").alias("node"), "text")
     sets = scratch.put(own.mapInArrow(_sets(width), "node long, items binary, signature binary").dropDuplicates(["node"]), "sets")
-    signed = sets.select("node", "signature")
     labels = scratch.put(members.withColumn("component", F.col("node")), "labels")
-    tested = links = None
-    turn = 0
-    while True:
-        # buckets that are not one component yet
-        here = (buckets.where(F.col("number") < FIRST) if turn == 0 else buckets).drop("number").join(labels, "node")
+    links = None
+
+    def undecided(bands: int, *more: str) -> DataFrame:
+        """Rows of the buckets that are not one component yet."""
+        here = buckets.where(F.col("number") < bands).join(labels, "node")
         open_ = scratch.put(here.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("band"), "open")
-        rows = scratch.put(here.join(open_, "band").join(signed, "node"), "rows")
-        small = rows.where(F.col("m") <= 2 * BLOCK).select("band", F.lit(0).alias("block"), F.lit(0).alias("part"), "node", "component", "signature", F.lit(False).alias("base"))
-        large = rows.where(F.col("m") > 2 * BLOCK)
-        if turn < 3:
-            salt = F.pmod(F.xxhash64(F.lit(turn), "node"), F.ceil(F.col("m") / BLOCK))
-            dealt = large.select("band", salt.cast("int").alias("block"), F.lit(0).alias("part"), "node", "component", "signature", F.lit(False).alias("base"))
-        else:
-            sizes = large.groupBy("band", "component").agg(F.count("*").alias("size"))
-            giant = scratch.put(sizes.groupBy("band").agg(F.max_by("component", F.struct("size", "component")).alias("giant"), F.sum("size").alias("all"), F.max("size").alias("most")), "giant")
-            big = large.join(giant, "band").withColumn("blocks", F.ceil((F.col("all") - F.col("most")) / BLOCK).cast("int")).withColumn("parts", F.ceil(F.col("all") / (4 * BLOCK)).cast("int"))
-            seek = big.where("component <> giant").select("band", F.pmod(F.xxhash64(F.lit(turn), "node"), F.col("blocks")).cast("int").alias("block"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "node", "component", "signature", F.lit(False).alias("base"))
-            meet = big.select("band", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.pmod(F.xxhash64(F.lit(-turn), "node"), F.col("parts")).cast("int").alias("part"), "node", "component", "signature", F.lit(True).alias("base"))
-            dealt = seek.unionByName(meet)
-        groups = small.unionByName(dealt)
-        if tested is None:
-            groups = groups.withColumn("tested", F.lit(None).cast("array<array<long>>"))
-        else:  # pairs that were tested without a link, at their lesser node
-            failed = tested.groupBy("a").agg(F.collect_list(F.array("a", "b")).alias("tested")).withColumnRenamed("a", "node")
-            groups = groups.join(failed, "node", "left")
-        units = max(1, -(-rows.count() // UNIT))
-        unit = F.pmod(F.xxhash64("band", "block", "part"), F.lit(units)).cast("int")
-        pairs = groups.withColumn("unit", unit).groupBy("unit").applyInArrow(_forest(least, max(0, turn - 1)), "a long, b long").distinct()
-        if tested is not None:
-            pairs = pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti")
-        pairs = scratch.put(pairs, "pairs")
-        scratch.drop(rows, open_)
-        if pairs.isEmpty():
-            if turn > 2 or turn > 0 and not large_left(buckets):
-                break
-            turn = 1 if turn == 0 else 3
-            continue
+        out = here.join(open_, "band").join(sets.select("node", "signature"), "node")
+        return scratch.put(out.join(nodes.select("node", "bands").dropDuplicates(["node"]), "node") if more else out, "rows")
+
+    def join_up(found: DataFrame) -> None:
+        nonlocal links, labels
+        if not found.isEmpty():
+            links = found if links is None else links.unionByName(found)
+            labels = scratch.put(members.join(components(links, scratch), "node", "left").select("node", F.coalesce("component", "node").alias("component")), "labels")
+
+    for bands in (FIRST, n_bands):
+        rows = undecided(bands)
+        salt = F.when(F.col("load") > 2 * BLOCK, F.pmod(F.xxhash64("band", "node"), F.ceil(F.col("load") / BLOCK))).otherwise(0)
+        groups = rows.select("band", salt.cast("int").alias("block"), F.lit(0).alias("part"), "node", "component", "signature", F.lit(False).alias("base"))
+        work = rows.agg(F.sum(F.least("load", F.lit(2.0 * BLOCK)) + 16)).first()[0] or 0
+        pairs = scratch.put(_deal(groups, int(work / UNIT) + 1).groupBy("unit").applyInArrow(_forest(least), "a long, b long").distinct(), "pairs")
         both = pairs.join(sets.select(F.col("node").alias("a"), F.col("items").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("items").alias("y")), "b")
-        judged = scratch.put(both.select("a", "b", "x", "y").mapInArrow(_confirm(percent), "a long, b long, linked boolean"), "judged")
-        links = judged.where("linked").select("a", "b") if links is None else links.unionByName(judged.where("linked").select("a", "b"))
-        missed = judged.where("not linked").select("a", "b")
-        tested = missed if tested is None else tested.unionByName(missed)
-        turn += 1
-        if judged.where("linked").isEmpty():
-            continue
-        joined = components(links, scratch)
-        labels = scratch.put(members.join(joined, "node", "left").select("node", F.coalesce("component", "node").alias("component")), "labels")
-    named_sets = nodes.select("one", "two", "n", "node").join(labels, "node", "left").select("one", "two", "n", F.coalesce("component", "node").alias("component_id"))
-    named_sets = scratch.put(named_sets, "named")
+        judged = scratch.put(both.select("a", "b", "x", "y").mapInArrow(_confirm(percent), "a long, b long, linked boolean").where("linked").select("a", "b"), "judged")
+        scratch.drop(rows, pairs)
+        join_up(judged)
+    rows = undecided(n_bands, "bands")
+    groups = _blocks(rows, scratch)
+    work = groups.agg(F.sum(F.col("work") + 16)).first()[0] or 0
+    kinds = "band long, block int, part int, node long, component long, base boolean"
+    wanted = scratch.put(_deal(groups.drop("weight", "work"), int(work / UNIT) + 1).groupBy("unit").applyInArrow(_undecided(least), kinds), "wanted")
+    scratch.drop(rows)
+    full = wanted.join(sets.select("node", "items"), "node")
+    size = full.agg(F.sum(F.octet_length("items"))).first()[0] or 0
+    if size:
+        join_up(scratch.put(_deal(full, int(size / UNIT_BYTES) + 1).groupBy("unit").applyInArrow(_linked(percent), "a long, b long").distinct(), "links"))
+    named_sets = scratch.put(nodes.select("one", "two", "n", "node").join(labels, "node", "left").select("one", "two", "n", F.coalesce("component", "node").alias("component_id")), "named")
+    scratch.keep(described, named_sets)
     out = described.join(named_sets, ["one", "two", "n"], "left")
     component = F.coalesce("component_id", "doc_id")
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
-def large_left(buckets: DataFrame) -> bool:
-    """Whether any bucket is dealt into blocks."""
-    return not buckets.where(F.col("m") > 2 * BLOCK).isEmpty()
-
-
 def op3_near_duplicates(spark, sf_dir: str) -> DataFrame:
     from .store import table
 

@@ -3,18 +3,11 @@
 from __future__ import annotations
 
 import gc
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-
-def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session. Only where it is unset (tests, local mode) a folder of this machine is taken."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        found = f"file://{tempfile.gettempdir()}/attest-shared"
-    return found.rstrip("/")
+from attest.sources.shared import shared_folder
 
 
 class Scratch:
@@ -24,6 +17,7 @@ class Scratch:
         self.spark = spark
         self.at = f"{shared_folder(spark)}/attest-{uuid.uuid4().hex}"
         self.count = 0
+        self.tables: list[DataFrame] = []
 
     def put(self, df: DataFrame, name: str = "t") -> DataFrame:
         self.count += 1
@@ -32,6 +26,7 @@ class Scratch:
         df.write.option("compression", "zstd").parquet(path)
         out = self.spark.read.schema(schema).parquet(path)
         out._attest_path = path
+        self.tables.append(out)
         return out
 
     def drop(self, *tables: DataFrame) -> None:
@@ -40,6 +35,11 @@ class Scratch:
         for df in tables:
             path = jvm.org.apache.hadoop.fs.Path(df._attest_path)
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+            self.tables = [t for t in self.tables if t is not df]
+
+    def keep(self, *tables: DataFrame) -> None:
+        """Remove all tables but those that the call's result reads."""
+        self.drop(*(t for t in self.tables if not any(t is x for x in tables)))
 
     def sweep(self, *tables: DataFrame) -> None:
         """Drop tables and let Spark's cleaner find the shuffle files that no plan in use needs any more."""
