@@ -48,6 +48,41 @@ def test_toxicity(spark, data):
     assert toxicity.score(docs.where("false"), model).count() == 0
 
 
+def phrases(n, seed):
+    """A text is toxic where `wug` stands right before `dax`; clean texts have both words apart or in the other order."""
+    r = random.Random(seed)
+    rows = []
+    for i in range(n):
+        w = [r.choice(VOCABULARY["en"]) for _ in range(r.randint(20, 60))]
+        a, b = sorted(r.sample(range(0, len(w) - 3), 2))
+        if i % 3 == 0:
+            w[a : a + 2] = ["wug", "dax"]
+        elif i % 3 == 1:
+            w[a : a + 2] = ["dax", "wug"]
+        else:
+            w[a], w[b + 2] = "wug", "dax"
+        rows.append((" ".join(w), int(i % 3 == 0), "en"))
+    return rows
+
+
+def test_wider_filters_earn_their_place():
+    held = phrases(300, 8)
+    column, toxic = pa.array([r[0] for r in held]), np.array([r[1] for r in held])
+
+    def right(widths):
+        score = toxicity.Model(phrases(900, 7), widths=widths).score(column)
+        return np.mean((score >= 0.5)[toxic == 1]) - np.mean((score >= 0.5)[toxic == 0])
+
+    assert right(toxicity.WIDTHS) > 0.95 and right((1,)) < 0.3
+
+
+def test_scores_do_not_depend_on_batches(data):
+    rows, _, _ = data
+    model = toxicity.Model([(r[1], r[3], r[2]) for r in rows])
+    texts = pa.array([r[1] for r in rows[:40]] + ["", None, "a", "a b"], pa.string())
+    assert np.allclose(model.score(texts), np.concatenate([model.score(texts.slice(i, 1)) for i in range(len(texts))]), atol=1e-5)
+
+
 def test_quality(spark, data):
     rows, docs, labels = data
     model = quality.fit(docs, labels.where("doc_id % 3 > 0"))
