@@ -8,11 +8,12 @@ that occur once in it cannot be part of a repeat and are one symbol that no patt
 their first 2**k >= window words (doubling), the Burrows-Wheeler transform goes into a wavelet matrix of packed bits with
 block counts (about 1.5 bits per word and level), and every window is streamed through it from its last word to its
 first. A window whose interval shrinks to its own occurrence is dropped; the others have a matching statistic of at least
-`window`, and those with a lesser occurrence in their interval are reported as spans.
+`window`, and those with a lesser occurrence in their interval are reported as spans. A piece that stands for several
+equal stretches counts as so many occurrences.
 
 Defined results: null text has no words; shorter texts than a window stay whole; an empty table gives an empty result;
-equal rows of one doc_id are one document; rows without doc_id stay as they are. Different texts should not share a
-doc_id; if they do, a span found in one may be cut from the other.
+equal rows of one doc_id are one document; rows without doc_id stay as they are; different texts that share a doc_id are
+told apart, and ordered, by their checksums.
 """
 
 from __future__ import annotations
@@ -26,10 +27,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from . import text as T
-from .repeats import marks, repeated_spans, with_spans
+from .repeats import findings, marked, marks, repeated_spans, with_spans
 from .store import Scratch
 
-WINDOW, GRAM = 20, 6
+WINDOW, GRAMS = 20, (6, 11, 16)
 
 
 class Wavelet:
@@ -74,12 +75,12 @@ class FMIndex:
     def __init__(self, sequence: np.ndarray, depth: int):
         n = len(sequence)
         rank, width = sequence.astype(np.int64), 1
-        order = np.argsort(rank, kind="stable")
+        order = np.argsort(rank)
         while width < depth:
             after = np.full(n, -1, np.int64)
             after[: max(0, n - width)] = rank[width:]
             key = rank * (n + int(rank.max(initial=0)) + 2) + after + 1
-            order = np.argsort(key, kind="stable")
+            order = np.argsort(key)
             new = np.ones(n, np.int64)
             new[1:] = key[order[1:]] != key[order[:-1]]
             rank = np.empty(n, np.int64)
@@ -95,68 +96,71 @@ class FMIndex:
         a, b = self.transform.rank(symbol, lo, hi)
         return self.first[symbol] + a, self.first[symbol] + b
 
-    def search(self, sequence: np.ndarray, starts: np.ndarray, length: int, least: int = 2) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Of the windows sequence[start : start + length]: the starts of those with `least` occurrences, and their intervals."""
+    def search(self, sequence: np.ndarray, starts: np.ndarray, length: int, least: int = 2, weights: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of the windows sequence[start : start + length]: the starts of those with `least` occurrences, and their intervals.
+
+        weights: of each place of the sequence, as how many occurrences it counts.
+        """
+        before = np.arange(len(sequence) + 1) if weights is None else np.append(0, np.cumsum(weights[self.suffixes]))
         symbol = sequence[starts + length - 1]
         lo, hi = self.first[symbol], self.first[symbol + 1]
         for back in range(2, length + 1):
-            keep = hi - lo >= least
+            keep = before[hi] - before[lo] >= least
             starts, lo, hi = starts[keep], lo[keep], hi[keep]
             lo, hi = self.step(sequence[starts + length - back], lo, hi)
-        keep = hi - lo >= least
+        keep = before[hi] - before[lo] >= least
         return starts[keep], lo[keep], hi[keep]
 
 
 def index_shard(window: int):
     """The index of repeats.repeated_spans: spans whose windows stand earlier in the shard."""
-    kinds = pa.schema([("doc_id", pa.int64()), ("start", pa.int32()), ("end", pa.int32())])
 
     def of(shard: pa.Table) -> pa.Table:
-        column = shard.column("piece").combine_chunks()
-        data, offsets = T.flat(column)
+        z = np.zeros(0, np.int64)
+        none = findings(shard, z, z, z, z)
+        data, offsets = T.flat(shard.column("piece").combine_chunks())
         starts, ends, at = T.words(data, offsets, T.NON_SPACE)
-        doc, first = shard.column("doc_id").to_numpy(), shard.column("first").to_numpy().astype(np.int64)
-        none = pa.table({"doc_id": pa.array([], pa.int64()), "start": pa.array([], pa.int32()), "end": pa.array([], pa.int32())}, schema=kinds)
-        if len(at) < 3 or not len(starts):
+        doc, mark, first, weight = (shard.column(c).to_numpy().astype(np.int64) for c in ("doc_id", "mark", "first", "weight"))
+        if not len(starts):
             return none
-        _, symbol, count = np.unique(T.word_hashes(data, starts, ends), return_inverse=True, return_counts=True)
+        of_word = T.owner(at)
+        _, symbol = np.unique(T.word_hashes(data, starts, ends), return_inverse=True)
+        count = np.bincount(symbol, weights=weight[of_word])
         # 0: the end of a piece; 1: a word that occurs once
         names = np.where(count > 1, np.cumsum(count > 1) + 1, 1)
         n = len(starts) + len(at) - 1
-        sequence = np.zeros(n, np.int64)
-        shift = np.arange(len(at) - 1)
-        place = np.arange(len(starts)) + T.owner(at)
+        sequence, weights = np.zeros(n, np.int64), np.zeros(n, np.int64)
+        place = np.arange(len(starts)) + of_word
         sequence[place] = names[symbol]
+        weights[place] = weight[of_word]
         here = T.window_starts(at, window)
         alone = np.concatenate([[0], np.cumsum(names[symbol] == 1)])
         here = here[alone[here + window] == alone[here]]
         if not len(here):
             return none
         piece = np.searchsorted(at, here, side="right") - 1
-        index = FMIndex(sequence, window)
-        found, lo, _ = index.search(sequence, here + piece, window)
+        found, lo, _ = FMIndex(sequence, window).search(sequence, here + piece, window, weights=weights)
         if not len(found):
             return none
-        # the least (doc_id, start) of each interval
-        owner = np.searchsorted(at[1:] + shift + 1, found, side="right")
+        # the least (doc_id, mark, start) of each interval
+        owner = np.searchsorted(at[1:] + np.arange(1, len(at)), found, side="right")
+        whole = np.flatnonzero((weight > 1) & (np.bincount(owner, minlength=len(weight)) == np.diff(at) - window + 1))
         start = first[owner] + found - at[owner] - owner
-        order = np.lexsort((start, doc[owner], lo))
-        lo, d, s = lo[order], doc[owner][order], start[order]
+        order = np.lexsort((start, mark[owner], doc[owner], lo))
+        lo, o, s = lo[order], owner[order], start[order]
         heads = np.ones(len(lo), bool)
         heads[1:] = lo[1:] != lo[:-1]
-        group = np.cumsum(heads) - 1
-        later = (d != d[heads][group]) | (s != s[heads][group])
-        d, s = d[later], s[later]
-        # neighbouring windows are one span
-        order = np.lexsort((s, d))
-        d, s = d[order], s[order]
-        new = np.ones(len(d), bool)
-        new[1:] = (d[1:] != d[:-1]) | (s[1:] > s[:-1] + window)
+        least = np.flatnonzero(heads)[np.cumsum(heads) - 1]
+        later = (doc[o] != doc[o[least]]) | (mark[o] != mark[o[least]]) | (s != s[least])
+        o, s = o[later], s[later]
+        # neighbouring windows of a piece are one span
+        order = np.lexsort((s, o))
+        o, s = o[order], s[order]
+        new = np.ones(len(o), bool)
+        new[1:] = (o[1:] != o[:-1]) | (s[1:] > s[:-1] + window)
         head = np.flatnonzero(new)
-        tail = np.append(head[1:], len(d)) - 1
-        if not len(d):
-            return none
-        return pa.table({"doc_id": pa.array(d[head], pa.int64()), "start": pa.array(s[head].astype(np.int32)), "end": pa.array((s[tail] + window).astype(np.int32))}, schema=kinds)
+        tail = np.append(head[1:], len(o)).astype(np.int64) - 1
+        return findings(shard, o[head], s[head], s[tail[: len(head)]] + window, whole)
 
     return of
 
@@ -183,16 +187,17 @@ def _cut(names: list[str], digest: bool):
     return of
 
 
-def substring_spans(docs: DataFrame, scratch: Scratch, window: int = WINDOW, gram: int = GRAM, **bounds) -> DataFrame:
-    return repeated_spans(docs, "words", window, gram, True, index_shard(window), scratch, **bounds)
+def substring_spans(docs: DataFrame, scratch: Scratch, window: int = WINDOW, grams: tuple[int, ...] = GRAMS, **bounds) -> DataFrame:
+    """Of docs with _mark (repeats.marked)."""
+    return repeated_spans(docs, "words", window, grams, True, index_shard(window), scratch, **bounds)
 
 
-def remove(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
+def remove(docs: DataFrame, window: int = WINDOW, grams: tuple[int, ...] = GRAMS) -> DataFrame:
     """docs with later repeats cut from their texts: kept words joined by one space where any went, else the text as it was."""
     scratch = Scratch(docs.sparkSession)
     names = docs.columns
-    inner = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("own"), "doc_id", "text")
-    rows = with_spans(inner, substring_spans(docs, scratch, window, gram), scratch)
+    inner = marked(docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("own"), "doc_id", "text"))
+    rows = with_spans(inner, substring_spans(inner, scratch, window, grams), scratch)
     kinds = StructType([inner.schema["own"], StructField("n_words", LongType()), StructField("n_removed", LongType()), StructField("kept", StringType())])
     cut = rows.mapInArrow(_cut(["own"], False), kinds)
     text = F.coalesce("kept", F.col("own").getField("text"))
@@ -202,7 +207,7 @@ def remove(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame
 def op9_substring_dedup(spark, sf_dir: str) -> DataFrame:
     from .store import table
 
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = marked(table(spark, sf_dir, "documents").select("doc_id", "text"))
     scratch = Scratch(spark)
     rows = with_spans(docs, substring_spans(docs, scratch), scratch)
     return rows.mapInArrow(_cut(["doc_id"], True), "doc_id long, n_words long, n_removed long, kept string").withColumnRenamed("kept", "kept_sha256")

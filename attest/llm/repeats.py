@@ -6,11 +6,15 @@ windows of a text that choose the same gram form a stretch; its units are a cont
 places where a window of that stretch can be met again, so:
 
 1. Stretches whose gram stands in no other stretch hold no repeat and go.
-2. Equal contents (by 64-bit hash of content beside the gram's) are pre-aggregated: only the first stretch of each
-   distinct content goes on; all others hold nothing but repeats.
-3. A gram with one distinct content is settled. One with several is contested: its distinct contents are dealt to shards
-   by gram, with their text, and a shard's index finds the windows they share. A gram with more than BLOCK distinct
-   contents is not dealt to one shard: its windows are compared by two 64-bit hashes through aggregation instead.
+2. Equal contents (by 64-bit hash of content beside the gram's) are pre-aggregated: the first stretch of each distinct
+   content stands for all, with their number as its weight.
+3. Contents that occur more than once, and those whose gram has another content, are dealt to shards by gram, with their
+   text. A shard's index decides: it names the spans of each content's first stretch that are met again, and the
+   contents that are repeats as a whole, which then go for all their stretches. An index that is given no second
+   stretch and no weight finds nothing.
+4. The contents of a gram with more than BLOCK of them go to one shard each by their own hash, and among each other
+   through the same steps again with a longer gram, up to the window itself. So no shard holds an unbounded group,
+   and no size leaves the method.
 
 Long texts are cut into overlapping pieces, so memory does not grow with the longest text's windows.
 """
@@ -96,13 +100,14 @@ def _find(units: Units, window: int, gram: int):
                 data, offsets = T.flat(run.column("text"))
                 values, at, _, _ = units.cut(data, offsets)
                 text, first, last, g, c = stretches(values, at, window, gram)
-                yield pa.RecordBatch.from_arrays([run.column("doc_id").take(pa.array(text)), pa.array(first.astype(np.int32)), pa.array(last.astype(np.int32)), pa.array(g.view(np.int64)), pa.array(c.view(np.int64))], names=["doc_id", "first", "last", "gram", "content"])
+                base = run.column("base").to_numpy().astype(np.int64)[text]
+                yield pa.RecordBatch.from_arrays([*(run.column(x).take(pa.array(text)) for x in ("doc_id", "mark", "base")), pa.array((base + first).astype(np.int32)), pa.array((base + last).astype(np.int32)), pa.array(g.view(np.int64)), pa.array(c.view(np.int64))], names=["doc_id", "mark", "base", "first", "last", "gram", "content"])
 
     return of
 
 
 def _slices(units: Units, window: int):
-    """The bytes of contested stretches."""
+    """The bytes of the stretches that go to a shard."""
 
     def of(batches):
         for batch in batches:
@@ -110,87 +115,103 @@ def _slices(units: Units, window: int):
                 data, offsets = T.flat(run.column("text"))
                 _, at, starts, ends = units.cut(data, offsets)
                 raw = data.tobytes()
-                docs, firsts, grams, pieces = [], [], [], []
-                for i, (doc, spans) in enumerate(zip(run.column("doc_id").to_pylist(), run.column("spans").to_pylist(), strict=True)):
-                    for s in spans:
-                        a, b = int(at[i]) + s["first"], int(at[i]) + s["last"] + window
-                        if b > at[i + 1]:
-                            continue  # of another text with the same id
-                        docs.append(doc)
-                        firsts.append(s["first"])
-                        grams.append(s["gram"])
-                        pieces.append(raw[a:b] if starts is None else raw[int(starts[a]) : int(ends[b - 1])])
-                yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(firsts, pa.int32()), pa.array(grams, pa.int64()), pa.array(pieces, pa.binary())], names=["doc_id", "first", "gram", "piece"])
+                base = run.column("base").to_numpy().astype(np.int64)
+                spans = run.column("spans")
+                text = np.repeat(np.arange(run.num_rows), np.diff(spans.offsets.to_numpy()))
+                flat = spans.flatten()
+                first = flat.field("first")
+                a = at[text] + first.to_numpy() - base[text]
+                b = at[text] + flat.field("last").to_numpy() - base[text] + window
+                if starts is not None:
+                    a, b = starts[a], ends[b - 1]
+                pieces = pa.array([raw[x:y] for x, y in zip(a.tolist(), b.tolist(), strict=True)], pa.binary())
+                yield pa.RecordBatch.from_arrays([*(run.column(x).take(pa.array(text)) for x in ("doc_id", "mark")), first, *(flat.field(x) for x in ("gram", "content", "weight", "hot")), pieces], names=["doc_id", "mark", "first", "gram", "content", "weight", "hot", "piece"])
 
     return of
 
 
-def _hashes(units: Units, window: int):
-    """Two hashes of every window of the stretches of contested grams with many contents."""
+def marked(docs: DataFrame) -> DataFrame:
+    """docs with the column _mark that, with doc_id, names a text: 0, or a checksum of the text where rows share a doc_id."""
+    again = docs.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").isEmpty()
+    return docs.withColumn("_mark", F.lit(0).cast("long") if again else F.crc32("text"))
 
-    def of(batches):
-        for batch in batches:
-            for run in T.runs(batch, "piece", 1 << 18):
-                data, offsets = T.flat(run.column("piece"))
-                values, at, _, _ = units.cut(data, offsets)
-                starts, h = T.window_hashes(values, at, window)
-                text = np.searchsorted(at, starts, side="right") - 1
-                other = T.mix(T.span_hash(T.prefix(T.mix(values ^ _OTHER)), starts, starts + window))
-                place = run.column("first").to_numpy().astype(np.int64)[text] + starts - at[text]
-                yield pa.RecordBatch.from_arrays([run.column("doc_id").take(pa.array(text)), pa.array(place.astype(np.int32)), pa.array(h.view(np.int64)), pa.array(other.view(np.int64))], names=["doc_id", "start", "one", "two"])
 
-    return of
+#: What an index gives: spans of first stretches (gram and content null), and contents that are repeats as a whole (doc_id null).
+FOUND = pa.schema([("doc_id", pa.int64()), ("mark", pa.int64()), ("start", pa.int32()), ("end", pa.int32()), ("gram", pa.int64()), ("content", pa.int64())])
 
 
-def repeated_spans(docs: DataFrame, by: str, window: int, gram: int, earlier: bool, index: Callable, scratch: Scratch, block: int = BLOCK, shard_bytes: int = SHARD_BYTES) -> DataFrame:
-    """(doc_id, start, end) in units: spans covered by windows that also start elsewhere (earlier: only at a lesser (doc_id, start)).
+def findings(shard: pa.Table, piece: np.ndarray, starts: np.ndarray, ends: np.ndarray, whole: np.ndarray) -> pa.Table:
+    """FOUND of spans (piece, start and end in the text) and of the pieces that are repeats as a whole."""
+    n, m = len(piece), len(whole)
+    own = [pa.concat_arrays([shard.column(c).combine_chunks().take(pa.array(piece, pa.int64())), pa.nulls(m, pa.int64())]) for c in ("doc_id", "mark")]
+    span = [pa.concat_arrays([pa.array(np.asarray(x, np.int32), pa.int32()), pa.nulls(m, pa.int32())]) for x in (starts, ends)]
+    kind = [pa.concat_arrays([pa.nulls(n, pa.int64()), shard.column(c).combine_chunks().take(pa.array(whole, pa.int64()))]) for c in ("gram", "content")]
+    return pa.Table.from_arrays([*own, *span, *kind], schema=FOUND)
 
-    index(batch of doc_id, first, piece) gives the (doc_id, start, end) of repeated spans among the contents of one shard;
-    it must know only the windows inside each piece.
+
+def repeated_spans(docs: DataFrame, by: str, window: int, grams: tuple[int, ...], earlier: bool, index: Callable, scratch: Scratch, block: int = BLOCK, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+    """(doc_id, mark, start, end) in units: spans covered by windows that also start elsewhere (earlier: only at a lesser (doc_id, start)).
+
+    docs: of marked(). grams: the gram's length, and the longer ones for grams with many contents.
+    index(table of doc_id, mark, first, gram, content, weight, piece) gives FOUND of one shard; it must know only the
+    windows inside each piece.
     """
-    units = Units(by)
-    docs = docs.where("doc_id is not null and text is not null").select("doc_id", "text")
-    found = docs.mapInArrow(_find(units, window, gram), "doc_id long, first int, last int, gram long, content long")
+    texts = docs.where("doc_id is not null and text is not null").select("doc_id", F.col("_mark").alias("mark"), F.lit(0).alias("base"), "text")
+    out = None
+    for gram in (*(g for g in grams if g < window), window):
+        spans, texts = _level(texts, Units(by), window, gram, earlier, index, scratch, block, shard_bytes)
+        for s in spans:
+            out = s if out is None else out.unionByName(s)
+        if texts is None:
+            break
+    return out
+
+
+def _level(texts: DataFrame, units: Units, window: int, gram: int, earlier: bool, index: Callable, scratch: Scratch, block: int, shard_bytes: int) -> tuple[list[DataFrame], DataFrame | None]:
+    """Spans found with one gram length, and the contents of grams with more than `block` of them (or None)."""
+    found = texts.mapInArrow(_find(units, window, gram), "doc_id long, mark long, base int, first int, last int, gram long, content long")
     twice = scratch.put(found.groupBy("gram").agg(F.count("*").alias("m")).where("m > 1").select("gram"), "twice")
     shared = scratch.put(found.join(twice, "gram"), "shared")
     scratch.sweep(twice)
-    distinct = scratch.put(shared.groupBy("gram", "content").agg(F.min(F.struct("doc_id", "first", "last")).alias("at"), F.count("*").alias("m")), "distinct")
-    settled = shared.join(distinct.where("m > 1"), ["gram", "content"])
-    if earlier:
-        settled = settled.where("not (doc_id = at.doc_id and first = at.first)")
-    settled = settled.select("doc_id", F.col("first").alias("start"), (F.col("last") + window).alias("end"))
-    # several texts of one id and equal rows: each span once
-    spans = [scratch.put(settled, "settled")]
-    contested = scratch.put(distinct.groupBy("gram").agg(F.count("*").alias("kinds")).where("kinds > 1"), "contested")
-    wanted = distinct.join(contested, "gram").select("at.*", "gram", "kinds")
-    by_doc = wanted.groupBy("doc_id").agg(F.collect_list(F.struct("first", "last", "gram")).alias("spans"))
-    pieces = scratch.put(docs.join(scratch.put(by_doc, "wanted"), "doc_id").mapInArrow(_slices(units, window), "doc_id long, first int, gram long, piece binary"), "pieces")
-    scratch.sweep()
+    distinct = scratch.put(shared.groupBy("gram", "content").agg(F.min(F.struct("doc_id", "mark", "first", "last", "base")).alias("at"), F.count("*").alias("weight")), "distinct")
+    kinds = distinct.groupBy("gram").agg(F.count("*").alias("kinds"), F.max("weight").alias("most")).where("kinds > 1 or most > 1").select("gram", (F.col("kinds") > block).alias("hot"))
+    wanted = distinct.join(scratch.put(kinds, "kinds"), "gram").select("at.*", "gram", "content", "weight", "hot")
+    by_text = wanted.groupBy("doc_id", "mark", "base").agg(F.collect_list(F.struct("first", "last", "gram", "content", "weight", "hot")).alias("spans"))
+    pieces = texts.join(scratch.put(by_text, "wanted"), ["doc_id", "mark", "base"])
+    pieces = scratch.put(pieces.mapInArrow(_slices(units, window), "doc_id long, mark long, first int, gram long, content long, weight long, hot boolean, piece binary"), "pieces")
+    scratch.sweep(*(t for t in scratch.tables if t._attest_path.endswith(("-kinds", "-wanted"))))
     size = pieces.agg(F.sum(F.octet_length("piece"))).first()[0] or 0
-    if size:
-        many = contested.where(F.col("kinds") > block).select("gram")
-        few = pieces.join(many, "gram", "left_anti")
-        shards = max(1, -(-size // shard_bytes))
-        shard = F.pmod(F.xxhash64("gram"), F.lit(shards)).cast("int")
-        spans.append(scratch.put(few.select(shard.alias("shard"), "doc_id", "first", "piece").groupBy("shard").applyInArrow(index, "doc_id long, start int, end int"), "indexed"))
-        if not many.isEmpty():
-            windows = scratch.put(pieces.join(many, "gram", "left_semi").mapInArrow(_hashes(units, window), "doc_id long, start int, one long, two long"), "windows")
-            kinds = scratch.put(windows.groupBy("one", "two").agg(F.count("*").alias("m"), F.min(F.struct("doc_id", "start")).alias("at")).where("m > 1"), "kinds")
-            again = windows.join(kinds, ["one", "two"])
-            if earlier:
-                again = again.where("not (doc_id = at.doc_id and start = at.start)")
-            spans.append(again.select("doc_id", "start", (F.col("start") + window).alias("end")))
-    out = spans[0]
-    for s in spans[1:]:
-        out = out.unionByName(s)
-    return out
+    if not size:
+        return [], None
+    group = F.when(F.col("hot"), F.xxhash64("gram", "content")).otherwise(F.xxhash64("gram"))
+    shard = F.pmod(group, F.lit(max(1, -(-size // shard_bytes)))).cast("int")
+    # equal rows of one doc_id give a first stretch twice: one stands for them, its weight counts both
+    dealt = pieces.where("not hot or weight > 1").select(shard.alias("shard"), "doc_id", "mark", "first", "gram", "content", "weight", "hot", "piece")
+    indexed = scratch.put(dealt.groupBy("shard").applyInArrow(index, "doc_id long, mark long, start int, end int, gram long, content long"), "indexed")
+    whole = indexed.where("gram is not null").select("gram", "content").distinct()
+    if earlier:
+        # all stretches of such a content but its first
+        again = shared.join(whole.join(distinct.select("gram", "content", "at"), ["gram", "content"]), ["gram", "content"]).where("not (doc_id = at.doc_id and mark = at.mark and first = at.first)")
+    else:
+        again = shared.join(whole, ["gram", "content"])
+    again = scratch.put(again.select("doc_id", "mark", F.col("first").alias("start"), (F.col("last") + window).alias("end")), "again")
+    scratch.drop(shared, distinct)
+    hot = pieces.where("hot").select("doc_id", "mark", F.col("first").alias("base"), F.col("piece").alias("text"))
+    spans = [indexed.where("gram is null").select("doc_id", "mark", "start", "end"), again]
+    if gram >= window or hot.isEmpty():
+        scratch.drop(pieces)
+        return spans, None
+    return spans, hot
 
 
 def with_spans(docs: DataFrame, spans: DataFrame, scratch: Scratch) -> DataFrame:
-    """docs with the array column _spans of their merged (start, end), empty where there are none."""
-    merged = spans.groupBy("doc_id").agg(F.collect_set(F.struct("start", "end")).alias("_spans"))
-    merged = scratch.put(merged.select(F.col("doc_id").alias("_id"), "_spans"), "spans")
-    return docs.join(merged, F.col("doc_id") == F.col("_id"), "left").drop("_id")
+    """docs (of marked()) with the array column _spans of their (start, end), empty where there are none; without _mark."""
+    merged = spans.groupBy("doc_id", "mark").agg(F.collect_set(F.struct("start", "end")).alias("_spans")) if spans is not None else None
+    if merged is None:
+        return docs.drop("_mark").withColumn("_spans", F.lit(None).cast("array<struct<start:int,end:int>>"))
+    merged = scratch.put(merged.select(F.col("doc_id").alias("_id"), F.col("mark").alias("_of"), "_spans"), "spans")
+    scratch.keep(merged)
+    return docs.join(merged, (F.col("doc_id") == F.col("_id")) & (F.col("_mark") == F.col("_of")), "left").drop("_id", "_of", "_mark")
 
 
 def marks(run: pa.RecordBatch, at: np.ndarray) -> np.ndarray:

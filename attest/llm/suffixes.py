@@ -7,11 +7,12 @@ A shard's pieces are sorted as suffixes by prefix doubling, from packed runs of
 give the common prefix of neighbours in suffix order by descent, without comparing texts. A scan with a stack over these
 lengths visits the intervals of the tree from the leaves up. An interval whose occurrences differ in the byte before
 them (or stand at a text's beginning) is a maximal repeat; all its occurrences, not only neighbours, are the group. Every
-repeated string lies in a maximal repeat with all its own occurrences, so the groups cover exactly what is removed.
+repeated string lies in a maximal repeat with all its own occurrences, so the groups cover exactly what is removed. A
+piece that stands for several equal stretches has their number as its weight: alone it is a group of that many.
 
 Defined results: null text is empty and keeps the digest of nothing; texts under `window` bytes stay whole; an empty table
 gives an empty result; rows without doc_id stay as they are; equal rows of one doc_id are two starts of their strings
-and both lose them. Different texts should not share a doc_id.
+and both lose them; different texts that share a doc_id are told apart by their checksums.
 """
 
 from __future__ import annotations
@@ -25,10 +26,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from . import text as T
-from .repeats import marks, repeated_spans, with_spans
+from .repeats import findings, marked, marks, repeated_spans, with_spans
 from .store import Scratch
 
-WINDOW, GRAM, PACK = 400, 48, 7
+WINDOW, GRAMS, PACK = 400, (48, 160, 280), 7
 #: Bytes of pieces in one shard; a gram with up to repeats.BLOCK distinct contents stays in one.
 SHARD_BYTES = 1 << 20
 
@@ -54,19 +55,23 @@ class SuffixArray:
             key <<= 9
             key |= sequence[i : i + size]
         self.ranks: list[tuple[int, np.ndarray]] = []
-        width = PACK
+        # a rank is the first place in order of the suffixes that are equal so far; only those not alone are sorted again
+        order = np.argsort(key).astype(np.int32)
+        key = key[order]
+        rank, at, width = np.zeros(size, np.int32), np.arange(size, dtype=np.int32), PACK
         while True:
-            order = np.argsort(key, kind="stable").astype(np.int32)
-            rank = np.zeros(size, np.int32)
-            key = key[order]
-            rank[order[1:]] = np.cumsum(key[1:] != key[:-1], dtype=np.int32)
+            new = np.append(True, key[1:] != key[:-1])
+            rank = rank.copy()
+            rank[order[at]] = np.maximum.accumulate(np.where(new, at, 0))
             self.ranks.append((width, rank))
-            if width >= depth or (size and rank[order[-1]] == size - 1):
+            at = at[~(new & np.append(new[1:], True))]
+            if width >= depth or not len(at):
                 break
-            key = rank.astype(np.int64)
-            key *= size + 1
-            key[: max(0, size - width)] += rank[width:]
-            key[: max(0, size - width)] += 1
+            own = order[at]
+            after = own + np.int64(width)
+            key = rank[own].astype(np.int64) * (size + 1) + np.where(after < size, rank[np.minimum(after, size - 1)], -1) + 1
+            sort = np.argsort(key)
+            order[at], key = own[sort], key[sort]
             width *= 2
         self.order = order
         self.common = self._common(depth, least)
@@ -93,8 +98,11 @@ class SuffixArray:
         common[at + 1] = np.where(out >= least, out, 0)
         return common
 
-    def maximal_repeats(self, least: int):
-        """Intervals (first, last, length) of at least `least` bytes in suffix order whose left extensions differ, from the leaves up."""
+    def maximal_repeats(self, least: int, weights: np.ndarray | None = None):
+        """Intervals (first, last, length) of at least `least` bytes in suffix order whose left extensions differ, from the leaves up.
+
+        weights: how many equal strings each string stands for; the beginning of one that stands for several is such a leaf.
+        """
         before = np.where(self.order > 0, self.sequence[np.maximum(self.order - 1, 0)], 0)
         change = np.zeros(len(self.order), np.int32)
         change[1:] = (before[1:] != before[:-1]) | (before[1:] == 0)  # a beginning differs from everything, also from another
@@ -102,6 +110,12 @@ class SuffixArray:
         common = self.common
         long = np.flatnonzero(common >= least)
         out: list[tuple[int, int, int]] = []
+        if weights is not None:
+            begin = np.append(0, self.ends[:-1] + 1)
+            leaf = np.flatnonzero((weights > 1) & (self.ends - begin >= least))
+            at = np.zeros(len(self.order), np.int32)
+            at[self.order] = np.arange(len(self.order), dtype=np.int32)
+            out = [(int(i), int(i), int(n)) for i, n in zip(at[begin[leaf]].tolist(), (self.ends - begin)[leaf].tolist(), strict=True)]
         if not len(long):
             return out
         cut = np.flatnonzero(np.diff(long) > 1)
@@ -121,32 +135,25 @@ class SuffixArray:
         return out
 
 
-def _groups(shard: pa.Table, window: int):
-    """The suffix array of a shard's pieces and its maximal repeats."""
-    data, offsets = T.flat(shard.column("piece").combine_chunks())
-    array = SuffixArray(data, offsets, int(np.diff(offsets).max(initial=0)), window)
-    return array, offsets, array.maximal_repeats(window)
-
-
 def index_shard(window: int):
     """The index of repeats.repeated_spans: all bytes under maximal repeats of the shard."""
-    kinds = pa.schema([("doc_id", pa.int64()), ("start", pa.int32()), ("end", pa.int32())])
 
     def of(shard: pa.Table) -> pa.Table:
-        docs, starts, ends = [], [], []
-        if shard.num_rows > 1:
-            array, offsets, groups = _groups(shard, window)
-            edge = np.zeros(array.size + 1, np.int32)
-            for first, last, length in groups:
-                at = array.order[first : last + 1]
-                np.add.at(edge, at, 1)
-                np.add.at(edge, at + length, -1)
-            covered = np.cumsum(edge[:-1]) > 0
-            a, b, piece = T.join_spans(covered[array.place], offsets)
-            docs = shard.column("doc_id").to_numpy()[piece]
-            shift = shard.column("first").to_numpy().astype(np.int64)[piece] - offsets[piece]
-            starts, ends = a + shift, b + shift
-        return pa.table({"doc_id": pa.array(docs, pa.int64()), "start": pa.array(np.asarray(starts, np.int32)), "end": pa.array(np.asarray(ends, np.int32))}, schema=kinds)
+        data, offsets = T.flat(shard.column("piece").combine_chunks())
+        weights = shard.column("weight").to_numpy()
+        array = SuffixArray(data, offsets, int(np.diff(offsets).max(initial=0)), window)
+        edge = np.zeros(array.size + 1, np.int32)
+        groups = np.array(array.maximal_repeats(window, weights), np.int64).reshape(-1, 3)
+        many = groups[:, 1] - groups[:, 0] + 1
+        at = array.order[np.repeat(groups[:, 0] - np.append(0, np.cumsum(many)[:-1]), many) + np.arange(int(many.sum()))]
+        np.add.at(edge, at, 1)
+        np.add.at(edge, at + np.repeat(groups[:, 2], many), -1)
+        covered = (np.cumsum(edge[:-1]) > 0)[array.place]
+        a, b, piece = T.join_spans(covered, offsets)
+        shift = shard.column("first").to_numpy().astype(np.int64)[piece] - offsets[piece]
+        full = np.zeros(len(weights), bool)
+        full[piece[b - a == np.diff(offsets)[piece]]] = True
+        return findings(shard, piece, a + shift, b + shift, np.flatnonzero(full & (weights > 1)))
 
     return of
 
@@ -186,25 +193,27 @@ def _cut(names: list[str], digest: bool):
     return of
 
 
-def suffix_spans(docs: DataFrame, scratch: Scratch, window: int = WINDOW, gram: int = GRAM, **bounds) -> DataFrame:
-    return repeated_spans(docs, "bytes", window, gram, False, index_shard(window), scratch, **{"shard_bytes": SHARD_BYTES, **bounds})
+def suffix_spans(docs: DataFrame, scratch: Scratch, window: int = WINDOW, grams: tuple[int, ...] = GRAMS, **bounds) -> DataFrame:
+    """Of docs with _mark (repeats.marked)."""
+    return repeated_spans(docs, "bytes", window, grams, False, index_shard(window), scratch, **{"shard_bytes": SHARD_BYTES, **bounds})
 
 
-def remove(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
-    """docs with every repeated string cut from their texts; characters that a cut leaves incomplete go too."""
+def remove(docs: DataFrame, window: int = WINDOW, grams: tuple[int, ...] = GRAMS) -> DataFrame:
+    """docs with every repeated string cut from their texts; characters that a cut leaves incomplete go too, n_chars follows."""
     scratch = Scratch(docs.sparkSession)
     names = docs.columns
-    inner = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("own"), "doc_id", "text")
-    rows = with_spans(inner, suffix_spans(docs, scratch, window, gram), scratch)
+    inner = marked(docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("own"), "doc_id", "text"))
+    rows = with_spans(inner, suffix_spans(inner, scratch, window, grams), scratch)
     kinds = StructType([inner.schema["own"], StructField("n_bytes", LongType()), StructField("n_removed", LongType()), StructField("n_spans", LongType()), StructField("kept", StringType())])
     text = F.coalesce("kept", F.col("own").getField("text"))
-    return rows.mapInArrow(_cut(["own"], False), kinds).select(*[(text if c == "text" else F.col("own").getField(c)).alias(c) for c in names])
+    cut = rows.mapInArrow(_cut(["own"], False), kinds)
+    return cut.select(*[(text if c == "text" else F.length(text).cast("long") if c == "n_chars" else F.col("own").getField(c)).alias(c) for c in names])
 
 
 def op7_suffix_dedup(spark, sf_dir: str) -> DataFrame:
     from .store import table
 
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = marked(table(spark, sf_dir, "documents").select("doc_id", "text"))
     scratch = Scratch(spark)
     rows = with_spans(docs, suffix_spans(docs, scratch), scratch)
     return rows.mapInArrow(_cut(["doc_id"], True), "doc_id long, n_bytes long, n_removed long, n_spans long, kept string").withColumnRenamed("kept", "kept_sha256")

@@ -7,7 +7,7 @@ import re
 import pyarrow as pa
 import pytest
 
-from attest.llm import fmindex, neardup, suffixes
+from attest.llm import fmindex, neardup, repeats, suffixes
 from attest.llm.store import Scratch
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -36,7 +36,8 @@ def by_words(texts, window):
 def test_fm_index_removal(spark, docs, texts, bounds):
     expected = by_words(texts, 20)
     scratch = Scratch(spark)
-    rows = fmindex.with_spans(docs.select("doc_id", "text"), fmindex.substring_spans(docs, scratch, **bounds), scratch)
+    rows = repeats.marked(docs.select("doc_id", "text"))
+    rows = repeats.with_spans(rows, fmindex.substring_spans(rows, scratch, **bounds), scratch)
     got = {r[0]: tuple(r)[1:] for r in rows.mapInArrow(fmindex._cut(["doc_id"], True), "doc_id long, n_words long, n_removed long, kept string").collect()}
     assert got == {i: (n, k, hashlib.sha256(t.encode()).hexdigest()) for i, (n, k, t) in enumerate(expected)}
     assert sum(k for _, k, _ in expected) > 500
@@ -86,11 +87,29 @@ def test_suffix_array_removal(spark, docs, texts, bounds):
         spans = sum(g and (not j or not gone[j - 1]) for j, g in enumerate(gone))
         expected[i] = (len(b), sum(gone), spans, hashlib.sha256(bytes(x for x, g in zip(b, gone, strict=True) if not g)).hexdigest())
     scratch = Scratch(spark)
-    rows = suffixes.with_spans(docs.select("doc_id", "text"), suffixes.suffix_spans(docs, scratch, window, 16, **bounds), scratch)
+    rows = repeats.marked(docs.select("doc_id", "text"))
+    rows = repeats.with_spans(rows, suffixes.suffix_spans(rows, scratch, window, (16, 40), **bounds), scratch)
     got = {r[0]: tuple(r)[1:] for r in rows.mapInArrow(suffixes._cut(["doc_id"], True), "doc_id long, n_bytes long, n_removed long, n_spans long, kept string").collect()}
     assert got == expected and sum(e[1] for e in expected.values()) > 1000
 
 
+def test_nothing_is_found_beside_the_index(spark, docs):
+    """Whatever goes is named by an index: one that finds nothing leaves all texts whole."""
+    for by, window, grams in (("bytes", 60, (16,)), ("words", 20, (6,))):
+        none = lambda shard: repeats.findings(shard, [], [], [], [])
+        spans = repeats.repeated_spans(repeats.marked(docs), by, window, grams, by == "words", none, Scratch(spark))
+        assert spans.count() == 0
+
+
+def test_texts_that_share_an_id(spark, texts):
+    """Different texts of one doc_id are told apart: a span found in one is not cut from the other."""
+    a, b = texts[0], " ".join(f"other{i}" for i in range(300))
+    df = spark.createDataFrame([(1, a, 0), (1, b, 0), (2, a, 0)], "doc_id long, text string, n_chars long")
+    assert b in [r.text for r in fmindex.remove(df).collect()] and b in [r.text for r in suffixes.remove(df).collect()]
+    assert sorted(len(r.text) for r in suffixes.remove(df).collect()) == [0, 0, len(b)]
+    assert sorted(r.n_chars for r in suffixes.remove(df).collect()) == [0, 0, len(b)]
+
+
 def test_maximal_repeat_groups():
     r = random.Random(3)
     for _ in range(40):
