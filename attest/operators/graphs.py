@@ -1,53 +1,66 @@
-"""Trees and graphs as edge tables: root paths, descendants, closures, components, affine chains, forward kinematics."""
+"""Trees and graphs as edge tables: root paths, descendants, closures, components, affine chains, forward kinematics.
+
+What runs down a tree is composed by pointer doubling: every node holds the product along the way to an ancestor, and a
+round joins it with that ancestor's, so a tree of depth n takes log2(n) rounds and no recursion limit is met. Tables
+between rounds are written to the shared folder.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from itertools import count
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import vec as V
+from ..sources.shared import Scratch
 
-DEPTH = 1000
-
-
-def _recursive(spark, sql: str, **frames: DataFrame) -> DataFrame:
-    """A recursive query with the depth limit of this module instead of the session's."""
-    old = spark.conf.get("spark.sql.cteRecursionLevelLimit")
-    spark.conf.set("spark.sql.cteRecursionLevelLimit", str(DEPTH))
-    try:
-        return spark.sql(sql, **frames)
-    finally:
-        spark.conf.set("spark.sql.cteRecursionLevelLimit", old)
 
+def _climb(edges: DataFrame, value: Column, compose: Callable[[Column, Column], Column]) -> DataFrame:
+    """edges (child, parent; null for a root) to (node, value) of the nodes that a root reaches.
 
-def root_paths(edges: DataFrame, tree: str | None = None) -> DataFrame:
+    value: of each edge's child; compose(upper, lower): associative, the value of two stretches of a path. A node with
+    several parents has a row for each path. Nodes on or below a cycle, or below a parent that has no row, are left out.
+    """
+    scratch = Scratch(edges.sparkSession)
+    state = scratch.put(edges.select(F.col("child").alias("node"), F.col("parent").alias("up"), value.alias("value")), "climb")
+    done, waiting = state.where("up is null").select("node", "value"), state.where("up is not null")
+    left = waiting.count()
+    while left:
+        known = done.withColumn("next", F.lit(None).cast(state.schema["up"].dataType)).unionByName(waiting.withColumnRenamed("up", "next"))
+        above = known.select(F.col("node").alias("up"), "next", F.col("value").alias("_upper"))
+        step = waiting.join(above, "up").select("node", F.col("next").alias("up"), compose(F.col("_upper"), F.col("value")).alias("value"))
+        step = scratch.put(step, "climb")
+        done, waiting = done.unionByName(step.where("up is null").select("node", "value")), step.where("up is not null")
+        now = waiting.count()
+        if now >= left and step.where("up is null").isEmpty():
+            break  # only cycles are left
+        left = now
+    return done
+
+
+def root_paths(edges: DataFrame) -> DataFrame:
     """edges (child, parent; parent null for a root) to node, depth, path (array from the root)."""
-    spark = edges.sparkSession
-    return _recursive(
-        spark,
-        """WITH RECURSIVE walk AS (
-             SELECT child AS node, 0 AS depth, array(child) AS path FROM {e} WHERE parent IS NULL
-             UNION ALL
-             SELECT e.child, w.depth + 1, concat(w.path, array(e.child)) FROM walk w JOIN {e} e ON e.parent = w.node)
-           SELECT node, depth, path FROM walk""",
-        e=edges,
-    )
+    out = _climb(edges, F.array("child"), lambda upper, own: F.concat(upper, own))
+    return out.select("node", (F.size("value") - 1).alias("depth"), F.col("value").alias("path"))
 
 
 def descendants(edges: DataFrame, of: DataFrame) -> DataFrame:
-    """All (ancestor, node, distance) below the nodes of `of` (column node), themselves included."""
-    return _recursive(
-        edges.sparkSession,
-        """WITH RECURSIVE walk AS (
-             SELECT node AS ancestor, node, 0 AS distance FROM {s}
-             UNION ALL
-             SELECT w.ancestor, e.child, w.distance + 1 FROM walk w JOIN {e} e ON e.parent = w.node)
-           SELECT ancestor, node, distance FROM walk""",
-        e=edges.where("parent is not null"),
-        s=of,
-    )
+    """All (ancestor, node, distance) below the nodes of `of` (column node), themselves included.
+
+    A node carries the nodes of `of` above it, not its whole path.
+    """
+    parents = edges.where("parent is not null").select(F.col("parent").alias("child")).distinct()
+    loose = parents.join(edges.select("child"), "child", "left_anti").select("child", F.lit(None).cast(edges.schema["child"].dataType).alias("parent"))
+    marked = edges.select("child", "parent").unionByName(loose).join(of.select(F.col("node").alias("child"), F.lit(True).alias("_of")).distinct(), "child", "left")
+    own = F.struct(F.when(F.col("_of"), F.array(F.struct(F.col("child").alias("ancestor"), F.lit(0).alias("distance")))).otherwise(F.array().cast(f"array<struct<ancestor:{edges.schema['child'].dataType.simpleString()},distance:int>>")).alias("found"), F.lit(1).alias("length"))
+
+    def compose(upper: Column, own: Column) -> Column:
+        moved = F.transform(upper.getField("found"), lambda x: F.struct(x.getField("ancestor").alias("ancestor"), (x.getField("distance") + own.getField("length")).alias("distance")))
+        return F.struct(F.concat(moved, own.getField("found")).alias("found"), (upper.getField("length") + own.getField("length")).alias("length"))
+
+    return _climb(marked, own, compose).select("node", F.explode("value.found").alias("_f")).select("_f.ancestor", "node", "_f.distance")
 
 
 def path_between(paths: DataFrame, a, b) -> DataFrame:
@@ -80,10 +93,9 @@ def degrees(edges: DataFrame) -> DataFrame:
 def closure(premises: DataFrame, seeds: DataFrame, settle=None, limit: int | None = None) -> DataFrame:
     """Everything the seeds (column node) rest on through premises (node, premise): a loop of joins with distinct.
 
-    `settle` writes a step's table (a checkpoint); without it, plans are cut by Dataset.checkpoint. The loop ends when
-    nothing new is reached; a chain deeper than `limit` rounds, where one is given, is an error.
+    `settle` writes a step's table; without it, to the shared folder. The loop ends when nothing new is reached; a chain deeper than `limit` rounds, where one is given, is an error.
     """
-    settle = settle or (lambda df: df.checkpoint())
+    settle = settle or Scratch(premises.sparkSession).put
     reached = settle(seeds.select("node").distinct())
     front = reached
     for done in count():
@@ -96,34 +108,60 @@ def closure(premises: DataFrame, seeds: DataFrame, settle=None, limit: int | Non
         reached = settle(reached.unionByName(front))
 
 
-def connected_components(edges: DataFrame, settle=None, limit: int = DEPTH) -> DataFrame:
-    """edges (a, b) to (node, component): the least node of each component, by alternating stars (rounds grow with the logarithm)."""
-    settle = settle or (lambda df: df.checkpoint())
-    nodes = edges.select(F.col("a").alias("node")).unionByName(edges.select(F.col("b").alias("node"))).distinct()
-    now = settle(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
-    for _ in range(limit):
-        # the last rounds hang nearly all nodes on one: least is dealt otherwise than by u, so that the join shuffles both sides and a common v can be split
-        least = settle(now.groupBy("u").agg(F.min("v").alias("m")).repartition("u", "m")).select(F.col("u").alias("v"), "m")
-        large = settle(now.join(least, "v", "left").select("u", F.coalesce("m", "v").alias("v")).distinct())
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        new = settle(large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).where("u > v").distinct())
-        if new.exceptAll(now).isEmpty() and now.exceptAll(new).isEmpty():
-            break
+def _star(edges: DataFrame, scratch: Scratch, large: bool) -> DataFrame:
+    """edges (u > v). Large: every greater neighbour of u goes to the least of u and its neighbours; small: the others, and u."""
+    if large:
+        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    else:
+        both = edges
+    least = scratch.put(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
+    joined = both.join(least, "u")
+    if large:
+        out = joined.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    else:
+        out = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
+    return out.where("u > v").distinct()
+
+
+def linked_components(edges: DataFrame, scratch: Scratch) -> DataFrame:
+    """(a, b) pairs to (node, component): every node that has an edge to another, and the least node it is joined with.
+
+    Alternating large and small stars; rounds grow with the logarithm of the longest path.
+    """
+    now = scratch.put(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
+    if now.isEmpty():
+        return now.select(F.col("u").alias("node"), F.col("v").alias("component"))
+    while True:
+        step = scratch.put(_star(now, scratch, True), "large")
+        new = scratch.put(_star(step, scratch, False), "small")
+        scratch.drop(now, step)
         now = new
-    return nodes.join(now.select(F.col("u").alias("node"), F.col("v").alias("component")), "node", "left").select("node", F.coalesce("component", "node").alias("component"))
+        # done when only stars are left: every node points once, and at none that points on
+        twice = now.groupBy("u").agg(F.count("*").alias("n")).where("n > 1").select("u")
+        further = now.select(F.col("v").alias("u")).distinct().join(now.select("u"), "u", "left_semi")
+        if twice.unionByName(further).isEmpty():
+            break
+    return now.select(F.col("u").alias("node"), F.col("v").alias("component"))
+
+
+def connected_components(edges: DataFrame) -> DataFrame:
+    """edges (a, b) to (node, component): the least node of each component; a node joined only with itself is one."""
+    edges = edges.where("a is not null and b is not null")
+    nodes = edges.select(F.col("a").alias("node")).unionByName(edges.select(F.col("b").alias("node"))).distinct()
+    found = linked_components(edges, Scratch(edges.sparkSession))
+    return nodes.join(found, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
 
 
 def affine_chain(edges: DataFrame) -> DataFrame:
     """edges (child, parent, multiplier, offset; null parent: a driver) to each node's driver and its value as multiplier * driver + offset."""
-    return _recursive(
-        edges.sparkSession,
-        """WITH RECURSIVE walk AS (
-             SELECT child AS node, child AS driver, CAST(1.0 AS DOUBLE) AS multiplier, CAST(0.0 AS DOUBLE) AS offset FROM {e} WHERE parent IS NULL
-             UNION ALL
-             SELECT e.child, w.driver, e.multiplier * w.multiplier, e.multiplier * w.offset + e.offset FROM walk w JOIN {e} e ON e.parent = w.node)
-           SELECT node, driver, multiplier, offset FROM walk""",
-        e=edges,
-    )
+    root = F.col("parent").isNull()
+    own = F.struct(F.col("child").alias("driver"), F.when(root, 1.0).otherwise(F.col("multiplier")).alias("multiplier"), F.when(root, 0.0).otherwise(F.col("offset")).alias("offset"))
+
+    def compose(upper: Column, own: Column) -> Column:
+        m = own.getField("multiplier")
+        return F.struct(upper.getField("driver").alias("driver"), (m * upper.getField("multiplier")).alias("multiplier"), (m * upper.getField("offset") + own.getField("offset")).alias("offset"))
+
+    return _climb(edges, own, compose).select("node", "value.*")
 
 
 def driver_domain(limits: DataFrame) -> DataFrame:
@@ -136,21 +174,16 @@ def driver_domain(limits: DataFrame) -> DataFrame:
 def forward_kinematics(joints: DataFrame, roots: DataFrame) -> DataFrame:
     """World transform of every link: roots (robot, link), joints (robot, parent, child, type, xyz, rpy, axis, value).
 
-    Each joint's local transform is one expression; the product runs down the tree in one recursive query.
+    Each joint's local transform is one expression; the products run down the tree by pointer doubling.
     """
     motion = F.when(F.col("type").isin("revolute", "continuous"), V.axis_angle_matrix(F.col("axis"), F.col("value"))).when(F.col("type") == "prismatic", V.translation_matrix(V.scaled(F.col("axis"), F.col("value")))).otherwise(V.vec(1, 0, 0, 0, 0, 1, 0, 0, 0, 0, 1, 0, 0, 0, 0, 1))
     local = joints.withColumn("_o", V.rpy_matrix(F.col("xyz"), F.col("rpy"))).withColumn("_m", motion).select("robot", "parent", "child", V.matmul4(F.col("_o"), F.col("_m")).alias("local"))
-    product = ", ".join(" + ".join(f"w.world[{4 * i + k}] * j.local[{4 * k + c}]" for k in range(4)) for i in range(4) for c in range(4))
-    return _recursive(
-        joints.sparkSession,
-        f"""WITH RECURSIVE walk AS (
-             SELECT robot, link, CAST(array(1,0,0,0, 0,1,0,0, 0,0,1,0, 0,0,0,1) AS ARRAY<DOUBLE>) AS world, 0 AS depth FROM {{r}}
-             UNION ALL
-             SELECT w.robot, j.child, array({product}), w.depth + 1 FROM walk w JOIN {{j}} j ON j.robot = w.robot AND j.parent = w.link)
-           SELECT robot, link, world, depth FROM walk""",
-        r=roots,
-        j=local,
-    )
+    key = lambda link: F.struct("robot", F.col(link).alias("link"))
+    same = F.array(*[F.lit(float(i % 5 == 0)) for i in range(16)])
+    edges = local.select(key("child").alias("child"), key("parent").alias("parent"), F.struct(F.col("local").alias("world"), F.lit(1).alias("depth")).alias("_v"))
+    tops = roots.select(key("link").alias("child"), F.lit(None).cast(edges.schema["parent"].dataType).alias("parent"), F.struct(same.alias("world"), F.lit(0).alias("depth")).alias("_v"))
+    product = lambda a, b: F.struct(V.matmul4(a.getField("world"), b.getField("world")).alias("world"), (a.getField("depth") + b.getField("depth")).alias("depth"))
+    return _climb(edges.unionByName(tops), F.col("_v"), product).select("node.*", "value.*")
 
 
 def mass_properties(inertials: DataFrame, frames: DataFrame) -> DataFrame:

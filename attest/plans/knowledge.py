@@ -11,7 +11,7 @@ from ..operators import evidence as E
 from ..operators import facts as K
 from ..operators import graphs as G
 from ..operators import score as C
-from ..sources.shared import shared_folder
+from ..sources.shared import Scratch
 from .registry import EV, events, micro, query, table
 
 # The tree world -> region -> nation -> customer, supplier.
@@ -60,41 +60,32 @@ def affine_chain(spark, d):
     return G.affine_chain(e)
 
 
-@query("""WITH RECURSIVE e AS (SELECT DISTINCT l_partkey % 97 AS node, l_suppkey % 89 AS premise FROM lineitem WHERE l_partkey % 97 > l_suppkey % 89 AND l_quantity > 49), w AS (SELECT 96 AS node UNION SELECT e.premise FROM w JOIN e USING (node)) SELECT node::BIGINT AS node FROM w""")
-def proof_closure(spark, d):
-    li = table(spark, d, "lineitem").where("l_quantity > 49").select((F.col("l_partkey") % 97).alias("node"), (F.col("l_suppkey") % 89).alias("premise")).where("node > premise").distinct()
-    return G.closure(li, spark.sql("SELECT 96L AS node"), _settle(spark))
-
-
 @query("""WITH RECURSIVE e AS (SELECT l_partkey AS node, -1-l_suppkey AS premise FROM lineitem UNION SELECT -1-l_suppkey, l_partkey FROM lineitem), w AS (SELECT max(l_partkey) AS node FROM lineitem UNION SELECT e.premise FROM w JOIN e USING (node)) SELECT node::BIGINT AS node FROM w WHERE node IS NOT NULL""")
-def proof_closure_whole(spark, d):
+def proof_closure(spark, d):
     """What the last part rests on, over every row of lineitem: a part on its suppliers (negative keys), a supplier on the parts it ships."""
+    scratch = Scratch(spark)
     li = table(spark, d, "lineitem").select(F.col("l_partkey").alias("node"), (-1 - F.col("l_suppkey")).alias("premise"))
     both = li.unionByName(li.select(F.col("premise").alias("node"), F.col("node").alias("premise"))).distinct()
-    return G.closure(_settle(spark)(both), li.agg(F.max("node").alias("node")).where("node is not null"), _settle(spark))
-
-
-@query("""WITH RECURSIVE e AS (SELECT l_partkey AS a, -1-l_orderkey AS b FROM lineitem WHERE l_quantity > 48 AND l_discount > 0.08), s AS (SELECT a, b FROM e UNION SELECT b, a FROM e), w AS (SELECT a AS node, a AS c FROM s UNION SELECT s.b, w.c FROM w JOIN s ON s.a=w.node) SELECT node, min(c) AS component FROM w GROUP BY ALL""")
-def connected_components(spark, d):
-    e = table(spark, d, "lineitem").where("l_quantity > 48 AND l_discount > 0.08").select(F.col("l_partkey").alias("a"), (-1 - F.col("l_orderkey")).alias("b"))
-    return G.connected_components(e, _settle(spark))
+    return G.closure(scratch.put(both), li.agg(F.max("node").alias("node")).where("node is not null"), scratch.put)
 
 
 @query()
-def connected_components_whole(spark, d):
-    """The components of the whole part/order graph: every row of lineitem is an edge."""
-    e = table(spark, d, "lineitem").select(F.col("l_partkey").alias("a"), (-1 - F.col("l_orderkey")).alias("b"))
-    return G.connected_components(e, _settle(spark))
+def connected_components(spark, d):
+    """The components of the whole part/order graph: every row of lineitem is an edge. SQL is too slow on it; a test holds it against union-find."""
+    return G.connected_components(table(spark, d, "lineitem").select(F.col("l_partkey").alias("a"), (-1 - F.col("l_orderkey")).alias("b")))
 
 
-def _settle(spark):
-    """Cuts a loop's lineage with checkpoint() in the session's shared folder."""
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(shared_folder(spark))
-    return lambda df: df.checkpoint()
+@query("""WITH RECURSIVE n AS (SELECT c_nationkey AS a, -1-s_nationkey AS b FROM customer JOIN supplier ON c_nationkey=s_nationkey OR c_nationkey=s_nationkey+5 GROUP BY ALL), s AS (SELECT a, b FROM n UNION SELECT b, a FROM n), w AS (SELECT a AS node, a AS c FROM s UNION SELECT s.b, w.c FROM w JOIN s ON s.a=w.node) SELECT node::BIGINT AS node, min(c)::BIGINT AS component FROM w GROUP BY ALL""")
+def nation_components(spark, d):
+    """Nations of customers and of suppliers (negative keys), joined where they are equal or five apart."""
+    c = table(spark, d, "customer").select(F.col("c_nationkey").cast("long").alias("a")).distinct()
+    s = table(spark, d, "supplier").select(F.col("s_nationkey").cast("long").alias("s")).distinct()
+    near = s.select((-1 - F.col("s")).alias("b"), F.explode(F.array("s", F.col("s") + 5)).alias("a"))
+    return G.connected_components(c.join(near, "a").select("a", "b"))
 
 
-@query()
+@query("""WITH v AS (SELECT 'robot/'||n_nationkey AS robot, n_nationkey*0.1::DOUBLE AS v FROM nation), p AS (SELECT robot, 'base' AS link, 0::DOUBLE AS x, 0::DOUBLE AS y, 0::DOUBLE AS z FROM v UNION ALL SELECT robot, 'a', 1, 0, 0 FROM v UNION ALL SELECT robot, 'b', 1+(1+v)*cos(v), (1+v)*sin(v), 0 FROM v UNION ALL SELECT robot, 'tip', 1+(1+v)*cos(v), (1+v)*sin(v), 0.2 FROM v)
+SELECT robot, link, floor(x*1e6+0.5)/1e6 AS x, floor(y*1e6+0.5)/1e6 AS y, floor(z*1e6+0.5)/1e6 AS z FROM p""")
 def fk_chain(spark, d):
     """World places of a serial arm per nation: three joints whose values follow the nation's key."""
     n = table(spark, d, "nation").select(F.concat(F.lit("robot/"), F.col("n_nationkey")).alias("robot"), (F.col("n_nationkey") * 0.1).alias("v"))

@@ -10,7 +10,7 @@ import __spark_entry__ as entry
 
 DATA = os.environ.get("ATTEST_DATA", "/root/testdata/sf0.001")
 OWN = entry._own
-NAMES = ["goal_expression", "asof_latest_observation", "carry_forward_snapshot", "completeness_status", "longest_sustained_run", "anchored_longest_segment", "status_fold_release", "truth_evaluation", "lifecycle_status", "post_execution_effect", "counterfactual_contribution", "tree_path", "affine_chain", "connected_components", "proof_closure", "keyed_diff", "set_equality", "aabb_overlap_pairs", "distance_threshold_pairs", "nearest_pair", "relative_pose", "keypoint_rmse", "wilson_interval", "prf1", "interval_overlap_join", "stream_gap_state", "corruption_out_of_order", "fact_retrieve", "inverted_index", "shape_classes"]
+NAMES = ["goal_expression", "asof_latest_observation", "carry_forward_snapshot", "completeness_status", "longest_sustained_run", "anchored_longest_segment", "status_fold_release", "truth_evaluation", "lifecycle_status", "post_execution_effect", "counterfactual_contribution", "tree_path", "affine_chain", "nation_components", "fk_chain", "tree_root_paths", "tree_descendants", "proof_closure", "keyed_diff", "set_equality", "aabb_overlap_pairs", "distance_threshold_pairs", "nearest_pair", "relative_pose", "keypoint_rmse", "wilson_interval", "prf1", "interval_overlap_join", "stream_gap_state", "corruption_out_of_order", "fact_retrieve", "inverted_index", "shape_classes"]
 
 
 def text(v):

@@ -4,6 +4,7 @@ import inspect
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from attest.operators import graphs as G
@@ -35,7 +36,7 @@ def components(pairs):
 
 @pytest.mark.parametrize("lines", [LINES, []])
 def test_components_of_all_lines(spark, tmp_path, lines):
-    out = entry.queries()["connected_components_whole"](spark, save(spark, tmp_path, lines)).collect()
+    out = entry.queries()["connected_components"](spark, save(spark, tmp_path, lines)).collect()
     want = components([(p, -1 - o) for o, p, *_ in lines])
     assert len(out) == len(want) and {r.node: r.component for r in out} == want
 
@@ -43,7 +44,7 @@ def test_components_of_all_lines(spark, tmp_path, lines):
 @pytest.mark.parametrize("lines", [LINES, []])
 def test_closure_of_all_lines(spark, tmp_path, lines):
     where = save(spark, tmp_path, lines)
-    got = [r.node for r in entry.queries()["proof_closure_whole"](spark, where).collect()]
+    got = [r.node for r in entry.queries()["proof_closure"](spark, where).collect()]
     below = {}
     for _, p, s, *_ in lines:
         below.setdefault(p, set()).add(-1 - s)
@@ -53,7 +54,7 @@ def test_closure_of_all_lines(spark, tmp_path, lines):
         want |= front
         front = set().union(*(below[v] for v in front)) - want
     assert sorted(got) == sorted(want)
-    sql = entry.oracle_sql()["proof_closure_whole"]
+    sql = entry.oracle_sql()["proof_closure"]
     con = duckdb.connect()
     con.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{where}/lineitem.parquet/*.parquet'")
     assert sorted(got) == sorted(r[0] for r in con.execute(sql).fetchall())
@@ -67,3 +68,27 @@ def test_closure_goes_to_the_end_or_fails(spark):
     assert G.closure(chain, seed, limit=6).count() == 7
     with pytest.raises(ValueError):
         G.closure(chain, seed, limit=5)
+
+
+def test_deep_chain(spark):
+    """1,500 levels: paths, affine products, forward kinematics and descendants."""
+    n = 1500
+    chain = spark.range(n).select(F.col("id").alias("child"), F.when(F.col("id") > 0, F.col("id") - 1).alias("parent"), F.lit(1.0).alias("multiplier"), F.lit(0.5).alias("offset"))
+    deepest = G.root_paths(chain).where(f"node = {n - 1}").first()
+    assert deepest.depth == n - 1 and deepest.path == list(range(n))
+    last = G.affine_chain(chain).where(f"node = {n - 1}").first()
+    assert (last.driver, last.multiplier, last.offset) == (0, 1.0, 0.5 * (n - 1))
+    below = G.descendants(chain, spark.createDataFrame([(10,), (n - 2,)], "node long")).where(f"node = {n - 1}").collect()
+    assert sorted((r.ancestor, r.distance) for r in below) == [(10, n - 11), (n - 2, 1)]
+    j = chain.where("parent is not null").select(F.lit("r").alias("robot"), F.col("parent").cast("string").alias("parent"), F.col("child").cast("string").alias("child"), F.lit("prismatic").alias("type"), *[F.array(*[F.lit(x) for x in v]).alias(c) for c, v in (("xyz", (0.0, 0.0, 0.0)), ("rpy", (0.0, 0.0, 0.0)), ("axis", (1.0, 0.0, 0.0)))], F.lit(0.001).alias("value"))
+    tip = G.forward_kinematics(j, spark.createDataFrame([("r", "0")], "robot string, link string")).where(f"link = '{n - 1}'").first()
+    assert tip.depth == n - 1 and abs(tip.world[3] - 0.001 * (n - 1)) < 1e-9
+
+
+def test_wide_star_and_cycles(spark):
+    star = spark.range(2_000_000).select(F.col("id").alias("child"), F.when(F.col("id") > 0, F.lit(0)).alias("parent"))
+    assert G.root_paths(star).agg(F.count("*"), F.sum("depth")).first()[:] == (2_000_000, 1_999_999)
+    odd = spark.createDataFrame([(1, None), (2, 1), (3, 4), (4, 3), (5, 4), (6, 99)], "child long, parent long")
+    assert sorted(r.node for r in G.root_paths(odd).collect()) == [1, 2]
+    assert G.tree_issues(odd).first().asDict() == {"n_nodes": 6, "n_roots": 1, "n_several_parents": 0, "n_unreached": 4}
+    assert G.root_paths(odd.where("false")).count() == 0
