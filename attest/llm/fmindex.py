@@ -9,7 +9,7 @@ their first 2**k >= window words (doubling), the Burrows-Wheeler transform goes
 block counts (about 1.5 bits per word and level), and every window is streamed through it from its last word to its
 first. A window whose interval shrinks to its own occurrence is dropped; the others have a matching statistic of at least
 `window`, and those with a lesser occurrence in their interval are reported as spans. A piece that stands for several
-equal stretches counts as so many occurrences.
+equal stretches counts as so many occurrences; if its gram has no other content, it is searched for as one pattern.
 
 Defined results: null text has no words; shorter texts than a window stay whole; an empty table gives an empty result;
 equal rows of one doc_id are one document; rows without doc_id stay as they are; different texts that share a doc_id are
@@ -51,22 +51,27 @@ class Wavelet:
             self.levels.append((words, before, zeros))
             symbols = np.concatenate([symbols[bits == 0], symbols[bits == 1]])
 
+        # where each symbol's places begin in the last level
+        self.starts = self._down(np.arange(1 << self.depth), np.zeros(1 << self.depth, np.int64))
+
     @staticmethod
     def _ones(words: np.ndarray, before: np.ndarray, i: np.ndarray) -> np.ndarray:
         block = i >> 6
         mask = (np.uint64(1) << (i & 63).astype(np.uint64)) - np.uint64(1)
         return before[block] + np.bitwise_count(words[block] & mask)
 
-    def rank(self, symbol: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """How often each symbol stands before places lo and hi, each from the symbol's first place in the last level."""
-        start = np.zeros(len(symbol), np.int64)
+    def _down(self, symbol: np.ndarray, i: np.ndarray) -> np.ndarray:
+        """Places i of the sequence carried down to the last level on the way of each symbol."""
         for d, (words, before, zeros) in zip(range(self.depth - 1, -1, -1), self.levels, strict=True):
-            one = ((symbol >> d) & 1).astype(bool)
-            s, a, b = (self._ones(words, before, x) for x in (start, lo, hi))
-            start = np.where(one, zeros + s, start - s)
-            lo = np.where(one, zeros + a, lo - a)
-            hi = np.where(one, zeros + b, hi - b)
-        return lo - start, hi - start
+            ones = self._ones(words, before, i)
+            i = np.where((symbol >> d) & 1, zeros + ones, i - ones)
+        return i
+
+    def rank(self, symbol: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """How often each symbol stands before places lo and hi."""
+        both = self._down(np.concatenate([symbol, symbol]), np.concatenate([lo, hi]))
+        start = self.starts[symbol]
+        return both[: len(lo)] - start, both[len(lo) :] - start
 
 
 class FMIndex:
@@ -96,20 +101,27 @@ class FMIndex:
         a, b = self.transform.rank(symbol, lo, hi)
         return self.first[symbol] + a, self.first[symbol] + b
 
-    def search(self, sequence: np.ndarray, starts: np.ndarray, length: int, least: int = 2, weights: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Of the windows sequence[start : start + length]: the starts of those with `least` occurrences, and their intervals.
+    def search(self, sequence: np.ndarray, starts: np.ndarray, length: int | np.ndarray, least: int = 2, weights: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of the patterns sequence[start : start + length]: which have `least` occurrences (their numbers), and their intervals.
 
         weights: of each place of the sequence, as how many occurrences it counts.
         """
         before = np.arange(len(sequence) + 1) if weights is None else np.append(0, np.cumsum(weights[self.suffixes]))
-        symbol = sequence[starts + length - 1]
+        length = np.broadcast_to(length, len(starts))
+        which, at = np.arange(len(starts)), starts + length - 1
+        symbol = sequence[at]
         lo, hi = self.first[symbol], self.first[symbol + 1]
-        for back in range(2, length + 1):
+        out = []
+        while len(which):
             keep = before[hi] - before[lo] >= least
-            starts, lo, hi = starts[keep], lo[keep], hi[keep]
-            lo, hi = self.step(sequence[starts + length - back], lo, hi)
-        keep = before[hi] - before[lo] >= least
-        return starts[keep], lo[keep], hi[keep]
+            done = keep & (at == starts[which])
+            out.append((which[done], lo[done], hi[done]))
+            keep &= ~done
+            which, at, lo, hi = which[keep], at[keep] - 1, lo[keep], hi[keep]
+            lo, hi = self.step(sequence[at], lo, hi)
+        which, lo, hi = (np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, np.int64),) * 3
+        order = np.argsort(which)
+        return which[order], lo[order], hi[order]
 
 
 def index_shard(window: int):
@@ -120,7 +132,7 @@ def index_shard(window: int):
         none = findings(shard, z, z, z, z)
         data, offsets = T.flat(shard.column("piece").combine_chunks())
         starts, ends, at = T.words(data, offsets, T.NON_SPACE)
-        doc, mark, first, weight = (shard.column(c).to_numpy().astype(np.int64) for c in ("doc_id", "mark", "first", "weight"))
+        doc, mark, first, weight, lone = (shard.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("doc_id", "mark", "first", "weight", "lone"))
         if not len(starts):
             return none
         of_word = T.owner(at)
@@ -134,20 +146,29 @@ def index_shard(window: int):
         sequence[place] = names[symbol]
         weights[place] = weight[of_word]
         here = T.window_starts(at, window)
+        # a piece whose gram has no other content is one pattern as a whole; of the others each window is one
+        here = here[lone[of_word[here]] == 0]
         alone = np.concatenate([[0], np.cumsum(names[symbol] == 1)])
         here = here[alone[here + window] == alone[here]]
-        if not len(here):
-            return none
-        piece = np.searchsorted(at, here, side="right") - 1
-        found, lo, _ = FMIndex(sequence, window).search(sequence, here + piece, window, weights=weights)
-        if not len(found):
+        single = np.flatnonzero((lone > 0) & (weight > 1))
+        pattern = np.concatenate([here + of_word[here], at[single] + single])
+        length = np.concatenate([np.full(len(here), window), np.diff(at)[single]])
+        if not len(pattern):
             return none
+        index = FMIndex(sequence, int(length.max()))
+        found, lo, _ = index.search(sequence, pattern, length, weights=weights)
+        # whole: single patterns, and pieces of which all windows are met again
+        alone = found[found >= len(here)] - len(here)
+        found, lo = found[: len(found) - len(alone)], lo[: len(found) - len(alone)]
+        owner, found = of_word[here[found]], pattern[found]
+        full = np.bincount(owner, minlength=len(weight)) == np.maximum(np.diff(at) - window + 1, 1)
+        whole = np.concatenate([single[alone], np.flatnonzero((weight > 1) & full & (lone == 0))])
         # the least (doc_id, mark, start) of each interval
-        owner = np.searchsorted(at[1:] + np.arange(1, len(at)), found, side="right")
-        whole = np.flatnonzero((weight > 1) & (np.bincount(owner, minlength=len(weight)) == np.diff(at) - window + 1))
         start = first[owner] + found - at[owner] - owner
         order = np.lexsort((start, mark[owner], doc[owner], lo))
         lo, o, s = lo[order], owner[order], start[order]
+        if not len(lo):
+            return findings(shard, z, z, z, whole)
         heads = np.ones(len(lo), bool)
         heads[1:] = lo[1:] != lo[:-1]
         least = np.flatnonzero(heads)[np.cumsum(heads) - 1]

@@ -93,7 +93,21 @@ def stretches(values: np.ndarray, offsets: np.ndarray, window: int, gram: int):
     return tuple(np.concatenate(x) for x in (texts, firsts, lasts, grams, contents))
 
 
+def _grams(units: Units, window: int, gram: int):
+    """The chosen grams of all stretches."""
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for run in T.runs(batch):
+                values, at, _, _ = units.cut(*T.flat(run.column("text")))
+                yield pa.RecordBatch.from_arrays([pa.array(stretches(values, at, window, gram)[3].view(np.int64))], names=["gram"])
+
+    return of
+
+
 def _find(units: Units, window: int, gram: int):
+    """All stretches with their grams and contents."""
+
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for run in T.runs(batch):
@@ -125,7 +139,7 @@ def _slices(units: Units, window: int):
                 if starts is not None:
                     a, b = starts[a], ends[b - 1]
                 pieces = pa.array([raw[x:y] for x, y in zip(a.tolist(), b.tolist(), strict=True)], pa.binary())
-                yield pa.RecordBatch.from_arrays([*(run.column(x).take(pa.array(text)) for x in ("doc_id", "mark")), first, *(flat.field(x) for x in ("gram", "content", "weight", "hot")), pieces], names=["doc_id", "mark", "first", "gram", "content", "weight", "hot", "piece"])
+                yield pa.RecordBatch.from_arrays([*(run.column(x).take(pa.array(text)) for x in ("doc_id", "mark")), first, *(flat.field(x) for x in ("gram", "content", "weight", "hot", "lone")), pieces], names=["doc_id", "mark", "first", "gram", "content", "weight", "hot", "lone", "piece"])
 
     return of
 
@@ -153,8 +167,8 @@ def repeated_spans(docs: DataFrame, by: str, window: int, grams: tuple[int, ...]
     """(doc_id, mark, start, end) in units: spans covered by windows that also start elsewhere (earlier: only at a lesser (doc_id, start)).
 
     docs: of marked(). grams: the gram's length, and the longer ones for grams with many contents.
-    index(table of doc_id, mark, first, gram, content, weight, piece) gives FOUND of one shard; it must know only the
-    windows inside each piece.
+    index(table of doc_id, mark, first, gram, content, weight, lone, piece) gives FOUND of one shard; it must know only the
+    windows inside each piece. lone: no other content of the shard can share a window with this one.
     """
     texts = docs.where("doc_id is not null and text is not null").select("doc_id", F.col("_mark").alias("mark"), F.lit(0).alias("base"), "text")
     out = None
@@ -170,28 +184,30 @@ def repeated_spans(docs: DataFrame, by: str, window: int, grams: tuple[int, ...]
 def _level(texts: DataFrame, units: Units, window: int, gram: int, earlier: bool, index: Callable, scratch: Scratch, block: int, shard_bytes: int) -> tuple[list[DataFrame], DataFrame | None]:
     """Spans found with one gram length, and the contents of grams with more than `block` of them (or None)."""
     found = texts.mapInArrow(_find(units, window, gram), "doc_id long, mark long, base int, first int, last int, gram long, content long")
-    twice = scratch.put(found.groupBy("gram").agg(F.count("*").alias("m")).where("m > 1").select("gram"), "twice")
+    grams = texts.select("text").mapInArrow(_grams(units, window, gram), "gram long")
+    twice = scratch.put(grams.groupBy("gram").agg(F.count("*").alias("m")).where("m > 1").select("gram"), "twice")
     shared = scratch.put(found.join(twice, "gram"), "shared")
     scratch.sweep(twice)
     distinct = scratch.put(shared.groupBy("gram", "content").agg(F.min(F.struct("doc_id", "mark", "first", "last", "base")).alias("at"), F.count("*").alias("weight")), "distinct")
-    kinds = distinct.groupBy("gram").agg(F.count("*").alias("kinds"), F.max("weight").alias("most")).where("kinds > 1 or most > 1").select("gram", (F.col("kinds") > block).alias("hot"))
-    wanted = distinct.join(scratch.put(kinds, "kinds"), "gram").select("at.*", "gram", "content", "weight", "hot")
-    by_text = wanted.groupBy("doc_id", "mark", "base").agg(F.collect_list(F.struct("first", "last", "gram", "content", "weight", "hot")).alias("spans"))
+    kinds = distinct.groupBy("gram").agg(F.count("*").alias("kinds"), F.max("weight").alias("most")).where("kinds > 1 or most > 1").select("gram", (F.col("kinds") > block).alias("hot"), (F.col("kinds") == 1).alias("lone"))
+    wanted = distinct.join(scratch.put(kinds, "kinds"), "gram").select("at.*", "gram", "content", "weight", "hot", "lone")
+    by_text = wanted.groupBy("doc_id", "mark", "base").agg(F.collect_list(F.struct("first", "last", "gram", "content", "weight", "hot", "lone")).alias("spans"))
     pieces = texts.join(scratch.put(by_text, "wanted"), ["doc_id", "mark", "base"])
-    pieces = scratch.put(pieces.mapInArrow(_slices(units, window), "doc_id long, mark long, first int, gram long, content long, weight long, hot boolean, piece binary"), "pieces")
+    pieces = scratch.put(pieces.mapInArrow(_slices(units, window), "doc_id long, mark long, first int, gram long, content long, weight long, hot boolean, lone boolean, piece binary"), "pieces")
     scratch.sweep(*(t for t in scratch.tables if t._attest_path.endswith(("-kinds", "-wanted"))))
     size = pieces.agg(F.sum(F.octet_length("piece"))).first()[0] or 0
     if not size:
         return [], None
     group = F.when(F.col("hot"), F.xxhash64("gram", "content")).otherwise(F.xxhash64("gram"))
     shard = F.pmod(group, F.lit(max(1, -(-size // shard_bytes)))).cast("int")
-    # equal rows of one doc_id give a first stretch twice: one stands for them, its weight counts both
-    dealt = pieces.where("not hot or weight > 1").select(shard.alias("shard"), "doc_id", "mark", "first", "gram", "content", "weight", "hot", "piece")
+    # a hot content meets the others of its gram with the longer gram; here it is alone
+    dealt = pieces.where("not hot or weight > 1").select(shard.alias("shard"), "doc_id", "mark", "first", "gram", "content", "weight", (F.col("lone") | F.col("hot")).alias("lone"), "piece")
     indexed = scratch.put(dealt.groupBy("shard").applyInArrow(index, "doc_id long, mark long, start int, end int, gram long, content long"), "indexed")
     whole = indexed.where("gram is not null").select("gram", "content").distinct()
     if earlier:
         # all stretches of such a content but its first
-        again = shared.join(whole.join(distinct.select("gram", "content", "at"), ["gram", "content"]), ["gram", "content"]).where("not (doc_id = at.doc_id and mark = at.mark and first = at.first)")
+        firsts = scratch.put(whole.join(distinct.select("gram", "content", "at"), ["gram", "content"]), "firsts")
+        again = shared.join(firsts, ["gram", "content"]).where("not (doc_id = at.doc_id and mark = at.mark and first = at.first)")
     else:
         again = shared.join(whole, ["gram", "content"])
     again = scratch.put(again.select("doc_id", "mark", F.col("first").alias("start"), (F.col("last") + window).alias("end")), "again")

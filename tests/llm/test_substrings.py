@@ -67,8 +67,15 @@ def test_wavelet_and_backward_search():
     index = fmindex.FMIndex(s, 6)
     starts, lo, hi = index.search(s, np.arange(195), 6, least=1)
     t = s.tolist()
+    assert starts.tolist() == list(range(195))
     for i, a, b in zip(starts.tolist(), lo.tolist(), hi.tolist(), strict=True):
         assert sorted(index.suffixes[a:b].tolist()) == [j for j in range(196) if t[j : j + 6] == t[i : i + 6]]
+    # patterns of several lengths, and occurrences that count more than once
+    length, weights = r.integers(1, 7, 150), r.integers(1, 3, len(s))
+    which, lo, hi = index.search(s, np.arange(150), length, least=5, weights=weights)
+    want = {i: [j for j in range(len(t)) if t[j : j + n] == t[i : i + n]] for i, n in enumerate(length.tolist())}
+    want = {i: j for i, j in want.items() if weights[j].sum() >= 5}
+    assert {i: sorted(index.suffixes[a:b].tolist()) for i, a, b in zip(which.tolist(), lo.tolist(), hi.tolist(), strict=True)} == want
 
 
 @pytest.mark.parametrize("bounds", [{}, {"block": 1}, {"shard_bytes": 2000}])
