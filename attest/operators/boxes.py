@@ -6,9 +6,11 @@ from collections.abc import Sequence
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import vec as V
+from ..sources.shared import Scratch
 
 
 def inside_box(p: Column, lo: list[float], hi: list[float]) -> Column:
@@ -65,6 +67,42 @@ def distance_pairs(points: DataFrame, key: str, position: str, radius: float, n:
     return a.join(b, [f"_c{i}" for i in range(n)]).where("a < b").withColumn("distance", V.distance(F.col("p"), F.col("q"), n)).where(F.col("distance") <= radius).select("a", "b", "distance")
 
 
+def nearest_pairs(points: DataFrame, group: str, key: str, position: str, n: int = 3) -> DataFrame:
+    """Of each group its two nearest points a < b and their distance, the least (a, b) of equal ones; a group of one point has none.
+
+    A group's grid is halved while its cells hold many pairs and doubled while none holds two points; then some pair is
+    no further apart than a cell's diagonal, and a join of neighbouring cells of that size finds the nearest. Points at
+    one place count once in the grid; two of them are a pair at distance 0. Rows with a null component take no part.
+    """
+    scratch = Scratch(points.sparkSession)
+    x = [f"_x{i}" for i in range(n)]
+    there = points.select(F.col(group).alias("g"), F.col(key).alias("k"), *[(F.col(position)[i] + 0.0).alias(c) for i, c in enumerate(x)]).dropna()
+    places = scratch.put(there.groupBy("g", *x).agg(F.min("k").alias("k"), F.count("*").alias("m")), "places")
+    ranked = there.join(places.where("m > 1").select("g", *x), ["g", *x], "left_semi").withColumn("r", F.row_number().over(W.partitionBy("g", *x).orderBy("k"))).where("r <= 2")
+    twice = ranked.groupBy("g", *x).agg(F.min("k").alias("a"), F.max("k").alias("b")).select("g", "a", "b", F.lit(0.0).alias("distance"))
+    single = places.join(twice.select("g").distinct(), "g", "left_anti")
+    span = F.greatest(*[F.max(c) - F.min(c) for c in x])
+    sizes = scratch.put(single.groupBy("g").agg(F.count("*").alias("n"), span.alias("span")).where("n > 1").select("g", "n", (F.col("span") / F.ceil(F.pow("n", F.lit(1 / n)))).alias("cell"), F.lit(0).alias("way"), F.lit(False).alias("fit")), "cells")
+    while not sizes.where("not fit").isEmpty():
+        counted = single.join(sizes.where("not fit").select("g", "cell"), "g").groupBy("g", *[F.floor(F.col(c) / F.col("cell")).alias(c) for c in x]).agg(F.count("*").alias("m"))
+        pairs = counted.groupBy("g").agg(F.sum(F.col("m") * (F.col("m") - 1) / 2).alias("pairs"))
+        none, many = F.col("pairs") == 0, F.col("pairs") > 4 * F.col("n")
+        # way 1: doubled before, -1: halved before; a grid that has been on both sides keeps the wider cell
+        fit = F.when(F.col("pairs").isNull(), F.col("fit")).when(none, F.col("way") < 0).otherwise(~many | (F.col("way") > 0))
+        cell = F.when(F.col("pairs").isNull(), F.col("cell")).when(none, F.col("cell") * 2).when(many & (F.col("way") <= 0), F.col("cell") / 2).otherwise(F.col("cell"))
+        way = F.when(none, F.lit(1)).when(many, F.lit(-1)).otherwise(0)
+        sizes = scratch.put(sizes.join(pairs, "g", "left").select("g", "n", cell.alias("cell"), F.coalesce(way, F.lit(0)).alias("way"), fit.alias("fit")), "cells")
+    reach = single.join(sizes.select("g", (F.col("cell") * n**0.5).alias("r")), "g")
+    a = reach.select("g", F.col("k").alias("a"), *[F.col(c).alias(f"a{c}") for c in x], *[F.floor(F.col(c) / F.col("r")).alias(f"_c{i}") for i, c in enumerate(x)])
+    b = reach.select("g", F.col("k").alias("b"), *[F.col(c).alias(f"b{c}") for c in x], *[F.floor(F.col(c) / F.col("r")).alias(f"_d{i}") for i, c in enumerate(x)])
+    for i in range(n):
+        b = b.withColumn(f"_c{i}", F.explode(F.sequence(F.col(f"_d{i}") - 1, F.col(f"_d{i}") + 1)))
+    squares = [(F.col(f"a{c}") - F.col(f"b{c}")) * (F.col(f"a{c}") - F.col(f"b{c}")) for c in x]
+    near = a.join(b, ["g", *[f"_c{i}" for i in range(n)]]).where("a < b").select("g", "a", "b", F.sqrt(sum(squares[1:], squares[0])).alias("distance"))
+    best = near.unionByName(twice).groupBy("g").agg(F.min(F.struct("distance", "a", "b")).alias("m"))
+    return best.select(F.col("g").alias(group), "m.a", "m.b", "m.distance")
+
+
 def band_join(left: DataFrame, right: DataFrame, keys: Sequence[str], time: str, width: float) -> DataFrame:
     """Rows of equal keys whose times differ by at most width, through buckets of that width."""
     a = left.withColumn("_bucket", F.floor(F.col(time) / width))

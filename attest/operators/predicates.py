@@ -390,11 +390,21 @@ def object_follows_frame_for_duration(ep: Episode, spec: dict) -> DataFrame:
         t, p, q = pdf["time_s"].to_numpy(), np.stack(pdf["_p"].to_numpy()), np.stack(pdf["_q"].to_numpy())
         best = 0.0
         for i in range(len(t)):
-            good = np.sqrt(((p[i:] - p[i]) ** 2).sum(1)) <= tol
-            if turn is not None:
-                good &= 2 * np.arccos(np.minimum(1, np.abs((q[i:] * q[i]).sum(1)))) <= turn
-            bad = np.flatnonzero(~good)
-            last = i + (int(bad[0]) if len(bad) else len(good)) - 1
+            if t[-1] - t[i] <= best:
+                break  # no later start can last longer
+            last, step = i, 16
+            while last == i or last + 1 < len(t):  # ever larger steps up to the first row that strays
+                rows = slice(last, last + step)
+                good = np.sqrt(((p[rows] - p[i]) ** 2).sum(1)) <= tol
+                if turn is not None:
+                    good &= 2 * np.arccos(np.minimum(1, np.abs((q[rows] * q[i]).sum(1)))) <= turn
+                bad = np.flatnonzero(~good)
+                if len(bad):
+                    last += int(bad[0]) - 1
+                    break
+                last, step = last + len(good) - 1, 2 * step
+                if len(good) < 2:
+                    break
             best = max(best, t[max(last, i)] - t[i])
         return pd.DataFrame({"run_id": [pdf["run_id"].iloc[0]], "d": [float(best)]})
 

@@ -89,21 +89,36 @@ def longest_island(stream: DataFrame, keys: Sequence[str], order: Sequence[str],
 
 
 def anchored_segment(stream: DataFrame, keys: Sequence[str], order: Sequence[str], time: str, value: str, tolerance: float) -> DataFrame:
-    """Longest segment whose values stay within tolerance of its first one; of equal ones the latest. One pass per key, in order."""
+    """Longest segment whose values stay within tolerance of its first one; of equal ones the latest. A null value ends every segment.
+
+    Per key, in order: every start's segment is found by halving steps over tables of running extremes, n log n in all.
+    """
+    import numpy as np
     import pandas as pd
 
     kinds = ", ".join([f"{k} {stream.schema[k].dataType.simpleString()}" for k in keys] + ["start_index long", "n_rows long", f"duration {stream.schema[time].dataType.simpleString()}"])
 
     def of(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(list(order), kind="stable")
-        t, v = pdf[time].to_numpy(), pdf[value].to_numpy()
-        best = (None, 0, 0)
-        for i in range(len(v)):
-            bad = (~(abs(v[i:] - v[i]) <= tolerance)).nonzero()[0]
-            n = int(bad[0]) if len(bad) else len(v) - i
-            if n and (best[0] is None or t[i + n - 1] - t[i] >= best[0]):
-                best = (t[i + n - 1] - t[i], i, n)
-        return pd.DataFrame([{**{k: pdf[k].iloc[0] for k in keys}, "start_index": best[1], "n_rows": best[2], "duration": best[0]}] if best[0] is not None else [], columns=[*keys, "start_index", "n_rows", "duration"])
+        t, v = pdf[time].to_numpy(), pdf[value].to_numpy(np.float64)
+        high, low = np.where(np.isnan(v), np.inf, v), np.where(np.isnan(v), -np.inf, v)
+        levels = [(high, low)]
+        while 2 << len(levels) <= 2 * len(v):
+            w = 1 << len(levels) - 1
+            high, low = levels[-1]
+            levels.append((np.maximum(high[:-w], high[w:]), np.minimum(low[:-w], low[w:])))
+        start, n = np.arange(len(v)), np.zeros(len(v), np.int64)
+        for k in range(len(levels) - 1, -1, -1):  # extend every segment by 2**k rows where they all stay near
+            high, low = levels[k]
+            at = np.minimum(start + n, len(high) - 1)
+            fits = (start + n < len(high)) & (high[at] - v <= tolerance) & (v - low[at] <= tolerance)
+            n[fits] += 1 << k
+        some = np.flatnonzero(n)
+        if not len(some):
+            return pd.DataFrame([], columns=[*keys, "start_index", "n_rows", "duration"])
+        length = t[some + n[some] - 1] - t[some]
+        i = int(some[np.flatnonzero(length == length.max())[-1]])
+        return pd.DataFrame([{**{k: pdf[k].iloc[0] for k in keys}, "start_index": i, "n_rows": int(n[i]), "duration": length.max()}])
 
     return stream.select(*{*keys, *order, time, value}).groupBy(*keys).applyInPandas(of, kinds)
 

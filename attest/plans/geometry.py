@@ -144,24 +144,9 @@ def distance_threshold_pairs(spark, d):
 @query("""WITH e AS (SELECT vec_id, label, list_transform(embedding[1:3], lambda x: x::DOUBLE) AS p FROM embeddings), j AS (SELECT a.label, a.vec_id AS a, b.vec_id AS b, sqrt((a.p[1]-b.p[1])*(a.p[1]-b.p[1])+(a.p[2]-b.p[2])*(a.p[2]-b.p[2])+(a.p[3]-b.p[3])*(a.p[3]-b.p[3])) AS d FROM e a JOIN e b ON a.label=b.label AND a.vec_id < b.vec_id)
 SELECT label::BIGINT AS label, a, b, floor(d*1e6+0.5)/1e6 AS distance FROM j QUALIFY row_number() OVER (PARTITION BY label ORDER BY d, a, b)=1""")
 def nearest_pair(spark, d):
-    """Of each label the two nearest points, in one task per label (a label is one object's points)."""
-    import numpy as np
-    import pandas as pd
-
-    def of(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("vec_id")
-        p, ids = np.stack(pdf["p"].to_numpy()), pdf["vec_id"].to_numpy()
-        best = (np.inf, 0, 0)
-        for i in range(len(p) - 1):
-            x, y, z = (p[i] - p[i + 1 :]).T
-            dist = np.sqrt(x * x + y * y + z * z)
-            j = int(dist.argmin())
-            best = min(best, (float(dist[j]), int(ids[i]), int(ids[i + 1 + j])))
-        return pd.DataFrame([(int(pdf["label"].iloc[0]), best[1], best[2], best[0])] if len(p) > 1 else [], columns=["label", "a", "b", "distance"])
-
+    """Of each label the two nearest points."""
     e = table(spark, d, "embeddings").select(F.col("label").cast("long").alias("label"), "vec_id", F.transform(F.slice("embedding", 1, 3), lambda x: x.cast("double")).alias("p"))
-    out = e.groupBy("label").applyInPandas(of, "label long, a long, b long, distance double")
-    return out.withColumn("distance", micro(F.col("distance")))
+    return B.nearest_pairs(e, "label", "vec_id", "p").withColumn("distance", micro(F.col("distance")))
 
 
 @query("""SELECT l_suppkey, floor(sum((l_quantity*100)::BIGINT * l_partkey)::DOUBLE/sum((l_quantity*100)::BIGINT)*1e3+0.5)/1e3 AS centre, sum(l_quantity)::BIGINT AS mass FROM lineitem GROUP BY ALL""")

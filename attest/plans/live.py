@@ -18,8 +18,12 @@ def _stream(spark, d):
     return raw.withColumn("t", F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', CAST(ts AS TIMESTAMP_NTZ))"))
 
 
-@query(EV + ", b AS (SELECT *, lag(t) OVER (PARTITION BY user_id ORDER BY t, event_id) AS bt FROM ev) SELECT user_id, event_id, 'gap' AS issue, t-bt AS gap FROM b WHERE t-bt > 86400000000")
+_ARRIVAL = EV + ", b AS (SELECT *, lag(t) OVER (PARTITION BY user_id ORDER BY event_id) AS bt FROM ev) "
+
+
+@query(_ARRIVAL + "SELECT user_id, event_id, CASE WHEN t < bt THEN 'out_of_order' ELSE 'gap' END AS issue, t-bt AS gap FROM b WHERE t < bt OR t-bt > 86400000000")
 def stream_gap_state(spark, d):
+    """event_id is the order of arrival: rows that come late, and gaps."""
     return L.drain(L.order_issues(_stream(spark, d), "user_id", "event_id", "t", DAY))
 
 
@@ -29,7 +33,8 @@ def stream_snapshot_state(spark, d):
     return out.drop("user_id")
 
 
-@query()
+@query(EV + """, b AS (SELECT user_id, t, CASE WHEN t-lag(t) OVER w < 21600000000 THEN 0 ELSE 1 END AS s FROM ev WINDOW w AS (PARTITION BY user_id ORDER BY t)), g AS (SELECT *, sum(s) OVER (PARTITION BY user_id ORDER BY t) AS g FROM b),
+c AS (SELECT user_id, min(t) AS start_time, max(t) + 21600000000 AS end_time, count(*) AS n FROM g GROUP BY user_id, g) SELECT user_id, start_time, n FROM c WHERE end_time <= (SELECT max(t) // 1000 * 1000 - 3600000000 FROM ev)""")
 def stream_session(spark, d):
     s = _stream(spark, d).withColumn("ts", F.timestamp_micros("t"))
     return L.drain(L.sessions(s, "user_id", "ts", "6 hours", "1 hour")).select("user_id", F.unix_micros("start").alias("start_time"), "n")

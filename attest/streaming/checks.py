@@ -1,7 +1,10 @@
 """Order checks, carried-forward state and sessions over unbounded streams, with the same results as their batch forms.
 
-State is one small record per key. Rows of one micro-batch are put in (time, id) order; rows of a later batch that are
-older than what a key has seen are late: they are reported, never repaired.
+State is one small record per key, and is given up `keep_ms` after a key's last row where that is set: for streams that run
+on, as a run that only drains what is there would wait for the last timeout. The order check
+takes a key's rows in order of arrival (an increasing number that the source gives), so that a late row is reported, never
+repaired, and the result does not depend on how rows are cut into batches as long as these keep that order. Snapshots put
+the rows of a batch in (time, id) order.
 """
 
 from __future__ import annotations
@@ -9,6 +12,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -27,30 +31,39 @@ def drain(stream: DataFrame, mode: str = "append") -> DataFrame:
     return spark.read.schema(schema).parquet(f"{at}/out")
 
 
-def order_issues(stream: DataFrame, key: str, tie: str, time: str, max_gap: int) -> DataFrame:
-    """Rows that come late or after a gap: key, tie, issue, gap (time since the row before)."""
+def _timeout(keep_ms: int | None) -> GroupStateTimeout:
+    return GroupStateTimeout.NoTimeout if keep_ms is None else GroupStateTimeout.ProcessingTimeTimeout
 
-    def of(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(frames)).sort_values([time, tie])
-        last = state.get[0] if state.exists else None
-        out = []
-        for t, i in zip(rows[time].tolist(), rows[tie].tolist(), strict=True):
-            if last is not None and t < last:
-                out.append((k[0], i, "out_of_order", t - last))
-            elif last is not None and t - last > max_gap:
-                out.append((k[0], i, "gap", t - last))
-            last = t if last is None else max(last, t)
-        state.update((last,))
-        yield pd.DataFrame(out, columns=[key, tie, "issue", "gap"])
 
-    return stream.select(key, tie, time).groupBy(key).applyInPandasWithState(of, f"{key} long, {tie} long, issue string, gap long", "last long", "append", GroupStateTimeout.NoTimeout)
+def order_issues(stream: DataFrame, key: str, arrival: str, time: str, max_gap: int, keep_ms: int | None = None) -> DataFrame:
+    """Rows older than the one before them, or after a gap: key, arrival, issue, gap (time since the row before)."""
 
-
-def snapshots(stream: DataFrame, key: str, tie: str, time: str, channel: str, value: str, channels: Sequence[str], max_age: int) -> DataFrame:
+    def of(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        none = pd.DataFrame([], columns=[key, arrival, "issue", "gap"])
+        if state.hasTimedOut:
+            state.remove()
+            yield none
+            return
+        rows = pd.concat(list(frames)).sort_values(arrival, kind="stable")
+        at, t = rows[arrival].to_numpy(), rows[time].to_numpy()
+        step = t - np.append(state.get[0] if state.exists else t[0], t[:-1])
+        found = np.flatnonzero((step < 0) | (step > max_gap))
+        state.update((int(t[-1]),))
+        if keep_ms is not None:
+            state.setTimeoutDuration(keep_ms)
+        yield pd.DataFrame({key: k[0], arrival: at[found], "issue": np.where(step[found] < 0, "out_of_order", "gap"), "gap": step[found]}) if len(found) else none
+
+    return stream.select(key, arrival, time).groupBy(key).applyInPandasWithState(of, f"{key} long, {arrival} long, issue string, gap long", "last long", "append", _timeout(keep_ms))
+
+
+def snapshots(stream: DataFrame, key: str, tie: str, time: str, channel: str, value: str, channels: Sequence[str], max_age: int, keep_ms: int | None = None) -> DataFrame:
     """Each row with the latest value of every channel so far, its age and the snapshot's status."""
     names = [c for ch in channels for c in (f"{ch}_value", f"{ch}_age")]
 
     def of(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         rows = pd.concat(list(frames)).sort_values([time, tie])
         held = list(state.get) if state.exists else [None] * (2 * len(channels))
         out = []
@@ -62,6 +75,8 @@ def snapshots(stream: DataFrame, key: str, tie: str, time: str, channel: str, va
             status = "incomplete" if None in ages else "stale" if max(ages) > max_age else "current"
             out.append((k[0], i, *[x for n in range(len(channels)) for x in (held[2 * n], ages[n])], status))
         state.update(tuple(held))
+        if keep_ms is not None:
+            state.setTimeoutDuration(keep_ms)
         done = pd.DataFrame(out, columns=[key, tie, *names, "snapshot_status"])
         for n in names:
             done[n] = done[n].astype("Int64" if n.endswith("_age") else "Float64")
@@ -69,7 +84,7 @@ def snapshots(stream: DataFrame, key: str, tie: str, time: str, channel: str, va
 
     kinds = ", ".join(f"{n} {'long' if n.endswith('_age') else 'double'}" for n in names)
     held = ", ".join(f"v{n} double, t{n} long" for n in range(len(channels)))
-    return stream.select(key, tie, time, channel, value).groupBy(key).applyInPandasWithState(of, f"{key} long, {tie} long, {kinds}, snapshot_status string", held, "append", GroupStateTimeout.NoTimeout)
+    return stream.select(key, tie, time, channel, value).groupBy(key).applyInPandasWithState(of, f"{key} long, {tie} long, {kinds}, snapshot_status string", held, "append", _timeout(keep_ms))
 
 
 def sessions(stream: DataFrame, key: str, time: str, gap: str, delay: str) -> DataFrame:
