@@ -2,10 +2,13 @@
 
 Words are runs of letters, digits and characters beyond ASCII, A-Z lower-cased. A window is n consecutive words of an
 item; an item with fewer words, but at least one, is a window as a whole. The set holds 64-bit hashes; each hit is then
-verified word by word, so a hash collision removes nothing.
+verified against the window's bytes, so a hash collision removes nothing.
 
-Size bound: the broadcast set is cut into blocks of at most BLOCK_WORDS words of benchmark text (about 100 MB of worker
-memory each); the documents pass once for each block. Usual benchmarks are one block, and any number is exact.
+Size bound: the benchmark's distinct windows, each with its words and its items, are written in blocks of at most BLOCK_WINDOWS
+windows and BLOCK_BYTES bytes of text; one block at a time is broadcast. The documents pass once for each block, and what
+a pass found is written before the next, so one block's set is all that a worker or the driver holds. Usual benchmarks
+are one block, and any number is exact. Measured: 100,000 windows of ten words are 10.7 MB of broadcast, so a full block is
+about 55 MB in a worker and, while it is built, about three times that in the driver.
 
 Defined results: null or empty texts and items have no words and are clean; repeated rows are judged alike; an item
 whose id is null can remove words but is not listed; an empty benchmark leaves all documents clean. Further columns of
@@ -23,36 +26,47 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
 from . import text as T
+from .store import Scratch
 
-BLOCK_WORDS = 2_000_000
+BLOCK_WINDOWS, BLOCK_BYTES = 500_000, 64 << 20
 FIELDS = StructType().add("n_words", "long").add("n_hit", "long").add("item_ids", ArrayType(StringType())).add("spans", ArrayType(StructType().add("start", "integer").add("end", "integer"))).add("kept_text", "string")
 FOUND = "_decontamination"
 
 
-def _grams(rows: list, n: int) -> dict:
-    """Of benchmark rows: by window length, sorted hashes with the windows' words and items."""
-    by: dict[int, dict[bytes, set]] = {}
-    for item, text in rows:
-        data = T.LOWER[np.frombuffer((text or "").encode(), np.uint8)]
-        starts, ends, _ = T.words(data, np.array([0, len(data)]), T.ALNUM)
-        raw = data.tobytes()
-        found = [raw[a:b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
-        m = min(n, len(found))
-        for i in range(len(found) - m + 1 if m else 0):
-            by.setdefault(m, {}).setdefault(b" ".join(found[i : i + m]), set()).add(item)
+def _windows(n: int):
+    """Benchmark rows (item, text) to their windows: number of words, hash, the words joined by a space, and the item."""
+
+    def of(batches):
+        for batch in batches:
+            for run in T.runs(batch):
+                data, offsets = T.flat(run.column("text"))
+                data = T.LOWER[data]
+                starts, ends, at = T.words(data, offsets, T.ALNUM)
+                size = np.minimum(np.diff(at), n)
+                first = np.concatenate([T.window_starts(at, n), at[:-1][(size > 0) & (size < n)]])
+                of_item = np.searchsorted(at, first, side="right") - 1
+                m = size[of_item]
+                sums = T.prefix(T.word_hashes(data, starts, ends)) if len(starts) else np.zeros(1, np.uint64)
+                raw = data.tobytes()
+                words = [raw[a:b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
+                grams = [b" ".join(words[i : i + k]) for i, k in zip(first.tolist(), m.tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(m.astype(np.int32)), pa.array(T.span_hash(sums, first, first + m).view(np.int64)), pa.array(grams, pa.binary()), run.column("item").take(pa.array(of_item))], names=["m", "h", "gram", "item"])
+
+    return of
+
+
+def _set(block: pa.Table) -> dict:
+    """One block's set: by window length, sorted hashes, a filter that answers most windows with one look-up, bytes and items."""
     out = {}
-    for m, grams in by.items():
-        keys = list(grams)
-        flat = np.frombuffer(b" ".join(keys), np.uint8)
-        starts, ends, _ = T.words(flat, np.array([0, len(flat)]), T.NON_SPACE)
-        hashes = T.word_hashes(flat, starts, ends)
-        heads = np.arange(0, len(hashes), m)
-        h = T.span_hash(T.prefix(hashes), heads, heads + m)
+    names, lengths = block.column("item").combine_chunks(), block.column("m").to_numpy()
+    for m in np.unique(lengths).tolist():
+        own = np.flatnonzero(lengths == m)
+        h = block.column("h").to_numpy()[own].view(np.uint64)
         order = np.argsort(h, kind="stable")
-        # a small filter answers most windows with one look-up
+        flat, offsets = T.flat(block.column("gram").combine_chunks().take(pa.array(own[order])))
         bits = np.zeros(1 << 20, bool)
         bits[h >> np.uint64(44)] = True
-        out[m] = (h[order], [keys[i] for i in order], [sorted(x for x in grams[keys[i]] if x is not None) for i in order], bits)
+        out[m] = (h[order], bits, flat.tobytes(), offsets, names.take(pa.array(own[order])))
     return out
 
 
@@ -83,22 +97,18 @@ def _judge(run: pa.RecordBatch, grams: dict, names: list[str], last: bool) -> pa
                 hit[at[i] + s["start"] : at[i] + s["end"]] = True
     of = T.owner(at)
     raw = data.tobytes()
-    for m, (keys, texts, owners, bits) in grams.items():
+    for m, (keys, bits, flat, edges, names_of) in grams.items():
         first, h = T.window_hashes(hashes, at, m)
         near = np.flatnonzero(bits[h >> np.uint64(44)])
         if not len(near):
             continue
-        k = np.searchsorted(keys, h[near])
-        k[k == len(keys)] = 0
-        same = keys[k] == h[near]
-        seen: dict[int, list] = {}
-        for w, x in zip(first[near[same]].tolist(), k[same].tolist(), strict=True):
-            if b" ".join([raw[a:b] for a, b in zip(starts[w : w + m].tolist(), ends[w : w + m].tolist(), strict=True)]) == texts[x]:
-                hit[w : w + m] = True
-                seen.setdefault(int(of[w]), []).append(x)
-        for i, found in seen.items():
-            for x in set(found):
-                items[i].update(owners[x])
+        lo, hi = np.searchsorted(keys, h[near]), np.searchsorted(keys, h[near], side="right")
+        for w, a, b in zip(first[near[lo < hi]].tolist(), lo[lo < hi].tolist(), hi[lo < hi].tolist(), strict=True):
+            here = b" ".join([raw[x:y] for x, y in zip(starts[w : w + m].tolist(), ends[w : w + m].tolist(), strict=True)])
+            for x in range(a, b):  # windows of one hash
+                if here == flat[edges[x] : edges[x + 1]]:
+                    hit[w : w + m] = True
+                    items[int(of[w])].update(names_of[x].as_py())
     n_hit = np.bincount(of[hit], minlength=rows)
     s, e, whose = T.join_spans(hit, at)
     spans: list[list] = [[] for _ in range(rows)]
@@ -122,28 +132,32 @@ def _judge(run: pa.RecordBatch, grams: dict, names: list[str], last: bool) -> pa
     )
 
 
-def scan(docs: DataFrame, benchmark: DataFrame, n: int = 10, block_words: int = BLOCK_WORDS) -> DataFrame:
+def scan(docs: DataFrame, benchmark: DataFrame, n: int = 10, block_windows: int = BLOCK_WINDOWS) -> DataFrame:
     """The documents' columns and FOUND = struct(n_words, n_hit, item_ids, spans (word indexes), kept_text (null if clean)).
 
-    kept_text is the text without the hit spans. The benchmark, which does not grow with the corpus, is read in blocks.
+    kept_text is the text without the hit spans.
     """
     spark = docs.sparkSession
+    scratch = Scratch(spark)
     names = docs.columns
     inner = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("own"), "text")
-    rows, blocks, size = benchmark.select(F.col("item_id").cast("string"), "text").toLocalIterator(), [], 0
-    block: list = []
-    for item, text in rows:
-        block.append((item, text))
-        size += len((text or "").split()) + 1
-        if size > block_words:
-            blocks, block, size = [*blocks, block], [], 0
-    blocks.append(block)
-    out, fields = inner, FIELDS.fields
-    for k, part in enumerate(blocks):
-        sets = spark.sparkContext.broadcast(pickle.dumps(_grams(part, n)))
-        kept = ["own", "text"]
-        schema = StructType([inner.schema["own"], StructField("text", StringType()), *fields])
-        out = out.mapInArrow(_scan(sets, n, kept, k == len(blocks) - 1), schema)
+    rows = benchmark.select(F.col("item_id").cast("string").alias("item"), "text").mapInArrow(_windows(n), "m int, h long, gram binary, item string")
+    windows = scratch.put(rows.groupBy("m", "h", "gram").agg(F.collect_set("item").alias("item")), "windows")
+    count, size = windows.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("gram")), F.lit(0))).first()
+    blocks = max(1, -(-count // block_windows), -(-size // BLOCK_BYTES))
+    out, schema = inner, StructType([inner.schema["own"], StructField("text", StringType()), *FIELDS.fields])
+    before = None
+    for k in range(blocks):
+        block = windows.where(F.pmod(F.xxhash64("gram"), F.lit(blocks)) == k) if blocks > 1 else windows
+        sets = spark.sparkContext.broadcast(pickle.dumps(_set(block.toArrow())))
+        out = out.mapInArrow(_scan(sets, n, ["own", "text"], k == blocks - 1), schema)
+        if k < blocks - 1:  # what this pass found is written, so that the next holds its own set only
+            out = scratch.put(out, "found")
+            sets.destroy()
+            if before is not None:
+                scratch.drop(before)
+            before = out
+    scratch.drop(windows)
     return out.select(*[F.col("own").getField(c).alias(c) for c in names], F.struct("n_words", "n_hit", "item_ids", "spans", "kept_text").alias(FOUND))
 
 

@@ -48,18 +48,22 @@ def words(t):
     return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in t or ""))
 
 
-@pytest.mark.parametrize("block", [2_000_000, 40])
-def test_decontamination(spark, docs, texts, nothing, block):
+@pytest.mark.parametrize("block", [2_000_000, 3])
+def test_decontamination(spark, docs, texts, nothing, block, monkeypatch):
     pick = [texts[i] for i in (0, 4, 8, 12)]
     items = [(1, " ".join(words(pick[0])[:14]).upper()), (2, "!! ".join(words(pick[1])[2:14])), (3, " ".join(words(pick[2])[:3])), (10, " ".join(words(pick[3])[:12])), (4, None), (5, ""), (6, "one"), (None, "two"), (2, "one")]
     bench = spark.createDataFrame(items, "item_id long, text string")
+    sets, build = [], decontam._set
+    monkeypatch.setattr(decontam, "_set", lambda x: sets.append(x.num_rows) or build(x))
     grams: dict = {}
     for item, t in items:
         w = words(t)
         n = min(10, len(w))
         for k in range(len(w) - n + 1 if w else 0):
             grams.setdefault(tuple(w[k : k + n]), set()).add(item)
-    found = {r.doc_id: r for r in decontam.scan(docs, bench, block_words=block).collect()}
+    found = {r.doc_id: r for r in decontam.scan(docs, bench, block_windows=block).collect()}
+    # one block's set at a time, every window in one of them
+    assert sum(sets) == len(grams) and (len(sets) >= 5 and max(sets) < len(grams) if block == 3 else len(sets) == 1)
     assert docs.columns == list(found[0].asDict())[: len(docs.columns)]
     for i, t in enumerate(texts):
         w, hit, ids = words(t), set(), set()
