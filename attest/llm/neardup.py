@@ -36,8 +36,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from attest.operators.graphs import linked_components
+
 from . import text as T
-from .components import components
 from .store import Scratch
 
 SLOTS, BITS, SIGMAS, BLOCK, MISS = 1024, 4, 5.5, 256, 1e-6
@@ -329,7 +330,7 @@ def near_duplicates(docs: DataFrame, width: int = 3, percent: int = 85) -> DataF
         nonlocal links, labels
         if not found.isEmpty():
             links = found if links is None else links.unionByName(found)
-            labels = scratch.put(members.join(components(links, scratch), "node", "left").select("node", F.coalesce("component", "node").alias("component")), "labels")
+            labels = scratch.put(members.join(linked_components(links, scratch), "node", "left").select("node", F.coalesce("component", "node").alias("component")), "labels")
 
     for bands in (FIRST, n_bands):
         rows = undecided(bands)

@@ -1,51 +1,10 @@
-"""Tables between the steps of an operator, in the folder that driver and executors share."""
+"""Tables of the corpus: inputs, and those between the steps of an operator in the folder that driver and executors share."""
 
 from __future__ import annotations
 
-import gc
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
-from attest.sources.shared import shared_folder
-
-
-class Scratch:
-    """Written tables of one call. put() cuts the lineage: a lost executor costs a read, not a recomputation."""
-
-    def __init__(self, spark: SparkSession):
-        self.spark = spark
-        self.at = f"{shared_folder(spark)}/attest-{uuid.uuid4().hex}"
-        self.count = 0
-        self.tables: list[DataFrame] = []
-
-    def put(self, df: DataFrame, name: str = "t") -> DataFrame:
-        self.count += 1
-        path = f"{self.at}/{self.count}-{name}"
-        schema = df.schema
-        df.write.option("compression", "zstd").parquet(path)
-        out = self.spark.read.schema(schema).parquet(path)
-        out._attest_path = path
-        self.tables.append(out)
-        return out
-
-    def drop(self, *tables: DataFrame) -> None:
-        """Remove tables that no later step reads."""
-        jvm = self.spark._jvm
-        for df in tables:
-            path = jvm.org.apache.hadoop.fs.Path(df._attest_path)
-            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
-            self.tables = [t for t in self.tables if t is not df]
-
-    def keep(self, *tables: DataFrame) -> None:
-        """Remove all tables but those that the call's result reads."""
-        self.drop(*(t for t in self.tables if not any(t is x for x in tables)))
-
-    def sweep(self, *tables: DataFrame) -> None:
-        """Drop tables and let Spark's cleaner find the shuffle files that no plan in use needs any more."""
-        self.drop(*tables)
-        gc.collect()
-        self.spark._jvm.System.gc()
+from attest.sources.shared import Scratch  # noqa: F401
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
