@@ -1,4 +1,4 @@
 """All registered queries of the engine's own operators."""
 
-from . import geometry, knowledge, live, streams  # noqa: F401
+from . import episodes, geometry, knowledge, live, streams  # noqa: F401
 from .registry import ORACLES, QUERIES  # noqa: F401
