@@ -169,3 +169,90 @@ def wrapped_delta(a: Column, b: Column) -> Column:
 def degrees_between(a: Column, b: Column) -> Column:
     """Angle in degrees between two unit vectors."""
     return F.degrees(F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), dot(a, b)))))
+
+
+def rotation_delta(a: Column, b: Column) -> tuple[Column, Column]:
+    """Axis and angle (0 to pi) of the rotation from a to b, unit quaternions; the axis is null where nothing turns."""
+    q = multiply(conjugate(a), b)
+    sign = F.when(q[3] < 0, -1.0).otherwise(1.0)
+    size = norm(q)
+    return F.when(size > 1e-12, F.array(*[sign * q[i] / size for i in range(3)])), 2 * F.atan2(size, F.abs(q[3]))
+
+
+#: Views of a drawing: the axes that go right, up and towards the viewer.
+VIEWS = {
+    "front": ((0.0, 1.0, 0.0), (0.0, 0.0, 1.0), (1.0, 0.0, 0.0)),
+    "side": ((-1.0, 0.0, 0.0), (0.0, 0.0, 1.0), (0.0, 1.0, 0.0)),
+    "top": ((0.0, 1.0, 0.0), (-1.0, 0.0, 0.0), (0.0, 0.0, 1.0)),
+    "isometric": ((-(0.5**0.5), 0.5**0.5, 0.0), (-(6**-0.5), -(6**-0.5), 2 * 6**-0.5), (3**-0.5, 3**-0.5, 3**-0.5)),
+}
+
+
+def projections(p: Column) -> Column:
+    """An array of (view, u, v, depth) of a point."""
+    return F.array(*[F.struct(F.lit(n).alias("view"), *[dot(p, vec(*axis)).alias(c) for c, axis in zip(("u", "v", "depth"), axes, strict=True)]) for n, axes in VIEWS.items()])
+
+
+def configuration_distance(a: Column, b: Column, scales: list[float], periodic: list[bool]) -> Column:
+    """Root of the summed squares of scaled differences; periodic coordinates differ around the circle."""
+    parts = []
+    for i, (s, turn) in enumerate(zip(scales, periodic, strict=True)):
+        d = wrapped_delta(a[i], b[i]) if turn else a[i] - b[i]
+        parts.append((d / s) * (d / s))
+    return F.sqrt(sum(parts[1:], parts[0]))
+
+
+def symmetric_eigenvalues(m: Column) -> Column:
+    """Eigenvalues, least first, of a symmetric 3 x 3 matrix given as (xx, xy, xz, yy, yz, zz), in closed form."""
+    xx, xy, xz, yy, yz, zz = (m[i] for i in range(6))
+    mean = (xx + yy + zz) / 3
+    off = xy * xy + xz * xz + yz * yz
+    spread = F.sqrt(((xx - mean) * (xx - mean) + (yy - mean) * (yy - mean) + (zz - mean) * (zz - mean) + 2 * off) / 6)
+    a, b, c = (xx - mean) / spread, (yy - mean) / spread, (zz - mean) / spread
+    u, v, w = xy / spread, xz / spread, yz / spread
+    half = (a * (b * c - w * w) - u * (u * c - w * v) + v * (u * w - b * v)) / 2
+    turn = F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), half))) / 3
+    top, low = mean + 2 * spread * F.cos(turn), mean + 2 * spread * F.cos(turn + 2 * math.pi / 3)
+    return F.when(spread > 0, F.array(low, 3 * mean - top - low, top)).otherwise(F.array(mean, mean, mean))
+
+
+def inertia_state(mass: Column, m: Column, tolerance: float = 1e-9) -> Column:
+    """valid, missing, bad_mass, not_finite, not_positive (an eigenvalue below 0) or triangle (the greatest over the sum of the others)."""
+    e = symmetric_eigenvalues(m)
+    slack = tolerance * F.greatest(F.lit(1.0), F.abs(e[2]))
+    bad = F.exists(m, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
+    return F.when(mass.isNull() | m.isNull(), "missing").when(~(mass > 0), "bad_mass").when(bad, "not_finite").when(e[0] < -slack, "not_positive").when(e[2] > e[0] + e[1] + slack, "triangle").otherwise("valid")
+
+
+def constraint_residuals(kind: Column, a: Column, b: Column, axis_a: Column, axis_b: Column, target: Column) -> Column:
+    """Residuals of a constraint between two frames: point_distance (1), fixed (6), revolute (5) or prismatic (5); null for another kind.
+
+    Of the second frame in the first: its origin, the rotation's vector, and how far its axis leans from the first's along two
+    directions square to that.
+    """
+    return let(inverse_rigid(a), lambda i: let(matmul4(i, b), lambda m: _residuals(kind, m, axis_a, axis_b, target)))
+
+
+def let(value: Column, f) -> Column:
+    """f of a value that is computed once and named, so that an expression stays as long as it is written."""
+    return F.transform(F.array(value), f)[0]
+
+
+def _residuals(kind: Column, m: Column, axis_a: Column, axis_b: Column, target: Column) -> Column:
+    t = F.array(m[3], m[7], m[11])
+
+    def log(q: Column) -> Column:
+        size = norm(q)
+        return F.array(*[F.when(size > 1e-12, q[i] / size * 2 * F.atan2(size, q[3])).otherwise(0.0) for i in range(3)])
+
+    turned = let(matrix_quaternion(m), log)
+    other = F.array(*[m[4 * i] * axis_b[0] + m[4 * i + 1] * axis_b[1] + m[4 * i + 2] * axis_b[2] for i in range(3)])
+    pick = F.when(F.abs(axis_a[0]) < 0.9, vec(1, 0, 0)).otherwise(vec(0, 1, 0))
+
+    def along(v: Column) -> Column:
+        """v along two directions square to the first axis."""
+        first = lambda raw: scaled(raw, 1 / norm(raw))
+        return let(pick, lambda p: let(cross(axis_a, p), lambda raw: let(first(raw), lambda u: F.array(dot(v, u), dot(v, cross(axis_a, u))))))
+
+    lean = let(other, lambda o: along(cross(axis_a, o)))
+    return F.when(kind == "point_distance", F.array(norm(t) - target)).when(kind == "fixed", F.concat(t, turned)).when(kind == "revolute", F.concat(t, lean)).when(kind == "prismatic", F.concat(along(t), turned))

@@ -10,6 +10,10 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from ..functions.vec import configuration_distance
 
 ITERATIONS, HALVINGS, STEP, TOLERANCE = 80, 16, 1e-6, 1e-10
 
@@ -106,3 +110,63 @@ def convex_hull(points: DataFrame, groups: list[str], x: str, y: str) -> DataFra
         return pd.DataFrame([{**{g: pdf[g].iloc[0] for g in groups}, "corner": i, "x": p[0], "y": p[1]} for i, p in enumerate(hull)])
 
     return points.select(*groups, x, y).groupBy(*groups).applyInPandas(of, kinds)
+
+
+def configuration_atlas(charts: DataFrame, residual: Callable[[np.ndarray, dict], np.ndarray], lower: list[float], upper: list[float], parameter: int, scales: list[float], merge: float, parameters: tuple[str, ...] = ()) -> DataFrame:
+    """Solutions along each chart: chart, sample, node, parameter, position, residual, rank, passive_rank, sources.
+
+    charts: chart, samples (values of the coordinate `parameter`), seeds (start points), parameters. Samples go in order: each
+    starts from the seeds and from the solutions of the sample before, at its own value, with that coordinate held. Solutions
+    no further apart than `merge` (scaled) are one node. A chart is one task; charts are solved in parallel.
+    """
+    lo, hi, weight = np.array(lower, float), np.array(upper, float), np.array(scales, float)
+    free = np.arange(len(lo)) != parameter
+    kind = charts.schema["chart"].dataType.simpleString()
+
+    def of(pdf: pd.DataFrame) -> pd.DataFrame:
+        rows = []
+        for r in pdf.to_dict("records"):
+            before: list[np.ndarray] = []
+            for k, value in enumerate(r["samples"]):
+                nodes: list = []
+                for source, start in [*((f"seed/{i}", np.asarray(s, float)) for i, s in enumerate(r["seeds"])), *((f"node/{i}", s) for i, s in enumerate(before))]:
+                    whole = start.copy()
+                    whole[parameter] = value
+
+                    def inner(y, whole=whole):
+                        x = whole.copy()
+                        x[free] = y
+                        return np.asarray(residual(x, r), float)
+
+                    y, norm, _ = solve(inner, whole[free], lo[free], hi[free])
+                    if norm > 1e-8:
+                        continue
+                    x = whole.copy()
+                    x[free] = y
+                    same = next((n for n in nodes if np.linalg.norm((n[0] - x) / weight) <= merge), None)
+                    if same is not None:
+                        same[2].append(source)
+                    else:
+                        nodes.append((x, norm, [source], rank(jacobian(lambda z: np.asarray(residual(z, r), float), x), 1e-6)[0], rank(jacobian(inner, y), 1e-6)[0]))
+                nodes.sort(key=lambda n: n[0].tolist())
+                rows += [(r["chart"], k, i, float(value), n[0].tolist(), n[1], n[3], n[4], n[2]) for i, n in enumerate(nodes)]
+                before = [n[0] for n in nodes]
+        return pd.DataFrame(rows, columns=["chart", "sample", "node", "parameter", "position", "residual", "rank", "passive_rank", "sources"])
+
+    own = charts.select("chart", "samples", "seeds", *parameters)
+    return own.groupBy("chart").applyInPandas(of, f"chart {kind}, sample int, node int, parameter double, position array<double>, residual double, rank int, passive_rank int, sources array<string>")
+
+
+def rank_drops(nodes: DataFrame) -> DataFrame:
+    """nodes with the greatest ranks of their chart and whether a node's are below them."""
+    w = W.partitionBy("chart")
+    top = nodes.withColumn("top_rank", F.max("rank").over(w)).withColumn("top_passive", F.max("passive_rank").over(w))
+    return top.withColumn("mechanism_drop", F.col("rank") < F.col("top_rank")).withColumn("chart_drop", F.col("passive_rank") < F.col("top_passive"))
+
+
+def atlas_edges(nodes: DataFrame, scales: list[float], periodic: list[bool], reach: float) -> DataFrame:
+    """chart, sample, a, b, distance: nodes of neighbouring samples of a chart that are near."""
+    a = nodes.select("chart", "sample", F.col("node").alias("a"), F.col("position").alias("_p"))
+    b = nodes.select("chart", (F.col("sample") - 1).alias("sample"), F.col("node").alias("b"), F.col("position").alias("_q"))
+    out = a.join(b, ["chart", "sample"]).withColumn("distance", configuration_distance(F.col("_p"), F.col("_q"), scales, periodic))
+    return out.where(F.col("distance") <= reach).select("chart", "sample", "a", "b", "distance")
