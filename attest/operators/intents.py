@@ -144,3 +144,96 @@ def explain_affordance(k: Knowledge, grounded: DataFrame, object_type: str) -> D
 def why_not_ready(truths: DataFrame, wanted: Column) -> DataFrame:
     """Conditions of an action that are not as wanted, with their reasons."""
     return truths.where(~F.coalesce(wanted, F.lit(False))).select("condition_id", "truth", "reason")
+
+
+# Action assurance: tables of any number of actions.
+
+
+@dataclass
+class Assurance:
+    """truths(action, condition_id, role precondition or effect, wanted, truth, reason, evidence_time, record_id), lifecycle(action, status,
+    last_state, running_from), records(action, record_id, observed_at, state)."""
+
+    truths: DataFrame
+    lifecycle: DataFrame
+    records: DataFrame
+
+    @property
+    def met(self) -> Column:
+        return F.col("truth") == F.when(F.col("wanted"), "true").otherwise("false")
+
+    def relation(self) -> DataFrame:
+        """truths with `relation`: before_start, after_start or not_started of the evidence against the first execution time."""
+        j = self.truths.join(self.lifecycle.select("action", "running_from"), "action", "left")
+        return j.withColumn("relation", F.when(F.col("evidence_time").isNull(), "no_evidence").when(F.col("running_from").isNull(), "not_started").when(F.col("evidence_time") < F.col("running_from"), "before_start").otherwise("after_start"))
+
+
+def summarize_action(a: Assurance) -> DataFrame:
+    """action, status, readiness, n_preconditions, n_met, n_effects, n_observed, outcome."""
+    from .evidence import outcome
+
+    t, pre, eff = a.relation().withColumn("_met", F.coalesce(a.met, F.lit(False))), F.col("role") == "precondition", F.col("role") == "effect"
+    sums = t.groupBy("action").agg(
+        F.count_if(pre).alias("n_preconditions"), F.count_if(pre & F.col("_met")).alias("n_met"), F.count_if(pre & (F.col("truth") == "unknown")).alias("_u"),
+        F.count_if(eff).alias("n_effects"), F.count_if(eff & F.col("_met")).alias("n_observed"), F.count_if(eff & F.col("_met") & (F.col("relation") == "before_start")).alias("_before"),
+    )
+    ready = F.when(F.col("n_met") == F.col("n_preconditions"), "ready").when(F.col("n_met") + F.col("_u") < F.col("n_preconditions"), "not_ready").otherwise("unknown")
+    j = sums.join(a.lifecycle.select("action", "status"), "action", "left").withColumn("status", F.coalesce("status", F.lit("no_records")))
+    return j.select("action", "status", ready.alias("readiness"), "n_preconditions", "n_met", "n_effects", "n_observed", outcome(F.col("status"), F.col("n_effects"), F.col("n_observed"), F.col("_before")).alias("outcome"))
+
+
+def explain_precondition(a: Assurance) -> DataFrame:
+    """Every precondition with what was wanted, what was found, and why."""
+    return a.truths.where("role = 'precondition'").select("action", "condition_id", "wanted", "truth", "reason", F.coalesce(a.met, F.lit(False)).alias("met"))
+
+
+def explain_effect(a: Assurance) -> DataFrame:
+    """Every effect with its relation to the start of execution; evidence from before it proves nothing."""
+    return a.relation().where("role = 'effect'").select("action", "condition_id", "truth", "relation", (F.coalesce(a.met, F.lit(False)) & (F.col("relation") == "after_start")).alias("attributable"))
+
+
+def explain_evidence(a: Assurance) -> DataFrame:
+    """Every record that a condition's truth rests on: action, record_id, observed_at, how many conditions rest on it, and their ids."""
+    used = a.truths.where("record_id is not null").groupBy("action", "record_id").agg(F.array_sort(F.collect_set("condition_id")).alias("c"))
+    return a.records.join(used, ["action", "record_id"]).select("action", "record_id", "observed_at", F.size("c").cast("long").alias("n_conditions"), F.array_join("c", ",").alias("conditions"))
+
+
+def explain_lifecycle(a: Assurance) -> DataFrame:
+    """Every change of state with whether it is allowed."""
+    from .evidence import transitions
+
+    return transitions(a.records, ["action"], "observed_at", "record_id", "state").select("action", "record_id", "before", "after", "allowed")
+
+
+def two_layer_closure(functional: DataFrame, structural: DataFrame, links: DataFrame, seeds: DataFrame, settle=None) -> DataFrame:
+    """(layer, node): what the seeds rest on among functional premises (node, premise), what those stand for (links: node, premise), and what
+    that rests on among structural premises."""
+    upper = closure(functional, seeds, settle)
+    lower = closure(structural, upper.join(links, "node").select(F.col("premise").alias("node")), settle)
+    return upper.select(F.lit("functional").alias("layer"), "node").unionByName(lower.select(F.lit("structural").alias("layer"), "node"))
+
+
+def compile_issues(k: Knowledge) -> DataFrame:
+    """(table, id, issue) of a functional model: repeated ids, and references that nothing declares."""
+    twice = lambda df, name, key: df.groupBy(F.col(key).cast("string").alias("id")).agg(F.count("*").alias("n")).where("n > 1").select(F.lit(name).alias("table"), "id", F.lit("repeated_id").alias("issue"))
+
+    def loose(df: DataFrame, name: str, key: str, column: str, known: DataFrame) -> DataFrame:
+        ids = known.select(known.columns[0]).distinct().toDF("_k")
+        return df.where(F.col(column).isNotNull()).join(ids, F.col(column) == F.col("_k"), "left_anti").select(F.lit(name).alias("table"), F.col(key).cast("string").alias("id"), F.lit(f"unknown_{column}").alias("issue")).distinct()
+
+    owners = k.components.select("component").unionByName(k.entities.select(F.col("entity_id").alias("component")))
+    parts = [
+        twice(k.functions, "functions", "function_id"), twice(k.affordances, "affordances", "affordance_id"), loose(k.components, "components", "component", "member", k.entities.select("entity_id")),
+        loose(k.functions, "functions", "function_id", "provided_by", owners), loose(k.capabilities, "capabilities", "capability_id", "function_id", k.functions.select("function_id")),
+        loose(k.capabilities, "capabilities", "capability_id", "requirement_id", k.requirements.select("requirement_id")), loose(k.affordances, "affordances", "affordance_id", "capability_id", k.capabilities.select("capability_id")),
+    ]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def merge_entities(declared: DataFrame) -> DataFrame:
+    """declared (entity_id, types, name) to one row per entity: all its types, sorted, and the least name."""
+    types = declared.select("entity_id", F.explode_outer("types").alias("t")).groupBy("entity_id").agg(F.array_sort(F.collect_set("t")).alias("types"))
+    return types.join(declared.groupBy("entity_id").agg(F.min("name").alias("name"), F.count("*").alias("n_declared")), "entity_id")

@@ -325,17 +325,6 @@ def dedup_by_digest(spark, d):
     return table(spark, d, "documents").groupBy(F.sha2("text", 256).alias("digest")).agg(F.min("doc_id").alias("first_doc"), F.count("*").alias("n"))
 
 
-MARKERS = ["MIT License", "All rights reserved", "TOKEN =", "Copyright"]
-
-
-@query("SELECT doc_id, " + " OR ".join(f"contains(text, '{m}')" for m in MARKERS) + " AS leaks FROM documents")
-def leak_scan(spark, d):
-    hit = F.lit(False)
-    for m in MARKERS:
-        hit = hit | F.contains(F.col("text"), F.lit(m))
-    return table(spark, d, "documents").select("doc_id", hit.alias("leaks"))
-
-
 @query("""SELECT l_returnflag, l_linestatus, grouping(l_returnflag, l_linestatus)::BIGINT AS g, count(*) AS n, sum(l_quantity)::BIGINT AS q FROM lineitem GROUP BY GROUPING SETS ((l_returnflag, l_linestatus), (l_returnflag), ())""")
 def grouping_sets(spark, d):
     return spark.sql("SELECT l_returnflag, l_linestatus, grouping_id(l_returnflag, l_linestatus) AS g, count(*) AS n, CAST(sum(l_quantity) AS BIGINT) AS q FROM {li} GROUP BY GROUPING SETS ((l_returnflag, l_linestatus), (l_returnflag), ())", li=table(spark, d, "lineitem"))
