@@ -65,3 +65,26 @@ def measured(literal: Column | None, measurement: Column | None = None, scale: f
 def last_part(path: Column) -> Column:
     """What stands behind the last slash of a typed id."""
     return F.substring_index(path, "/", -1)
+
+
+def same_values(a: Column, b: Column, absolute: float = 0.0, relative: float = 1e-9) -> Column:
+    """Arrays of numbers, place by place, within tolerance; another length is another value."""
+    return F.coalesce((F.size(a) == F.size(b)) & F.forall(F.zip_with(a, b, lambda x, y: close(x, y, absolute, relative)), lambda x: x), F.lit(False))
+
+
+def same_members(a: Column, b: Column) -> Column:
+    """Arrays as collections: the same members as often, in any order."""
+    return F.coalesce(F.array_sort(a) == F.array_sort(b), F.lit(False))
+
+
+def same_rotation(a: Column, b: Column, absolute: float = 1e-9) -> Column:
+    """Quaternions place by place within tolerance, where q and -q are the same rotation."""
+    return same_values(a, b, absolute, 0.0) | same_values(a, F.transform(b, lambda x: -x), absolute, 0.0)
+
+
+def holes(columns: list[str]) -> list[Column]:
+    """Aggregates per column: values that are not a number, and nulls of a column that has values elsewhere in the group."""
+    out = []
+    for c in columns:
+        out += [F.count_if(F.isnan(c)).alias(f"{c}_nan"), F.when(F.count(c) > 0, F.count("*") - F.count(c)).otherwise(0).alias(f"{c}_holes")]
+    return out

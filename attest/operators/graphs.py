@@ -11,6 +11,7 @@ from collections.abc import Callable
 from itertools import count
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import vec as V
@@ -51,7 +52,7 @@ def descendants(edges: DataFrame, of: DataFrame) -> DataFrame:
 
     A node carries the nodes of `of` above it, not its whole path.
     """
-    parents = edges.where("parent is not null").select(F.col("parent").alias("child")).distinct()
+    parents = edges.where("parent is not null").select(F.col("parent").alias("child")).unionByName(of.select(F.col("node").alias("child"))).distinct()
     loose = parents.join(edges.select("child"), "child", "left_anti").select("child", F.lit(None).cast(edges.schema["child"].dataType).alias("parent"))
     marked = edges.select("child", "parent").unionByName(loose).join(of.select(F.col("node").alias("child"), F.lit(True).alias("_of")).distinct(), "child", "left")
     own = F.struct(F.when(F.col("_of"), F.array(F.struct(F.col("child").alias("ancestor"), F.lit(0).alias("distance")))).otherwise(F.array().cast(f"array<struct<ancestor:{edges.schema['child'].dataType.simpleString()},distance:int>>")).alias("found"), F.lit(1).alias("length"))
@@ -219,3 +220,24 @@ def jacobian(joints: DataFrame, frames: DataFrame, paths: DataFrame, target: str
     turn = F.col("type").isin("revolute", "continuous")
     rows = at.where(turn | (F.col("type") == "prismatic")).withColumn("_a", axis).withColumn("_l", F.when(turn, V.cross(F.col("_a"), arm)).otherwise(F.col("_a"))).withColumn("_w", F.when(turn, F.col("_a")).otherwise(V.vec(0, 0, 0)))
     return rows.groupBy("robot", "driver").agg(*[F.sum(F.col("multiplier") * F.col(c)[i]).alias(f"{n}_{'xyz'[i]}") for c, n in (("_l", "linear"), ("_w", "angular")) for i in range(3)])
+
+
+def depth_first(edges: DataFrame, group: str) -> DataFrame:
+    """edges (group, child, parent) to group, node, depth and position: each tree in depth-first order, children by name."""
+    key = lambda c: F.struct(F.col(group).alias("g"), F.col(c).alias("n"))
+    paths = root_paths(edges.select(key("child").alias("child"), F.when(F.col("parent").isNotNull(), key("parent")).alias("parent")))
+    rows = paths.select(F.col("node.g").alias(group), F.col("node.n").alias("node"), "depth", F.transform("path", lambda x: x.n).alias("_p"))
+    return rows.select(group, "node", "depth", F.row_number().over(W.partitionBy(group).orderBy("_p")).alias("position"))
+
+
+def serial_segments(edges: DataFrame) -> DataFrame:
+    """head, last, n: maximal chains of nodes that each have one child, from a root or a branch's child to a leaf or a branch."""
+    kids = edges.where("parent is not null").groupBy("parent").agg(F.count("*").alias("_k"))
+    e = edges.join(kids, "parent", "left").withColumn("_head", F.col("parent").isNull() | (F.col("_k") > 1))
+    own = F.struct(F.when(F.col("_head"), F.col("child")).alias("head"), F.lit(0).alias("at"))
+
+    def compose(upper: Column, lower: Column) -> Column:
+        return F.struct(F.coalesce(lower.getField("head"), upper.getField("head")).alias("head"), F.when(lower.getField("head").isNotNull(), lower.getField("at")).otherwise(upper.getField("at") + lower.getField("at") + 1).alias("at"))
+
+    out = _climb(e.select("child", "parent", own.alias("_v")), F.col("_v"), compose).select("node", "value.*")
+    return out.groupBy("head").agg(F.max_by("node", "at").alias("last"), F.count("*").alias("n"))

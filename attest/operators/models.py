@@ -263,3 +263,10 @@ def verify_invariants(assertions: DataFrame, actual: DataFrame) -> DataFrame:
     ok = F.when(kind.isin(*POSE_TYPES), (place <= F.col("tolerance")) & (spin <= F.col("angle_tolerance"))).when(kind.isin(*DIRECTION_TYPES), way <= F.col("angle_tolerance")).when(kind.isin(*VECTOR_TYPES), worst <= F.col("tolerance")).otherwise(same)
     broken = ~kind.isin(*ASSERTION_TYPES) | F.col("_there").isNull() | (F.coalesce("tolerance", F.lit(0.0)) < 0) | (F.coalesce("angle_tolerance", F.lit(0.0)) < 0) | (numeric & ~F.coalesce(F.size(x) == F.size(y), F.lit(False))) | (kind.isin(*POSE_TYPES) & (F.size(x) != 7))
     return j.select("assertion_id", "type", F.when(broken, "error").when(ok, "passed").otherwise("failed").alias("result"), F.when(~broken, metric).alias("metric"))
+
+
+def constraint_drivers(derivations: DataFrame, constraints: DataFrame) -> DataFrame:
+    """constraints (constraint, robot, frame_a, frame_b) to constraint, robot and the drivers that move either frame, sorted."""
+    of = lambda c: derivations.select("robot", F.col("frame").alias(c), F.col("dependencies").alias(f"_{c}"))
+    j = constraints.join(of("frame_a"), ["robot", "frame_a"]).join(of("frame_b"), ["robot", "frame_b"])
+    return j.select("constraint", "robot", F.array_sort(F.array_union("_frame_a", "_frame_b")).alias("drivers"))
