@@ -1,7 +1,7 @@
 """Exact top-k by inner product: ball-tree branch and bound per shard, with the kth score shared from shard to shard.
 
-Vectors are taken as integers, floor(1024 * component). Queries come in blocks of at most BLOCK vectors (the bound of
-each broadcast); for each block the vectors are read once, in place and without a shuffle. Each task cuts its rows into
+Vectors are taken as integers, floor(1024 * component). Queries come in blocks of at most BLOCK vectors and about
+BLOCK_VALUES components (the bound of each broadcast); for each block the vectors are read once, in place and without a shuffle. Each task cuts its rows into
 shards of SHARD vectors, builds a ball tree of each (median split along the widest axis) and searches it for the whole
 block at once: nodes are taken in order of their largest upper bound, q.c + |q| r, and a query leaves a node when its
 bound is under the query's current kth score. That score starts from a bounded sample of SEEDS vectors, the same for
@@ -28,6 +28,8 @@ from pyspark.sql import functions as F
 from .store import Scratch
 
 SCALE, SHARD, LEAF, BLOCK, SEEDS = 1024, 8192, 96, 32_768, 2048
+#: Components of a block's queries: 32 MB of numbers, whatever their length.
+BLOCK_VALUES = 1 << 22
 _NONE = np.int64(-(2**63))
 _LONG = 2**63 - 1
 
@@ -204,8 +206,8 @@ def top_k(vectors: DataFrame, queries: Column, k: int = 10, block: int = BLOCK)
     def run(held: list) -> None:
         by: dict[int, list] = {}
         for r in held:
-            by.setdefault(len(r["vector"]), []).append(r)
-        packed = {n: (np.array([r["vec_id"] for r in rs], np.int64), np.array([r["vector"] for r in rs], np.float64).reshape(len(rs), n), np.array([r["floor"] for r in rs], np.int64)) for n, rs in by.items()}
+            by.setdefault(len(r[1]), []).append(r)
+        packed = {n: (np.array([r[0] for r in rs], np.int64), np.stack([r[1] for r in rs]).reshape(len(rs), n), np.array([r[2] for r in rs], np.int64)) for n, rs in by.items()}
         frozen = spark.sparkContext.broadcast(pickle.dumps(packed))
         best = vectors.mapInArrow(_scan(frozen, k), _FOUND)
         order = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
@@ -214,11 +216,13 @@ def top_k(vectors: DataFrame, queries: Column, k: int = 10, block: int = BLOCK)
         frozen.destroy()
 
     held: list = []
+    size = 0
     for r in rows:
-        held.append(r)
-        if len(held) == block:
+        held.append((r["vec_id"], np.array(r["vector"], np.float64), r["floor"]))
+        size += len(r["vector"])
+        if len(held) == block or size >= BLOCK_VALUES:
             run(held)
-            held = []
+            held, size = [], 0
     if held or not parts:
         run(held)
     out = parts[0]

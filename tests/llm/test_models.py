@@ -1,6 +1,7 @@
 """Trained operators: held-out accuracy on texts with known marks, and their edge cases."""
 
 import random
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -83,6 +84,39 @@ def test_scores_do_not_depend_on_batches(data):
     assert np.allclose(model.score(texts), np.concatenate([model.score(texts.slice(i, 1)) for i in range(len(texts))]), atol=1e-5)
 
 
+def plain_score(model, text):
+    """The score of one text word by word, from the model's numbers."""
+    words = re.findall(rb"[0-9A-Za-z\x80-\xff]+", (text or "").encode())
+    known = []
+    for w in words:
+        w = bytes(c + 32 if 65 <= c <= 90 else c for c in w)
+        hashes, _ = toxicity._tokens(pa.array([w], pa.binary()))
+        known.append([int(model.ids(h)[0]) for h in hashes])
+    zero = np.zeros(toxicity.DIM)
+    e = [zero] * toxicity.PAD + [sum(model.network.emb[i].astype(float) for i in ids) for ids in known] + [zero] * toxicity.PAD
+    logit, column = float(model.network.rest[0]), 0
+    for b, w in enumerate(model.network.widths):
+        for f in range(toxicity.FILTERS):
+            best = 0.0
+            for at in range(len(e) - toxicity.PAD):
+                z = float(model.network.bias[b * toxicity.FILTERS + f])
+                for j in range(w):
+                    z += float(e[at + j] @ model.network.kernel[:, column + j * toxicity.FILTERS + f])
+                best = max(best, z)
+            logit += best * float(model.network.out[b * toxicity.FILTERS + f])
+        column += w * toxicity.FILTERS
+    votes = [sum(model.words_of[i[0], k] for i in known if i[0] < model.profile) for k in range(len(model.languages))]
+    lang = int(np.argmax(votes)) if known and len(model.languages) > 1 else 0
+    return 1 / (1 + np.exp(-np.clip(model.scale * (logit - model.threshold[lang]), -50, 50)))
+
+
+def test_scores_against_a_plain_network(data):
+    rows, _, _ = data
+    model = toxicity.Model([(r[1], r[3], r[2]) for r in rows])
+    texts = [rows[0][1], rows[1][1][:80], "Grimble der the", "snark", "", None, "ünï 42 vort-vort"]
+    assert np.allclose(model.score(pa.array(texts, pa.string())), [plain_score(model, t) for t in texts], atol=1e-4)
+
+
 def test_quality(spark, data):
     rows, docs, labels = data
     model = quality.fit(docs, labels.where("doc_id % 3 > 0"))
