@@ -153,3 +153,76 @@ def test_code_lengths_are_exact():
     whole = model.lengths(*flat(a))
     each = np.concatenate([model.lengths(*flat(a.slice(i, 1))) for i in range(3)])
     assert np.allclose(whole, each)
+
+
+def plain_bits(model, train, text):
+    """Code length of a text by a dictionary PPM: method C's escapes, with exclusion, orders 0 to 3."""
+    S, counts = model.size, {}
+
+    def symbols(t):
+        return [int(model.symbol[b]) for b in t.encode()]
+
+    for t in train:
+        s = [model.edge] * 3 + symbols(t)
+        for i in range(3, len(s)):
+            for o in range(4):
+                seen = counts.setdefault(tuple(s[i - o : i]), {})
+                seen[s[i]] = seen.get(s[i], 0) + 1
+
+    def p(context, x):
+        below = (lambda y: p(context[1:], y)) if context else (lambda y: 1 / S)
+        seen = counts.get(context, {})
+        if not seen:
+            return below(x)
+        total, kinds = sum(seen.values()), len(seen)
+        if x in seen:
+            return seen[x] / (total + (0 if kinds == S else kinds))
+        return kinds / (total + kinds) * below(x) / (1 - sum(below(y) for y in seen))
+
+    s = [model.edge] * 3 + symbols(text)
+    return -sum(np.log2(p(tuple(s[i - 3 : i]), s[i])) for i in range(3, len(s)))
+
+
+def test_code_lengths_against_a_plain_model():
+    train = {"x": ["abracadabra abra 12", "Cad bra"], "y": ["bababa ab", "zé"]}
+    model = langid.Model(train)
+    texts = ["abra", "cadabra ba", "zz é 7", "a"]
+    from attest.llm.text import flat
+
+    bits = model.lengths(*flat(pa.array(texts)))
+    assert np.allclose(bits, [[plain_bits(model, train[k], t) for k in ("x", "y")] for t in texts], rtol=1e-5)
+    names, score = model.predict(pa.array(texts))
+    want = [[plain_bits(model, train[k], t) for k in ("x", "y")] for t in texts]
+    assert names == ["xy"[int(np.argmin(w))] for w in want]
+    assert np.allclose(score, [1 / sum(2 ** (min(w) - b) for b in w) for w in want], rtol=1e-4)
+
+
+def plain_statistics(text):
+    """The statistics of one text, counted with Python's own means."""
+    raw, b = (text or ""), (text or "").encode()
+    words = re.findall(rb"[^\x20\x09-\x0D]+", b)
+    share = lambda f: sum(map(f, b)) / max(1, len(b))
+    lines = sum(c in b"\n\r" for c in b)
+    triples = [tuple(words[i : i + 3]) for i in range(len(words) - 2)]
+    common, ends = b",;:'\"()-", b".!?"
+    plain = lambda c: chr(c).isalnum() and c < 128 or c in common + ends or c > 127 or c in b"\n\r \t\x0b\x0c"
+    mean = lambda xs: sum(xs) / max(1, len(words))
+    return {
+        "log_words": np.log1p(len(words)), "words_by_line": np.log1p(len(words) / (lines + 1)), "word_bytes": mean(map(len, words)), "short_words": mean(len(w) <= 3 for w in words),
+        "upper": share(lambda c: 65 <= c <= 90), "lower": share(lambda c: 97 <= c <= 122), "digit": share(lambda c: 48 <= c <= 57), "line_breaks": lines / max(1, len(b)), "common_marks": share(lambda c: c in common), "end_marks": share(lambda c: c in ends), "beyond_ascii": share(lambda c: c > 127), "other_marks": share(lambda c: not plain(c)),
+        "same_as_before": mean(a == c for a, c in zip(words, words[1:], strict=False)), "distinct_words": len(set(words)) / max(1, len(words)), "repeated_triples": 1 - len(set(triples)) / len(triples) if triples else 0.0,
+        "marked_words": mean(w[-1] == 33 or not plain(w[-1]) for w in words), "_": raw,
+    }
+
+
+def test_quality_against_plain_statistics(data):
+    rows, docs, labels = data
+    texts = [r[1] for r in rows[:12]] + ["a a a b! c# ünï\n\nX-1 (y); z.", "", None, "one", "\t \r\n", "x y z x y z x y z"]
+    got = quality.statistics(pa.array(texts, pa.string()))
+    want = [[plain_statistics(t)[n] for n in quality.STATISTICS] for t in texts]
+    assert np.allclose(got, want)
+    model = quality.fit(docs, labels)
+    # a score is the logistic of the weights of the rules that hold
+    for x, score in zip(want, model.score(got), strict=True):
+        z = model.bias + sum(w for rule, w in model.rules if all((x[j] > c) == above for j, above, c in rule))
+        assert abs(1 / (1 + np.exp(-z)) - score) < 1e-9
