@@ -33,10 +33,10 @@ def drivers(joints: DataFrame) -> DataFrame:
     return affine_chain(edges).select("node.robot", F.col("node.name").alias("joint"), F.col("driver.name").alias("driver"), "multiplier", "offset")
 
 
-def resolve_pose(joints: DataFrame, values: DataFrame) -> DataFrame:
-    """robot, joint, driver, position and state (ok, outside_limits, mimic_cycle) of all joints."""
+def resolve_pose(joints: DataFrame, values: DataFrame, law: DataFrame | None = None) -> DataFrame:
+    """robot, joint, driver, position and state (ok, outside_limits, mimic_cycle) of all joints. law: drivers(joints), where it is known."""
     given = values.select("robot", F.col("joint").alias("driver"), "value")
-    law = drivers(joints).withColumnRenamed("multiplier", "_m").withColumnRenamed("offset", "_o")
+    law = (drivers(joints) if law is None else law).withColumnRenamed("multiplier", "_m").withColumnRenamed("offset", "_o")
     out = joints.join(law, ["robot", "joint"], "left").join(given, ["robot", "driver"], "left")
     position = F.when(F.col("type") == "fixed", 0.0).otherwise(F.col("_m") * F.coalesce("value", F.lit(0.0)) + F.col("_o"))
     limited = F.col("type").isin("revolute", "prismatic")
@@ -51,16 +51,16 @@ def unknown_values(joints: DataFrame, values: DataFrame) -> DataFrame:
     return j.select("robot", "joint", why.alias("why")).where("why is not null")
 
 
-def domains(joints: DataFrame) -> DataFrame:
+def domains(joints: DataFrame, law: DataFrame | None = None) -> DataFrame:
     """Per driver the interval that all joints it drives allow: robot, driver, lower, upper, feasible."""
-    rows = joints.where("type in ('revolute', 'prismatic')").select("robot", "joint", "lower", "upper").join(drivers(joints), ["robot", "joint"])
+    rows = joints.where("type in ('revolute', 'prismatic')").select("robot", "joint", "lower", "upper").join(drivers(joints) if law is None else law, ["robot", "joint"])
     return driver_domain(rows.withColumn("driver", F.struct("robot", "driver"))).select("driver.robot", "driver.driver", "lower", "upper", "feasible")
 
 
-def counterfactuals(joints: DataFrame, values: DataFrame, angular_step: float = 0.1, linear_step: float = 0.01) -> DataFrame:
+def counterfactuals(joints: DataFrame, values: DataFrame, angular_step: float = 0.1, linear_step: float = 0.01, law: DataFrame | None = None) -> DataFrame:
     """robot, driver, direction (minus, plus), baseline, applied, position, status: a step of each driver, clipped to what is feasible."""
     own = joints.where("type <> 'fixed' and mimic is null").select("robot", F.col("joint").alias("driver"), "type")
-    rows = own.join(values.select("robot", F.col("joint").alias("driver"), "value"), ["robot", "driver"], "left").join(domains(joints), ["robot", "driver"], "left")
+    rows = own.join(values.select("robot", F.col("joint").alias("driver"), "value"), ["robot", "driver"], "left").join(domains(joints, law), ["robot", "driver"], "left")
     base, step = F.coalesce("value", F.lit(0.0)), F.when(F.col("type") == "prismatic", linear_step).otherwise(angular_step)
     rows = rows.select("robot", "driver", base.alias("baseline"), step.alias("_s"), "lower", "upper", F.explode(F.array(F.lit("minus"), F.lit("plus"))).alias("direction"))
     minus = F.col("direction") == "minus"
@@ -71,7 +71,7 @@ def counterfactuals(joints: DataFrame, values: DataFrame, angular_step: float =
     return rows.select("robot", "driver", "direction", "baseline", applied.alias("applied"), (F.col("baseline") + applied).alias("position"), status.alias("status"))
 
 
-def frames_at(joints: DataFrame, values: DataFrame, poses: Sequence[str] = ()) -> DataFrame:
+def frames_at(joints: DataFrame, values: DataFrame, poses: Sequence[str] = (), law: DataFrame | None = None) -> DataFrame:
     """World frames of all links: robot, link, world; values may have pose columns, and each combination is a pose of its own."""
     poses = list(poses)
     named = values.select("robot", *poses).distinct()
@@ -79,16 +79,17 @@ def frames_at(joints: DataFrame, values: DataFrame, poses: Sequence[str] = ()) -
     many = joints.join(named, "robot").withColumn("_r", F.to_json(F.struct(*keys)))
     at = many.select(*[c for c in joints.columns if c != "robot"], F.col("_r").alias("robot"))
     own = values.withColumn("robot", F.to_json(F.struct(*keys))).select("robot", "joint", "value")
-    solved = resolve_pose(at, own).select("robot", "joint", F.col("position").alias("value"))
+    known = None if law is None else law.join(named.select("robot", F.to_json(F.struct(*keys)).alias("_r")), "robot").drop("robot").withColumnRenamed("_r", "robot")
+    solved = resolve_pose(at, own, known).select("robot", "joint", F.col("position").alias("value"))
     tops = many.select(F.col("_r").alias("robot"), F.col("parent").alias("link")).distinct().join(many.select(F.col("_r").alias("robot"), F.col("child").alias("link")), ["robot", "link"], "left_anti")
     out = forward_kinematics(at.join(solved, ["robot", "joint"]).select("robot", "parent", "child", "type", "xyz", "rpy", "axis", "value"), tops)
     back = many.select("_r", *keys).distinct()
     return out.withColumnRenamed("robot", "_r").join(back, "_r").select(*keys, "link", "world")
 
 
-def affected(joints: DataFrame) -> DataFrame:
+def affected(joints: DataFrame, law: DataFrame | None = None) -> DataFrame:
     """robot, driver, link: links below a joint that the driver moves."""
-    moved = drivers(joints).join(joints.select("robot", "joint", "child"), ["robot", "joint"])
+    moved = (drivers(joints) if law is None else law).join(joints.select("robot", "joint", "child"), ["robot", "joint"])
     edges = joints.select(_key("robot", "child").alias("child"), _key("robot", "parent").alias("parent"))
     below = descendants(edges, moved.select(_key("robot", "child").alias("node")).distinct())
     return moved.select("driver", _key("robot", "child").alias("ancestor")).join(below, "ancestor").select("node.robot", "driver", F.col("node.name").alias("link")).distinct()
@@ -96,14 +97,15 @@ def affected(joints: DataFrame) -> DataFrame:
 
 def motion_atlas(joints: DataFrame, values: DataFrame, angular_step: float = 0.1, linear_step: float = 0.01) -> DataFrame:
     """robot, driver, direction, link, moved (distance of origins), turned (angle), structural: every link at every endpoint against the baseline."""
-    ends = counterfactuals(joints, values, angular_step, linear_step).where("applied <> 0")
+    law = Scratch(joints.sparkSession).put(drivers(joints))
+    ends = counterfactuals(joints, values, angular_step, linear_step, law).where("applied <> 0")
     base = values.select("robot", "joint", "value")
     still = base.join(ends.select("robot", "driver", "direction"), "robot").where("joint <> driver").select("robot", "driver", "direction", "joint", "value")
     posed = still.unionByName(ends.select("robot", "driver", "direction", F.col("driver").alias("joint"), F.col("position").alias("value")))
-    at = frames_at(joints, posed, ["driver", "direction"])
+    at = frames_at(joints, posed, ["driver", "direction"], law)
     known = joints.select("robot").distinct()
     zero = known.join(base, "robot", "left").select("robot", F.coalesce("joint", F.lit("")).alias("joint"), F.coalesce("value", F.lit(0.0)).alias("value"))
-    before = frames_at(joints, zero).select("robot", "link", F.col("world").alias("_w"))
+    before = frames_at(joints, zero, law=law).select("robot", "link", F.col("world").alias("_w"))
     j = at.join(before, ["robot", "link"])
     a, b = F.col("_w"), F.col("world")
     trace = sum((a[4 * i + k] * b[4 * i + k] for i in range(3) for k in range(3) if (i, k) != (0, 0)), a[0] * b[0])
@@ -111,7 +113,7 @@ def motion_atlas(joints: DataFrame, values: DataFrame, angular_step: float = 0.1
     place = lambda m: F.array(m[3], m[7], m[11])
     changed = F.array_max(F.zip_with(a, b, lambda x, y: F.abs(x - y))) > EPSILON
     out = j.select("robot", "driver", "direction", "link", V.distance(place(a), place(b)).alias("moved"), F.when(changed, turned).otherwise(0.0).alias("turned"), changed.alias("changed"))
-    return out.join(affected(joints).withColumn("structural", F.lit(True)), ["robot", "driver", "link"], "left").withColumn("structural", F.coalesce("structural", F.lit(False)))
+    return out.join(affected(joints, law).withColumn("structural", F.lit(True)), ["robot", "driver", "link"], "left").withColumn("structural", F.coalesce("structural", F.lit(False)))
 
 
 def causality(atlas: DataFrame) -> DataFrame:
