@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
 from . import text as T
-from .store import Scratch
+from .store import Scratch, fresh
 
 BLOCK_WINDOWS, BLOCK_BYTES = 500_000, 64 << 20
 FIELDS = StructType().add("n_words", "long").add("n_hit", "long").add("item_ids", ArrayType(StringType())).add("spans", ArrayType(StructType().add("start", "integer").add("end", "integer"))).add("kept_text", "string")
@@ -132,8 +132,8 @@ def _judge(run: pa.RecordBatch, grams: dict, names: list[str], last: bool) -> pa
     )
 
 
-def scan(docs: DataFrame, benchmark: DataFrame, n: int = 10, block_windows: int = BLOCK_WINDOWS) -> DataFrame:
-    """The documents' columns and FOUND = struct(n_words, n_hit, item_ids, spans (word indexes), kept_text (null if clean)).
+def scan(docs: DataFrame, benchmark: DataFrame, n: int = 10, block_windows: int = BLOCK_WINDOWS, name: str = FOUND) -> DataFrame:
+    """The documents' columns and, as `name`, struct(n_words, n_hit, item_ids, spans (word indexes), kept_text (null if clean)).
 
     kept_text is the text without the hit spans.
     """
@@ -158,15 +158,16 @@ def scan(docs: DataFrame, benchmark: DataFrame, n: int = 10, block_windows: int
                 scratch.drop(before)
             before = out
     scratch.drop(windows)
-    return out.select(*[F.col("own").getField(c).alias(c) for c in names], F.struct("n_words", "n_hit", "item_ids", "spans", "kept_text").alias(FOUND))
+    return out.select(*[F.col("own").getField(c).alias(c) for c in names], F.struct("n_words", "n_hit", "item_ids", "spans", "kept_text").alias(name))
 
 
 def remove(docs: DataFrame, benchmark: DataFrame, n: int = 10, most: float = 0.5) -> DataFrame:
     """Documents without benchmark passages: hit spans are cut out; a document with more than `most` of its words hit goes."""
-    found = scan(docs, benchmark, n)
-    text = F.coalesce(F.col(FOUND).kept_text, F.col("text"))
-    kept = found.where(F.col(FOUND).n_hit <= most * F.col(FOUND).n_words)
-    return kept.select(*[(text if c == "text" else F.length(text).cast("long") if c == "n_chars" else F.col(c)).alias(c) for c in docs.columns])
+    name = fresh(docs.columns, FOUND)
+    found = scan(docs, benchmark, n, name=name)
+    text = F.coalesce(F.col(name).kept_text, F.col("text"))
+    kept = found.where(F.col(name).n_hit <= most * F.col(name).n_words)
+    return kept.select(*[(text if c == "text" else F.length(text).cast("long") if c == "n_chars" else F.col(f"`{c}`")).alias(c) for c in docs.columns])
 
 
 def op6_decontamination(spark, sf_dir: str) -> DataFrame:

@@ -213,8 +213,8 @@ def substring_spans(docs: DataFrame, scratch: Scratch, window: int = WINDOW, gra
     return repeated_spans(docs, "words", window, grams, True, index_shard(window), scratch, **bounds)
 
 
-def remove(docs: DataFrame, window: int = WINDOW, grams: tuple[int, ...] = GRAMS) -> DataFrame:
-    """docs with later repeats cut from their texts: kept words joined by one space where any went, else the text as it was."""
+def remove(docs: DataFrame, window: int = WINDOW, grams: tuple[int, ...] = GRAMS, counts: tuple[str, str] = ("_n_words", "_n_removed")) -> DataFrame:
+    """docs with later repeats cut from their texts: kept words joined by one space where any went, else the text as it was; and two counts."""
     scratch = Scratch(docs.sparkSession)
     names = docs.columns
     inner = marked(docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("own"), "doc_id", "text"))
@@ -222,7 +222,7 @@ def remove(docs: DataFrame, window: int = WINDOW, grams: tuple[int, ...] = GRAMS
     kinds = StructType([inner.schema["own"], StructField("n_words", LongType()), StructField("n_removed", LongType()), StructField("kept", StringType())])
     cut = rows.mapInArrow(_cut(["own"], False), kinds)
     text = F.coalesce("kept", F.col("own").getField("text"))
-    return cut.select(*[(text if c == "text" else F.length(text).cast("long") if c == "n_chars" else F.col("own").getField(c)).alias(c) for c in names], F.col("n_words").alias("_n_words"), F.col("n_removed").alias("_n_removed"))
+    return cut.select(*[(text if c == "text" else F.length(text).cast("long") if c == "n_chars" else F.col("own").getField(c)).alias(c) for c in names], F.col("n_words").alias(counts[0]), F.col("n_removed").alias(counts[1]))
 
 
 def op9_substring_dedup(spark, sf_dir: str) -> DataFrame:

@@ -19,6 +19,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .store import fresh
+
 DIGITS = 3
 WEIGHTS = (5.0, 2.0, 1.0)
 WORD = r"[^\x20\x09-\x0D]+"
@@ -79,7 +81,7 @@ def mix(docs: DataFrame, seed: int = 7, share: float = 1.5, cap: float = 2.0, we
 
 
 def mixture(docs: DataFrame, **how) -> DataFrame:
-    """The mixed training set: a row with the documents' columns and _copy (from 1) for each time that mix() takes words of a document.
+    """The mixed training set: a row with the documents' columns and _copy (from 1; with more underscores where that is taken) for each time that mix() takes words of a document.
 
     Whole rounds give the text as it is, and so does the last round up to the cut; the document at the cut gives its
     first words, joined by one space. n_chars follows the text. A document without words gives no row.
@@ -89,7 +91,7 @@ def mixture(docs: DataFrame, **how) -> DataFrame:
     cut = (F.col("copy") > F.col("copies")) & (F.col("tail") < F.col("size"))
     first = F.array_join(F.slice(F.regexp_extract_all(own("text"), F.lit(WORD), F.lit(0)), F.lit(1), F.col("tail").cast("int")), " ")
     texts = mixed.withColumn("said", F.when(cut, first).otherwise(own("text")))
-    return texts.select(*[(F.col("said") if c == "text" else F.length("said").cast("long") if c == "n_chars" else own(c)).alias(c) for c in docs.columns], F.col("copy").cast("long").alias("_copy"))
+    return texts.select(*[(F.col("said") if c == "text" else F.length("said").cast("long") if c == "n_chars" else own(c)).alias(c) for c in docs.columns], F.col("copy").cast("long").alias(fresh(docs.columns, "_copy")))
 
 
 def op5_mixing(spark, sf_dir: str) -> DataFrame:

@@ -9,3 +9,11 @@ from attest.sources.shared import Scratch  # noqa: F401
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def fresh(names: list[str], wanted: str) -> str:
+    """`wanted`, with as many underscores behind it as tell it from all names (case counts for nothing)."""
+    taken = {n.lower() for n in names}
+    while wanted.lower() in taken:
+        wanted += "_"
+    return wanted

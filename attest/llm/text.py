@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-RUN_BYTES = 1 << 21
+RUN_BYTES = 1 << 20
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 
 

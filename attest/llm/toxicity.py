@@ -37,7 +37,7 @@ SAMPLE, SAMPLE_BYTES, STEMS, SLOTS, PROFILE = 1000, 30_000, (4, 6), 1 << 18, 400
 #: A clean text lost costs this many times a toxic one missed; a language with fewer texts of a label has the common threshold.
 CLEAN_COST, LEAST_TEXTS, FOLDS = 5.0, 12, 3
 WIDTHS, FILTERS, DIM, LEAST_DF, EPOCHS, BATCH, RATE, DROP = (1, 2, 3), 16, 16, 3, 14, 32, 0.01, 0.3
-PAD = max(WIDTHS) - 1
+PAD, CHUNK = max(WIDTHS) - 1, 1 << 15
 
 
 def _tokens(column: pa.Array) -> tuple[list[np.ndarray], np.ndarray]:
@@ -81,10 +81,16 @@ class Network:
         return e
 
     def logits(self, ids: list[np.ndarray], at: np.ndarray) -> np.ndarray:
-        if len(at) < 2:
-            return np.zeros(0, np.float32)
-        pooled = [np.maximum.reduceat(z, at[:-1], axis=0) for z in self.responses(self.embed(ids))]
-        return np.maximum(np.concatenate(pooled, 1), 0) @ self.out + self.rest[0]
+        """Of padded texts. Places go in chunks, so memory does not grow with a text: a maximum is the greatest of its parts."""
+        pooled = np.zeros((len(at) - 1, len(self.bias)), np.float32)
+        for a in range(0, int(at[-1]), CHUNK):
+            b = min(a + CHUNK, int(at[-1]))
+            lo, hi = int(np.searchsorted(at, a, side="right")) - 1, int(np.searchsorted(at, b))
+            heads = np.maximum(at[lo:hi], a) - a
+            for k, z in enumerate(self.responses(self.embed([x[a : b + PAD] for x in ids]))):
+                own = pooled[lo:hi, k * FILTERS : (k + 1) * FILTERS]
+                np.maximum(own, np.maximum.reduceat(z, heads, axis=0), out=own)
+        return pooled @ self.out + self.rest[0]
 
     def train(self, ids: list[np.ndarray], at: np.ndarray, y: np.ndarray, chosen: np.ndarray, rng: np.random.Generator) -> None:
         dense = [self.kernel, self.bias, self.out, self.rest]

@@ -84,6 +84,16 @@ def test_scores_do_not_depend_on_batches(data):
     assert np.allclose(model.score(texts), np.concatenate([model.score(texts.slice(i, 1)) for i in range(len(texts))]), atol=1e-5)
 
 
+def test_long_texts_go_in_chunks(data, monkeypatch):
+    rows, _, _ = data
+    model = toxicity.Model([(r[1], r[3], r[2]) for r in rows])
+    texts = pa.array([" ".join(r[1] for r in rows[:30]), "", rows[1][1], None, rows[2][1]], pa.string())
+    whole = model.score(texts)
+    for chunk in (1, 7, 300):
+        monkeypatch.setattr(toxicity, "CHUNK", chunk)
+        assert np.allclose(model.score(texts), whole, atol=1e-5)
+
+
 def plain_score(model, text):
     """The score of one text word by word, from the model's numbers."""
     words = re.findall(rb"[0-9A-Za-z\x80-\xff]+", (text or "").encode())

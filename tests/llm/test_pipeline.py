@@ -126,6 +126,26 @@ def test_stage(spark, data, k):
     assert stage(spark, docs.where("false"), at).count() == 0
 
 
+@pytest.mark.parametrize("k", range(5))
+def test_names_that_clash(spark, data, k):
+    at, rows, _ = data
+    odd = ["_toxicity", "_n_words", "_n_removed", "_decontamination", "_copy", "_spans", "_mark", "own", "node", "a.b"]
+    docs = spark.createDataFrame(rows[:60], SCHEMA).selectExpr("*", *[f"{i} as `{c}`" for i, c in enumerate(odd)])
+    name, stage = P.STAGES[k]
+    out = stage(spark, docs, at)
+    assert out.columns[: len(docs.columns)] == docs.columns and len(out.columns) == len(docs.columns) + (name == "mixing")
+    assert {tuple(r)[6:16] for r in out.collect()} == {tuple(range(10))}
+
+
+def test_rows_without_an_id(spark, data):
+    at, rows, items = data
+    docs = spark.createDataFrame([(None, r[1], *r[2:]) for r in rows[:25]], SCHEMA)
+    passed = [plain_toxic, None, None, lambda r: plain_decontaminate(r, items)]
+    for k, plain in enumerate(passed):
+        want = [tuple(r) for r in docs.collect()]
+        same(P.STAGES[k][1](spark, docs, at), plain(want) if plain else want)
+
+
 def test_run(spark, data):
     at, rows, items = data
     for plain in PLAIN:
