@@ -76,13 +76,15 @@ def frames_at(joints: DataFrame, values: DataFrame, poses: Sequence[str] = (), l
     poses = list(poses)
     named = values.select("robot", *poses).distinct()
     keys = ["robot", *poses]
-    many = joints.join(named, "robot").withColumn("_r", F.to_json(F.struct(*keys)))
+    scratch = Scratch(joints.sparkSession)
+    many = scratch.put(joints.join(named, "robot").withColumn("_r", F.to_json(F.struct(*keys))))
     at = many.select(*[c for c in joints.columns if c != "robot"], F.col("_r").alias("robot"))
     own = values.withColumn("robot", F.to_json(F.struct(*keys))).select("robot", "joint", "value")
     known = None if law is None else law.join(named.select("robot", F.to_json(F.struct(*keys)).alias("_r")), "robot").drop("robot").withColumnRenamed("_r", "robot")
     solved = resolve_pose(at, own, known).select("robot", "joint", F.col("position").alias("value"))
     tops = many.select(F.col("_r").alias("robot"), F.col("parent").alias("link")).distinct().join(many.select(F.col("_r").alias("robot"), F.col("child").alias("link")), ["robot", "link"], "left_anti")
-    out = forward_kinematics(at.join(solved, ["robot", "joint"]).select("robot", "parent", "child", "type", "xyz", "rpy", "axis", "value"), tops)
+    placed = scratch.put(at.join(solved, ["robot", "joint"]).select("robot", "parent", "child", "type", "xyz", "rpy", "axis", "value"))
+    out = forward_kinematics(placed, tops)
     back = many.select("_r", *keys).distinct()
     return out.withColumnRenamed("robot", "_r").join(back, "_r").select(*keys, "link", "world")
 
@@ -97,12 +99,13 @@ def affected(joints: DataFrame, law: DataFrame | None = None) -> DataFrame:
 
 def motion_atlas(joints: DataFrame, values: DataFrame, angular_step: float = 0.1, linear_step: float = 0.01) -> DataFrame:
     """robot, driver, direction, link, moved (distance of origins), turned (angle), structural: every link at every endpoint against the baseline."""
-    law = Scratch(joints.sparkSession).put(drivers(joints))
+    scratch = Scratch(joints.sparkSession)
+    law = scratch.put(drivers(joints))
     ends = counterfactuals(joints, values, angular_step, linear_step, law).where("applied <> 0")
     base = values.select("robot", "joint", "value")
     still = base.join(ends.select("robot", "driver", "direction"), "robot").where("joint <> driver").select("robot", "driver", "direction", "joint", "value")
     posed = still.unionByName(ends.select("robot", "driver", "direction", F.col("driver").alias("joint"), F.col("position").alias("value")))
-    at = frames_at(joints, posed, ["driver", "direction"], law)
+    at = frames_at(joints, scratch.put(posed), ["driver", "direction"], law)
     known = joints.select("robot").distinct()
     zero = known.join(base, "robot", "left").select("robot", F.coalesce("joint", F.lit("")).alias("joint"), F.coalesce("value", F.lit(0.0)).alias("value"))
     before = frames_at(joints, zero, law=law).select("robot", "link", F.col("world").alias("_w"))
