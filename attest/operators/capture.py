@@ -174,3 +174,13 @@ def run_evidence(results: DataFrame, mapping: DataFrame, runs: DataFrame) -> Dat
 def nested_times(raw: Column) -> Column:
     """All numbers under a key time_s, at any depth of JSON text."""
     return F.transform(F.regexp_extract_all(raw, F.lit(r'"time_s"\s*:\s*(-?[0-9]+(?:\.[0-9]+)?(?:[eE][-+]?[0-9]+)?)'), 1), lambda x: x.cast("double"))
+
+
+def observation_issues(records: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """keys, issue, n of observation logs (record_id, stream, time, position in the log): ids that repeat, several records of a stream at one
+    time, records out of order, and times that are missing or negative."""
+    w = W.partitionBy(*keys, "stream").orderBy("position")
+    r = records.withColumn("_before", F.lag("time").over(w)).withColumn("_ids", F.count("*").over(W.partitionBy(*keys, "record_id"))).withColumn("_times", F.count("*").over(W.partitionBy(*keys, "stream", "time")))
+    tests = {"repeated_id": F.col("_ids") > 1, "repeated_time": F.col("_times") > 1, "out_of_order": F.col("time") < F.col("_before"), "bad_time": F.col("time").isNull() | (F.col("time") < 0)}
+    sums = r.groupBy(*keys).agg(*[F.count_if(F.coalesce(c, F.lit(False))).alias(k) for k, c in tests.items()])
+    return sums.select(*keys, F.explode(F.create_map(*[x for k in tests for x in (F.lit(k), F.col(k))])).alias("issue", "n")).where("n > 0")

@@ -237,3 +237,13 @@ def merge_entities(declared: DataFrame) -> DataFrame:
     """declared (entity_id, types, name) to one row per entity: all its types, sorted, and the least name."""
     types = declared.select("entity_id", F.explode_outer("types").alias("t")).groupBy("entity_id").agg(F.array_sort(F.collect_set("t")).alias("types"))
     return types.join(declared.groupBy("entity_id").agg(F.min("name").alias("name"), F.count("*").alias("n_declared")), "entity_id")
+
+
+def trace_clause_path(k: Knowledge, a: str, b: str, predicate: str) -> DataFrame:
+    """step, node, clause_id: the way from one entity to another over clauses of a predicate that points upwards, each step with its clause."""
+    own = k.clauses.where(F.col("predicate") == predicate)
+    tops = own.select(F.col("object").alias("child")).distinct().join(own.select(F.col("subject").alias("child")), "child", "left_anti").select("child", F.lit(None).cast("string").alias("parent"))
+    way = path_between(root_paths(own.select(F.col("subject").alias("child"), F.col("object").alias("parent")).unionByName(tops)), a, b)
+    nodes = way.select(F.posexplode(F.concat("up", F.array("common"), "down")).alias("step", "node"), F.size("up").alias("_up"))
+    # a step up is the clause of the node it leaves, a step down that of the node it reaches
+    return nodes.join(own.select(F.col("subject").alias("node"), "clause_id"), "node", "left").select("step", "node", F.when(F.col("step") != F.col("_up"), F.col("clause_id")).alias("clause_id"))

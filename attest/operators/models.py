@@ -275,3 +275,12 @@ def constraint_drivers(derivations: DataFrame, constraints: DataFrame) -> DataFr
     of = lambda c: derivations.select("robot", F.col("frame").alias(c), F.col("dependencies").alias(f"_{c}"))
     j = constraints.join(of("frame_a"), ["robot", "frame_a"]).join(of("frame_b"), ["robot", "frame_b"])
     return j.select("constraint", "robot", F.array_sort(F.array_union("_frame_a", "_frame_b")).alias("drivers"))
+
+
+def drawing(joints: DataFrame, frames: DataFrame) -> DataFrame:
+    """robot, link, view, u, v, depth, parent_u, parent_v: the numbers of a drawing of every link's origin, and of the line from its parent, in each view."""
+    place = F.array(F.col("world")[3], F.col("world")[7], F.col("world")[11])
+    seen = frames.select("robot", "link", F.explode(V.projections(place)).alias("s")).select("robot", "link", "s.*")
+    up = joints.select("robot", F.col("child").alias("link"), "parent")
+    above = seen.select("robot", F.col("link").alias("parent"), "view", F.col("u").alias("parent_u"), F.col("v").alias("parent_v"))
+    return seen.join(up, ["robot", "link"], "left").join(above, ["robot", "parent", "view"], "left").select("robot", "link", "view", "u", "v", "depth", "parent_u", "parent_v")

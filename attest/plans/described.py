@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import numbers as N
+from ..functions import vec as V
 from ..operators import boxes as B
 from ..operators import graphs as G
 from ..operators import models as M
 from ..operators import shapes as S
 from ..sources import meshes as H
 from ..sources import robots as R
-from .articulated import _FK, _HEAP, _ROBOT, _joints, _values
-from .geometry import _boxes
+from .articulated import _FK, _HEAP, _ROBOT, _STEP, _joints, _values
+from .geometry import _boxes, _poses
 from .registry import EV, events, micro, query, table
 
 
@@ -229,3 +231,60 @@ def channel_issue_rows(spark, d):
     k = events(spark, d).select(F.col("user_id").alias("run_id"), F.col("event_id").cast("int").alias("sample_index"), ((F.col("t") - START).cast("double") / 1e6).alias("time_s"), F.col("event_type").alias("joint_id"), F.when(F.col("event_id") % 3 != 0, F.col("value")).alias("position"), F.col("value").alias("velocity"), F.lit(None).cast("double").alias("effort"))
     runs = k.select("run_id").distinct().select("run_id", F.lit(0.0).alias("start_s"), F.lit(2505600.0).alias("end_s"), F.lit(40000.0).alias("timestep_s"))
     return channel_issues(runs, k.withColumn("time_s", F.abs("time_s")), "joint_state").select("run_id", "issue", "sample_index")
+
+
+_VIEW = "(VALUES " + ", ".join(f"('{n}', " + ", ".join(f"{a[0]!r}::DOUBLE, {a[1]!r}::DOUBLE" for a in axes) + ")" for n, axes in V.VIEWS.items()) + ") g(view, ux, uy, vx, vy, dx, dy)"
+
+
+@query(_ROBOT + _FK + f", p AS (SELECT robot, i, view, w.x*ux+w.y*uy AS u, w.x*vx+w.y*vy AS v, w.x*g.dx+w.y*g.dy AS depth FROM w, {_VIEW}) SELECT p.robot, CASE WHEN p.i < 0 THEN 'base' ELSE 'l'||p.i END AS link, p.view, floor(p.u*1e6+0.5)/1e6 AS u, floor(p.v*1e6+0.5)/1e6 AS v, floor(p.depth*1e6+0.5)/1e6 AS depth, floor(o.u*1e6+0.5)/1e6 AS parent_u, floor(o.v*1e6+0.5)/1e6 AS parent_v FROM p LEFT JOIN p o ON o.robot=p.robot AND o.view=p.view AND o.i=p.i-1")
+def render_atlas(spark, d):
+    """The numbers of drawings of all robots in four views."""
+    j = _joints(spark, d)
+    frames = M.evaluate_grammar(*M.grammar(j), _values(j)).withColumnRenamed("frame", "link")
+    out = M.drawing(j, frames)
+    return out.select("robot", "link", "view", *[micro(F.col(c)).alias(c) for c in ("u", "v", "depth", "parent_u", "parent_v")])
+
+
+def _inverse(n: int, base: int) -> float:
+    x, f = 0.0, 1.0
+    while n:
+        f /= base
+        x += f * (n % base)
+        n //= base
+    return x
+
+
+_BASES, _SAMPLES = (2, 3, 5, 7, 11, 13, 17), 3
+_DIGITS = "(VALUES " + ", ".join(f"({k}, {b}, {_inverse(k, _BASES[b])!r}::DOUBLE)" for k in range(1, _SAMPLES + 1) for b in range(len(_BASES))) + ") g(sample, base, x)"
+
+
+@query(_ROBOT + f""", dr AS (SELECT robot, i, row_number() OVER (PARTITION BY robot ORDER BY i)-1 AS n, lo, hi FROM v WHERE kind<>2 AND NOT mimic), pv AS (SELECT robot, i, sample, lo+x*(hi-lo) AS given FROM dr JOIN {_DIGITS} ON base=n%{len(_BASES)}),
+pq AS (SELECT v.robot, v.i, sample, v.dx, v.kind, CASE WHEN kind=2 THEN 0.0 WHEN mimic THEN 0.5*pv.given+0.1 ELSE pv.given END AS q FROM v LEFT JOIN pv ON pv.robot=v.robot AND pv.i=v.di WHERE kind<>2 UNION ALL SELECT robot, i, sample, dx, kind, 0.0 FROM v, (SELECT DISTINCT sample FROM {_DIGITS}) WHERE kind=2),
+pw AS (SELECT robot, sample, -1::BIGINT AS i, 0.0::DOUBLE AS x, 0.0::DOUBLE AS y, 0.0::DOUBLE AS th FROM pq GROUP BY ALL UNION ALL SELECT q.robot, q.sample, q.i, {_STEP.format(q="q.q")} FROM pw w JOIN pq q ON q.robot=w.robot AND q.sample=w.sample AND q.i=w.i+1),
+t AS (SELECT robot, sample, x, y FROM pw WHERE i=5) SELECT robot, count(*) AS n, floor(min(x)*1e6+0.5)/1e6 AS min_x, floor(max(y)*1e6+0.5)/1e6 AS max_y, floor(max(sqrt(x*x+y*y))*1e6+0.5)/1e6 AS radius FROM t GROUP BY ALL""")
+def workspace_envelope(spark, d):
+    """Where the sixth link gets in a few low-discrepancy poses within the limits."""
+    j = _joints(spark, d)
+    own = j.where("type <> 'fixed' and mimic is null").select("robot", F.col("joint").alias("driver"), (F.row_number().over(W.partitionBy("robot").orderBy("i")) - 1).alias("number"), "lower", "upper")
+    poses = S.halton_poses(own, _SAMPLES, _BASES).withColumnRenamed("driver", "joint")
+    tips = M.frames_at(j, poses, ["sample"]).where("link = 'l5'").select("robot", F.array(F.col("world")[3], F.col("world")[7], F.lit(0.0)).alias("p"))
+    out = S.envelope(tips, ["robot"], "p")
+    return out.select("robot", "n", micro(F.col("min_x")).alias("min_x"), micro(F.col("max_y")).alias("max_y"), micro(F.col("radius")).alias("radius"))
+
+
+@query("""WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings), c AS (SELECT vec_id, (e[1]*e[8]+e[2]*e[9]+e[3]*e[10])/(sqrt(e[1]*e[1]+e[2]*e[2]+e[3]*e[3])*sqrt(e[8]*e[8]+e[9]*e[9]+e[10]*e[10])) AS c FROM e) SELECT vec_id, floor(degrees(acos(greatest(-1.0,least(1.0,c))))*1e4+0.5)/1e4 AS axis_deg FROM c""")
+def axis_errors(spark, d):
+    unit = lambda v: V.scaled(v, 1 / V.norm(v))
+    p = _poses(spark, d).select("vec_id", unit(F.col("p")).alias("a"), unit(F.col("p2")).alias("b"))
+    return p.select("vec_id", (F.floor(V.degrees_between(F.col("a"), F.col("b")) * 1e4 + 0.5) / 1e4).alias("axis_deg"))
+
+
+@query(EV + """, r AS (SELECT user_id AS log, event_id//3 AS record_id, event_type AS stream, CASE WHEN event_id%50=0 THEN NULL WHEN event_id%33=0 THEN -1 ELSE t//3600000000 END AS time, event_id AS position FROM ev),
+x AS (SELECT *, lag(time) OVER (PARTITION BY log, stream ORDER BY position) AS b, count(*) OVER (PARTITION BY log, record_id) AS ids, count(*) OVER (PARTITION BY log, stream, time) AS times FROM r),
+s AS (SELECT log, count(*) FILTER (ids > 1) AS repeated_id, count(*) FILTER (times > 1) AS repeated_time, count(*) FILTER (time < b) AS out_of_order, count(*) FILTER (time IS NULL OR time < 0) AS bad_time FROM x GROUP BY ALL) SELECT log, issue, n FROM (UNPIVOT s ON COLUMNS(* EXCLUDE (log)) INTO NAME issue VALUE n) WHERE n > 0""")
+def observation_log_issues(spark, d):
+    from ..operators.capture import observation_issues
+
+    i = F.col("event_id")
+    r = events(spark, d).select(F.col("user_id").alias("log"), F.floor(i / 3).alias("record_id"), F.col("event_type").alias("stream"), F.when(i % 50 == 0, F.lit(None).cast("long")).when(i % 33 == 0, -1).otherwise(F.floor(F.col("t") / 3_600_000_000)).alias("time"), i.alias("position"))
+    return observation_issues(r, ["log"])

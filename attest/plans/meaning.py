@@ -116,6 +116,13 @@ def explain_frame_pose_law(spark, d):
     return I.explain_clauses(_knowledge(spark, d)[0], "nation/NATION_7", "moves")
 
 
+@query(_ENT + """, a AS (SELECT object AS n, clause_id AS c FROM cl WHERE subject='customer/1' AND predicate='in'), b AS (SELECT object AS n, clause_id AS c FROM cl WHERE subject='supplier/3' AND predicate='in'), ra AS (SELECT object AS r, clause_id AS c FROM cl JOIN a ON subject=a.n WHERE predicate='in'), rb AS (SELECT object AS r, clause_id AS c FROM cl JOIN b ON subject=b.n WHERE predicate='in'),
+w AS (SELECT CASE WHEN a.n=b.n THEN [('customer/1', a.c), (a.n, NULL), ('supplier/3', b.c)] WHEN ra.r=rb.r THEN [('customer/1', a.c), (a.n, ra.c), (ra.r, NULL), (b.n, rb.c), ('supplier/3', b.c)] ELSE [] END AS p FROM a, b, ra, rb), u AS (SELECT unnest(p) AS s, unnest(range(len(p))) AS step FROM w) SELECT step::INT AS step, s[1] AS node, s[2] AS clause_id FROM u""")
+def trace_clause_path(spark, d):
+    """The way from a customer to a supplier over what lies in what; none, if they are in different regions."""
+    return I.trace_clause_path(_knowledge(spark, d)[0], "customer/1", "supplier/3", "in")
+
+
 @query(_ENT + " SELECT clause_id, predicate, CASE WHEN subject='nation/NATION_7' THEN 'subject' ELSE 'object' END AS role, CASE WHEN subject='nation/NATION_7' THEN object ELSE subject END AS other FROM cl WHERE 'nation/NATION_7' IN (subject, object)")
 def describe_entity(spark, d):
     return I.describe_entity(_knowledge(spark, d)[0], "nation/NATION_7")
