@@ -32,7 +32,10 @@ LOWER[65:91] += 32
 
 
 def runs(batch: pa.RecordBatch, column: str = "text", most: int = RUN_BYTES) -> Iterator[pa.RecordBatch]:
-    """The batch in runs of rows with at most `most` bytes of text each; a longer text is a run of its own."""
+    """The batch in runs of rows with at most `most` bytes of text each; a longer text is a run of its own.
+
+    After the last run Arrow's pool gives back what it holds free: a worker that waits for its next task keeps little.
+    """
     sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
     ends = np.cumsum(sizes, dtype=np.int64)
     at = 0
@@ -41,6 +44,7 @@ def runs(batch: pa.RecordBatch, column: str = "text", most: int = RUN_BYTES) ->
         to = max(at + 1, int(np.searchsorted(ends, base + most, side="right")))
         yield batch.slice(at, to - at)
         at = to
+    pa.default_memory_pool().release_unused()
 
 
 def blocks(column: pa.Array, most: int = 1 << 17) -> Iterator[pa.Array]:
