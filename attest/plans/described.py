@@ -156,7 +156,7 @@ def mass_properties(spark, d):
     return out.select("robot", "mass", micro(F.col("com_x")).alias("com_x"), micro(F.col("com_y")).alias("com_y"), (F.floor(F.col("izz") * 1e4 + 0.5) / 1e4).alias("izz"))
 
 
-@query(_ROBOT + _FK + """, t AS (SELECT robot, x AS px, y AS py FROM w WHERE i=5), c AS (SELECT q.robot, q.di, CASE WHEN q.mimic THEN 0.5 ELSE 1.0 END AS f, q.kind, w.x, w.y, w.th, px, py FROM q JOIN w ON w.robot=q.robot AND w.i=q.i JOIN t ON t.robot=q.robot WHERE q.i <= 5 AND q.kind<>2)
+@query(_ROBOT + _FK + """, t AS (SELECT robot, x AS px, y AS py FROM w WHERE i=5), c AS (SELECT q.robot, q.di, CASE WHEN q.mimic THEN 0.5 ELSE 1.0 END::DOUBLE AS f, q.kind, w.x, w.y, w.th, px, py FROM q JOIN w ON w.robot=q.robot AND w.i=q.i JOIN t ON t.robot=q.robot WHERE q.i <= 5 AND q.kind<>2)
 SELECT robot, 'j'||di AS driver, floor(sum(f*CASE kind WHEN 0 THEN -(py-y) ELSE cos(th) END)*1e6+0.5)/1e6 AS linear_x, floor(sum(f*CASE kind WHEN 0 THEN px-x ELSE sin(th) END)*1e6+0.5)/1e6 AS linear_y, sum(CASE kind WHEN 0 THEN f ELSE 0 END) AS angular_z FROM c GROUP BY ALL""")
 def geometric_jacobian(spark, d):
     _, frames, moved, paths = _dynamics(spark, d)
