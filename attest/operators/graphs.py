@@ -137,10 +137,10 @@ def linked_components(edges: DataFrame, scratch: Scratch) -> DataFrame:
         new = scratch.put(_star(step, scratch, False), "small")
         scratch.drop(now, step)
         now = new
-        # done when only stars are left: every node points once, and at none that points on
-        twice = now.groupBy("u").agg(F.count("*").alias("n")).where("n > 1").select("u")
-        further = now.select(F.col("v").alias("u")).distinct().join(now.select("u"), "u", "left_semi")
-        if twice.unionByName(further).isEmpty():
+        # done when only stars are left: every node points once, and none that points is pointed at
+        ends = F.array(F.struct(F.col("u").alias("k"), F.lit(1).alias("out"), F.lit(0).alias("to")), F.struct(F.col("v").alias("k"), F.lit(0).alias("out"), F.lit(1).alias("to")))
+        degrees = now.select(F.explode(ends).alias("e")).groupBy("e.k").agg(F.sum("e.out").alias("out"), F.max("e.to").alias("to"))
+        if not degrees.agg(F.count_if(F.expr("out > 1 or out > 0 and to > 0"))).first()[0]:
             break
     return now.select(F.col("u").alias("node"), F.col("v").alias("component"))
 
