@@ -24,12 +24,15 @@ def scene_frames(frames: DataFrame, world: str = "world") -> DataFrame:
 
 
 def scene_issues(frames: DataFrame, world: str = "world") -> DataFrame:
-    """(scene, frame, issue): the world declared again, a name declared twice, an unknown parent, or a cycle."""
+    """(scene, frame, issue): the world declared again, a name declared twice, an unknown parent, or a cycle.
+
+    A name declared twice has no one parent, so no cycle is followed through it.
+    """
     twice = frames.groupBy("scene", "frame").agg(F.count("*").alias("n")).where("n > 1").select("scene", "frame", F.lit("declared_twice").alias("issue"))
     again = frames.where(F.col("frame") == world).select("scene", "frame", F.lit("world_declared").alias("issue"))
     known = frames.select("scene", F.col("frame").alias("parent")).distinct()
     unknown = frames.where(F.col("parent") != world).join(known, ["scene", "parent"], "left_anti").select("scene", "frame", F.lit("unknown_parent").alias("issue"))
-    one = frames.dropDuplicates(["scene", "frame"]).where(F.col("frame") != world)
+    one = frames.where(F.col("frame") != world).groupBy("scene", "frame").agg(F.count("*").alias("n"), F.min("parent").alias("parent")).where("n = 1")
     key = lambda c: F.struct("scene", F.col(c).alias("f"))
     edges = one.select(key("frame").alias("child"), key("parent").alias("parent"))
     tops = edges.select(F.col("parent").alias("child")).distinct().join(edges.select("child"), "child", "left_anti").select("child", F.lit(None).cast(edges.schema["parent"].dataType).alias("parent"))

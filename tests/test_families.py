@@ -123,6 +123,15 @@ def test_empty_tables(spark):
     assert Q.leaks(texts, "i", "t", none).count() == 0
 
 
+def test_no_cycle_through_a_name_declared_twice(spark):
+    pose = ([0.0, 0.0, 0.0], [0.0, 0.0, 0.0, 1.0])
+    for first, second in (("a", "world"), ("world", "a")):
+        rows = [("s", "a", first), ("s", "a", second), ("s", "b", "a"), ("s", "c", "c"), ("s", "d", "c")]
+        frames = spark.createDataFrame([(*r, *pose) for r in rows], "scene string, frame string, parent string, xyz array<double>, quaternion array<double>").coalesce(1)
+        got = sorted((x.frame, x.issue) for x in S.scene_issues(frames).collect())
+        assert got == [("a", "declared_twice"), ("c", "cycle"), ("d", "cycle")]
+
+
 def test_leaks_are_whole_words(spark):
     texts = spark.createDataFrame([(1, "so one  two\nthree four five six"), (2, "none two three four five"), (3, "x seven"), (4, "xseven"), (5, None), (6, "one two three four fivefold")], "i long, t string")
     markers = spark.createDataFrame([("one two three four five",), ("seven",), ("  ",), (None,), ("one two three four five",)], "marker string")
