@@ -13,6 +13,7 @@ from attest.operators import graphs as G
 from attest.operators import models as M
 from attest.operators import questions as Q
 from attest.operators import scene as S
+from attest.operators import shapes as P
 from attest.operators import temporal as T
 from attest.sources import records as R
 from attest.sources import shared
@@ -132,6 +133,37 @@ def test_no_cycle_through_a_name_declared_twice(spark):
         assert got == [("a", "declared_twice"), ("c", "cycle"), ("d", "cycle")]
 
 
+def test_grammar_of_a_deep_robot_stays_short(spark, tmp_path):
+    """A chain of 3,000 links: rules, not paths, and every result of the walks in closed form."""
+    n = 3000
+    vec = lambda *v: F.array(*[F.lit(x) for x in v])
+    j = spark.range(n).select(
+        F.lit("r").alias("robot"), F.concat(F.lit("j"), "id").alias("joint"), F.concat(F.lit("l"), F.col("id") - 1).alias("parent"), F.concat(F.lit("l"), "id").alias("child"),
+        F.when(F.col("id") % 1000 == 0, "prismatic").otherwise("fixed").alias("type"), vec(0.5, 0.0, 0.0).alias("xyz"), vec(0.0, 0.0, 0.0).alias("rpy"), vec(1.0, 0.0, 0.0).alias("axis"),
+        F.when(F.col("id") == 2000, "j0").alias("mimic"), F.lit(2.0).alias("multiplier"), F.lit(0.0).alias("offset"), F.lit(0.0).alias("lower"), F.lit(1.0).alias("upper"),
+    )
+    v = spark.createDataFrame([("r", "j0", 0.25)], "robot string, joint string, value double")
+    operators, derivations = M.grammar(j)
+    assert derivations.columns == ["robot", "frame", "joint", "prefix"] and derivations.count() == n + 1
+    tip = f"l{n - 1}"
+    x = M.evaluate_grammar(operators, derivations, v).where(f"frame = '{tip}'").first()
+    assert abs(x.world[3] - (0.5 * n + 3 * 0.25)) < 1e-9
+    got = {r.frame: (r.n_operators, r.dependencies) for r in M.derived(operators, derivations).collect()}
+    assert got[tip] == (n, ["j0", "j1000"]) and got["l-1"] == (0, []) and got["l999"] == (1000, ["j0"])
+    assert M.operator_lists(derivations, "l2").first().operators == ["j0", "j1", "j2"]
+    asked = spark.createDataFrame([("c", "r", "l3", tip), ("d", "r", "l3", "nowhere")], "constraint string, robot string, frame_a string, frame_b string")
+    assert [tuple(r) for r in M.constraint_drivers(operators, derivations, asked).collect()] == [("c", "r", ["j0", "j1000"])]
+    assert {r.driver: r.n for r in M.affected(j).groupBy("driver").agg(F.count("*").alias("n")).collect()} == {"j0": n, "j1000": n - 1000}
+    atlas = {(r.driver, r.direction): r for r in M.causality(M.motion_atlas(j, v)).collect()}
+    assert (atlas["j0", "plus"].n_changed, atlas["j1000", "plus"].n_changed, atlas["j0", "plus"].changed_only, atlas["j0", "plus"].structural_only) == (n, n - 1000, 0, 0)
+    other = j.withColumn("parent", F.when(F.col("joint") == "j2999", "l5").otherwise(F.col("parent")))
+    assert M.compare_grammars((operators, derivations), M.grammar(other), v).first().derivations_differ == 1
+    masses = spark.createDataFrame([("r", tip, 2.0, [0.0, 0.0, 0.0], [0.0, 0.0, 0.0])], "robot string, link string, mass double, xyz array<double>, rpy array<double>")
+    frames = M.evaluate_grammar(operators, derivations, v).withColumnRenamed("frame", "link")
+    paths = derivations.select("robot", F.col("frame").alias("link"), F.when(F.col("prefix").isNull(), F.array("frame")).otherwise(F.array("prefix", "frame")).alias("path"))
+    assert {r.driver: r.load for r in P.gravity_loads(masses, frames, operators, paths, (-10, 0, 0)).collect()} == {"j0": 60.0, "j1000": 20.0}
+
+
 def test_leaks_are_whole_words(spark):
     texts = spark.createDataFrame([(1, "so one  two\nthree four five six"), (2, "none two three four five"), (3, "x seven"), (4, "xseven"), (5, None), (6, "one two three four fivefold")], "i long, t string")
     markers = spark.createDataFrame([("one two three four five",), ("seven",), ("  ",), (None,), ("one two three four five",)], "marker string")
