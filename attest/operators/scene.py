@@ -79,7 +79,7 @@ def near_pairs(robot: DataFrame, scene: DataFrame, cell: float, tolerance: float
     slack = tolerance / 2
     a = _cells(robot.select("scene", F.col("name").alias("a"), F.col("lo").alias("a_lo"), F.col("hi").alias("a_hi")), "a_lo", "a_hi", cell, slack)
     b = _cells(scene.select("scene", F.col("name").alias("b"), F.col("lo").alias("b_lo"), F.col("hi").alias("b_hi")), "b_lo", "b_hi", cell, slack)
-    pairs = a.join(b, ["scene", "_c0", "_c1", "_c2"])
+    pairs = a.join(b.hint("merge"), ["scene", "_c0", "_c1", "_c2"])
     for i in range(3):
         pairs = pairs.where(F.col(f"_c{i}") == F.greatest(F.floor((F.col("a_lo")[i] - slack) / cell), F.floor((F.col("b_lo")[i] - slack) / cell)))
     gap = F.sqrt(V.box_gap_squared(F.col("a_lo"), F.col("a_hi"), F.col("b_lo"), F.col("b_hi")))
@@ -128,9 +128,9 @@ def face_components(faces: DataFrame, key: str) -> DataFrame:
     corners = faces.select(key, "face", corner.alias("corner"))
     # a corner is named by the least face that has it; the edges join faces with it
     least = corners.groupBy(key, "corner").agg(F.min("face").alias("b"))
-    edges = corners.join(least, [key, "corner"]).select(F.col("face").alias("a"), "b").distinct()
+    edges = corners.join(least.hint("merge"), [key, "corner"]).select(F.col("face").alias("a"), "b").distinct()
     found = linked_components(edges, Scratch(faces.sparkSession)).withColumnRenamed("node", "face")
-    return faces.select(key, "face").join(found, "face", "left").select(key, "face", F.coalesce("component", "face").alias("component"))
+    return faces.select(key, "face").join(found.hint("merge"), "face", "left").select(key, "face", F.coalesce("component", "face").alias("component"))
 
 
 def inside_surface(points: DataFrame, faces: DataFrame, key: str) -> DataFrame:
@@ -141,5 +141,6 @@ def inside_surface(points: DataFrame, faces: DataFrame, key: str) -> DataFrame:
     size = lambda x: F.sqrt(dot(x, x))
     triple = a[0] * (b[1] * c[2] - b[2] * c[1]) + a[1] * (b[2] * c[0] - b[0] * c[2]) + a[2] * (b[0] * c[1] - b[1] * c[0])
     below = size(a) * size(b) * size(c) + dot(a, b) * size(c) + dot(b, c) * size(a) + dot(c, a) * size(b)
-    out = points.join(faces, key).groupBy(key, "point").agg(F.sum(2 * F.atan2(triple, below)).alias("_w"))
+    # merged by key, never broadcast: faces and points are many times what the tables they are made of take
+    out = points.join(faces.hint("merge"), key).groupBy(key, "point").agg(F.sum(2 * F.atan2(triple, below)).alias("_w"))
     return out.select(key, "point", (F.abs(F.col("_w")) > 6.283185307179586).alias("inside"))

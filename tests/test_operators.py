@@ -151,6 +151,22 @@ def test_surface_distance():
     assert B.surface_distance(one, one + [0, 0, 2]) == pytest.approx(2) and B.surface_distance(one, np.array([[[0.2, 0.2, -1], [0.2, 0.2, 1], [3, 3, 1]]], float)) == 0
 
 
+def test_a_crowded_cell_is_swept_in_parts(spark, monkeypatch):
+    """All boxes in one cell: few are compared, and a part's end loses none. Small meshes: few triangle pairs are measured."""
+    monkeypatch.setattr(B, "PAIRS", 7)
+    rows = [(i, i % 3, [0.0, i * 0.01, 0.0], [0.1, i * 0.01 + 0.03, 0.1]) for i in range(200)]
+    df = spark.createDataFrame(rows, "k long, g int, lo array<double>, hi array<double>")
+    low, high = [x[2][1] for x in rows], [x[3][1] for x in rows]
+    want = {(i, j) for i in range(200) for j in range(i + 1, 200) if i % 3 != j % 3 and max(0.0, low[j] - high[i]) <= 0.02}
+    assert {(x.a, x.b) for x in B.overlap_pairs(df, "k", 10.0, group="g", tolerance=0.02).collect()} == want
+    measured, plain = [], B.triangles_distance
+    monkeypatch.setattr(B, "triangles_distance", lambda s, t: measured.append(len(s)) or plain(s, t))
+    r = np.random.default_rng(4)
+    a, b = r.normal(0, 1, (12, 3, 3)), r.normal(0, 1, (12, 3, 3)) + [9, 0, 0]
+    i, j = np.repeat(np.arange(12), 12), np.tile(np.arange(12), 12)
+    assert B._distances([a], [b])[0] == plain(a[i], b[j]).min() and sum(measured) < 72
+
+
 def test_range_joins(spark):
     r = random.Random(1)
     rows = [(i, [r.uniform(-5, 5) for _ in range(3)]) for i in range(120)]
