@@ -129,7 +129,7 @@ def face_components(faces: DataFrame, key: str) -> DataFrame:
     # a corner is named by the least face that has it; the edges join faces with it
     least = corners.groupBy(key, "corner").agg(F.min("face").alias("b"))
     edges = corners.join(least.hint("merge"), [key, "corner"]).select(F.col("face").alias("a"), "b").distinct()
-    found = linked_components(edges, Scratch(faces.sparkSession)).withColumnRenamed("node", "face")
+    found = linked_components(edges, Scratch(faces.sparkSession), merge=True).withColumnRenamed("node", "face")
     return faces.select(key, "face").join(found.hint("merge"), "face", "left").select(key, "face", F.coalesce("component", "face").alias("component"))
 
 
