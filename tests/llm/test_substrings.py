@@ -100,6 +100,18 @@ def test_suffix_array_removal(spark, docs, texts, bounds):
     assert got == expected and sum(e[1] for e in expected.values()) > 1000
 
 
+def test_suffix_removal_at_the_querys_window(spark, tmp_path):
+    """A shared passage stays whole at 399 bytes and goes at 400, however many words it has."""
+    say = lambda key, digits, size: "".join(f" {key}{i:0{digits}d}" for i in range(60))[: size - 1] + " "
+    short, long, few = say("a", 5, 399), say("b", 5, 400), say("c", 30, 400)
+    assert len(short.split()) > 50 and len(long.split()) > 50 and len(few.split()) < 20
+    texts = [f"1{short}2", f"3{short}4", f"5{long}6", f"7{long}8", f"9{few}0", f"x{few}y"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    kept = [*texts[:2], "56", "78", "90", "xy"]
+    got = {r[0]: tuple(r)[1:] for r in suffixes.op7_suffix_dedup(spark, str(tmp_path)).collect()}
+    assert got == {i: (len(t), len(t) - len(k), int(t != k), hashlib.sha256(k.encode()).hexdigest()) for i, (t, k) in enumerate(zip(texts, kept, strict=True))}
+
+
 def test_nothing_is_found_beside_the_index(spark, docs):
     """Whatever goes is named by an index: one that finds nothing leaves all texts whole."""
     for by, window, grams in (("bytes", 60, (16,)), ("words", 20, (6,))):
