@@ -65,23 +65,26 @@ def shape_class(extents: Column, flat: float = 0.2, near: float = 0.8) -> Column
 def gravity_loads(inertials: DataFrame, frames: DataFrame, joints: DataFrame, paths: DataFrame, gravity: Sequence[float]) -> DataFrame:
     """Generalised force that holds each driver against gravity (a vector in the root): of each joint, the masses at and below its link.
 
+    A driver with no mass there has no row.
+
     joints: robot, child, type, axis, driver, multiplier; frames: robot, link, world; paths: robot, link, path from the root,
     of which only the last two links are read.
     """
+    values = ["n", "m", "s0", "s1", "s2"]
     m = inertials.join(frames, ["robot", "link"])
     t = V.matmul4(F.col("world"), V.rpy_matrix(F.col("xyz"), F.col("rpy")))
-    masses = m.select("robot", "link", "mass", t.alias("_t")).groupBy("robot", "link").agg(*[F.sum(c).alias(n) for n, c in (("m", F.col("mass")), *((f"s{k}", F.col("mass") * F.col("_t")[4 * k + 3]) for k in range(3)))])
-    tree = paths.select("robot", "link", F.when(F.size("path") > 1, F.element_at("path", -2)).alias("prefix")).join(masses, ["robot", "link"], "left").fillna(0.0, ["m", "s0", "s1", "s2"])
+    masses = m.select("robot", "link", "mass", t.alias("_t")).groupBy("robot", "link").agg(F.count("*").cast("double").alias("n"), *[F.sum(c).alias(n) for n, c in (("m", F.col("mass")), *((f"s{k}", F.col("mass") * F.col("_t")[4 * k + 3]) for k in range(3)))])
+    tree = paths.select("robot", "link", F.when(F.size("path") > 1, F.element_at("path", -2)).alias("prefix")).join(masses, ["robot", "link"], "left").fillna(0.0, values)
 
     def of(t: pa.Table) -> Iterator[pa.RecordBatch]:
         links = t["link"].to_pylist()
         rows, above = order(links, t["prefix"].to_pylist())
-        own = np.stack([t[c].to_numpy() for c in ("m", "s0", "s1", "s2")], 1)[rows]
+        own = np.stack([t[c].to_numpy() for c in values], 1)[rows]
         sums = totals(own, above)
-        yield pa.record_batch([pa.array([t["robot"][0].as_py()] * len(rows), pa.string()), pa.array([links[r] for r in rows], pa.string()), *map(pa.array, sums.T.copy())], names=["robot", "child", "m", "s0", "s1", "s2"])
+        yield pa.record_batch([pa.array([t["robot"][0].as_py()] * len(rows), pa.string()), pa.array([links[r] for r in rows], pa.string()), *map(pa.array, sums.T.copy())], names=["robot", "child", *values])
 
-    below = each(tree, ["robot"], of, "robot string, child string, m double, s0 double, s1 double, s2 double")
-    rows = joints.join(below, ["robot", "child"]).join(frames.select("robot", F.col("link").alias("child"), "world"), ["robot", "child"])
+    below = each(tree, ["robot"], of, "robot string, child string, " + ", ".join(f"{v} double" for v in values))
+    rows = joints.join(below.where("n > 0"), ["robot", "child"]).join(frames.select("robot", F.col("link").alias("child"), "world"), ["robot", "child"])
     w, a = F.col("world"), F.col("axis")
     axis = F.array(*[w[4 * i] * a[0] + w[4 * i + 1] * a[1] + w[4 * i + 2] * a[2] for i in range(3)])
     turn = F.col("type").isin("revolute", "continuous")
